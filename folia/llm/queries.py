@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_wu_manber_decontamination
+from .packing import op7_minimum_bin_slack_packing
 from .token_counts import op8_digest_cache_token_counts
+from .token_output import op3_re_pair_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_re_pair_token_output,
+        op7_minimum_bin_slack_packing,
         op8_digest_cache_token_counts,
         op10_wu_manber_decontamination,
     )
