@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op9_inverted_multi_index
 from .decontaminate import op10_wu_manber_decontamination
+from .licenses import op2_dice_license_scan
 from .packing import op7_minimum_bin_slack_packing
+from .quality import op1_hierarchical_bayes_quality
+from .secrets import op4_random_forest_secret_scan
 from .token_counts import op8_digest_cache_token_counts
 from .token_output import op3_re_pair_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_hierarchical_bayes_quality,
+        op2_dice_license_scan,
         op3_re_pair_token_output,
+        op4_random_forest_secret_scan,
         op7_minimum_bin_slack_packing,
         op8_digest_cache_token_counts,
+        op9_inverted_multi_index,
         op10_wu_manber_decontamination,
     )
 }
