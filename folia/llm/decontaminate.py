@@ -165,5 +165,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of docs in which no benchmark window occurs, with their own columns; one scan for each shard."""
+    for items in _shards(benchmark, shard_words):
+        docs = _without(docs, items, window)
+    return docs
+
+
+def _without(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    made: dict[int, list[WuManber]] = {}
+
+    def search(batches):
+        found = made.get(0) or made.setdefault(0, matchers(shared.value, window))
+        for b in batches:
+            texts = b.column(b.schema.names.index("text"))
+            clean = []
+            for t in texts:
+                w = words(t.as_py())
+                clean.append(not any(next(k.find(w), None) for k in found))
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(search, docs.schema)
+
+
 def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")

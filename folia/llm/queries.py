@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op9_inverted_multi_index
 from .decontaminate import op10_wu_manber_decontamination
 from .licenses import op2_dice_license_scan
+from .near_dup import op6_tensored_minhash_near_dedup
 from .packing import op7_minimum_bin_slack_packing
 from .quality import op1_hierarchical_bayes_quality
 from .secrets import op4_random_forest_secret_scan
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_dice_license_scan,
         op3_re_pair_token_output,
         op4_random_forest_secret_scan,
+        op6_tensored_minhash_near_dedup,
         op7_minimum_bin_slack_packing,
         op8_digest_cache_token_counts,
         op9_inverted_multi_index,
