@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE = 900_000
@@ -44,6 +45,19 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Learned(dict):
+    """Piece -> ids; a piece not met before is encoded on the way. Long pieces are not kept."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         import json
@@ -53,49 +67,51 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self.plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
+        self.cache = _Learned(self._model if self.plain else self._whole)
         if self.plain:
             import public_tokenizers
             import regex
 
             self.pattern = regex.compile(public_tokenizers.PATTERN)
 
-    def _pre_tokens(self, text: str) -> list[str]:
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, piece: str) -> bytes:
+        """One pre-token through the library's model, in the byte-level alphabet."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalpha():
+            seen = chr(self.letters[32]) + word if piece[0] == " " else piece
+        else:
+            seen = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.plain:
+            return pieces(text)
         return (self.pattern if _ODD.search(text) else _PRE).findall(text)
 
-    def _learn(self, missing: set[str], once: dict[str, bytes], whole: bool) -> None:
-        todo = list(missing)
-        if not whole:
-            model, letters = self.tokenizer.model, self.letters
-            for p in todo:
-                (self.cache if len(p) <= LONG else once)[p] = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-            return
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (self.cache if len(p) <= LONG else once)[p] = np.array(e.ids, "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        out: list[bytes] = []
-        for t in texts:
-            if self.plain and any(s in t for s in self.special):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            cut, once = self._pre_tokens(t) if self.plain else pieces(t), {}
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, cut)))
-            except KeyError:
-                self._learn({p for p in cut if p not in self.cache}, once, not self.plain)
-                out.append(b"".join([self.cache[p] if p in self.cache else once[p] for p in cut]))
-        return out
+        if not self.plain:
+            self._many(texts)
+        get = self.cache.__getitem__
+        return [self._whole(t) if self.plain and any(s in t for s in self.special) else b"".join(map(get, self._cut(t))) for t in texts]
+
+    def _many(self, texts: list[str]) -> None:
+        """What is new in texts that the whole library encodes, in batches."""
+        todo = list({p for t in texts for p in pieces(t) if len(p) <= LONG}.difference(self.cache))
+        for i in range(0, len(todo), 20_000):
+            part = todo[i : i + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[p] = array("I", e.ids).tobytes()
 
 
 def encoder(path: str) -> PieceEncoder:
