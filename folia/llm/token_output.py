@@ -31,13 +31,14 @@ from ._util import partitions_for, stored, table, text_only
 
 SHARD_TOKENS = 2_000_000
 LEAST = 24
-ROUNDS = 12
-A_ROUND = 2048
+ROUNDS = 8
+A_ROUND = 4096
 
 
 def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int, most: int):
     """Replace the frequent pairs of one round; None when there are none."""
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    kind, bits = (np.uint32, 16) if base < 1 << 16 else (np.uint64, 32)  # symbols stay below 2 ** bits
+    pair = seq[:-1].astype(kind) << kind(bits) | seq[1:].astype(kind)
     keys = np.sort(pair[~last[:-1]])
     if not len(keys):
         return None
@@ -49,17 +50,17 @@ def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int
     often = often[np.argsort(-n[often], kind="stable")][:most]
     lefts, rights, chosen = set(), set(), []
     for k in keys[edge[often]].tolist():
-        a, b = k >> 32, k & 0xFFFFFFFF
+        a, b = k >> bits, k & ((1 << bits) - 1)
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
         lefts.add(a)
         rights.add(b)
         chosen.append(k)
-    picked = np.array(sorted(chosen), np.uint64)
+    picked = np.array(sorted(chosen), kind)
     size = int(seq.max()) + 1
     is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
-    is_left[(picked >> np.uint64(32)).astype(np.int64)] = True
-    is_right[(picked & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    is_left[picked >> kind(bits)] = True
+    is_right[picked & kind((1 << bits) - 1)] = True
     at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
     where = np.searchsorted(picked, pair[at])
     hit = picked[np.minimum(where, len(picked) - 1)] == pair[at]
@@ -76,7 +77,7 @@ def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int
     keep[at + 1] = False
     ends = last.copy()
     ends[at] = last[at + 1]
-    rules.extend((int(k) >> 32, int(k) & 0xFFFFFFFF) for k in picked)
+    rules.extend((k >> bits, k & ((1 << bits) - 1)) for k in picked.tolist())
     return new[keep], ends[keep]
 
 
