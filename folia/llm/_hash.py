@@ -18,13 +18,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            step = np.full(size, np.uint64(base), np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    return _more(_BASE, _powers, n)
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -64,3 +58,29 @@ def shingles(text: str, k: int = 5) -> np.ndarray:
     for i in range(width):
         total = mix(total * np.uint64(0xD6E8FEB86659FD93) + w[i : len(w) - width + 1 + i])
     return np.unique(total)
+
+
+# A second, independent family: other byte numbers and another base.
+_BYTE_TWO = np.random.Generator(np.random.PCG64(77_003)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_TWO = 0xD1342543DE82EF95
+_powers_two: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _more(base: int, have: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(have[0]) < n:
+        size = max(n, 2 * len(have[0]), 1 << 16)
+        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
+            step = np.full(size, np.uint64(b), np.uint64)
+            step[0] = 1
+            have[k] = np.cumprod(step, dtype=np.uint64)
+    return have[0], have[1]
+
+
+def prefix_two(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_TWO[data] * _more(_BASE_TWO, _powers_two, len(data))[0][: len(data)], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def between_two(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (pre[end] - pre[start]) * _more(_BASE_TWO, _powers_two, len(pre))[1][start]

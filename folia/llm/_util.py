@@ -38,3 +38,11 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) under fixed names; other columns, clashing or not, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are stored and whose plans are gone."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

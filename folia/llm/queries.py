@@ -13,6 +13,7 @@ from .near_dup import op6_tensored_minhash_near_dedup
 from .packing import op7_minimum_bin_slack_packing
 from .quality import op1_hierarchical_bayes_quality
 from .secrets import op4_random_forest_secret_scan
+from .suffix_dedup import op5_suffix_sort_dedup
 from .token_counts import op8_digest_cache_token_counts
 from .token_output import op3_re_pair_token_output
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_dice_license_scan,
         op3_re_pair_token_output,
         op4_random_forest_secret_scan,
+        op5_suffix_sort_dedup,
         op6_tensored_minhash_near_dedup,
         op7_minimum_bin_slack_packing,
         op8_digest_cache_token_counts,
