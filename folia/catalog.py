@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from .registry import ORACLES, QUERIES, Query
+
+MODULES = ("operators.documents", "operators.relational", "operators.meta", "operators.sequences", "plans.case_checks")
+for _m in MODULES:
+    importlib.import_module(f"folia.{_m}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return QUERIES["orders_check_sum_le"](spark, sf_dir)
