@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = ("operators.documents", "operators.relational", "operators.meta", "operators.sequences", "plans.case_checks")
+MODULES = ("operators.documents", "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.trees", "plans.case_checks")
 for _m in MODULES:
     importlib.import_module(f"folia.{_m}")
 
