@@ -13,8 +13,10 @@ repeats. Those, and one run of each repeated block with their core, go to the su
   prefix hashes, so it takes log(span) steps; neighbours that agree over the whole span repeat,
   after their bytes are compared directly.
 
-Work is dealt out by core. A core that more than HOT runs share is not gathered: its windows are
-counted by hash, aggregated before they are shuffled. Nothing grows with a group on one task.
+Work is dealt out by core. A core that more than HOT runs share is not gathered: its runs are cut
+into steps of STEP windows, which are settled by the hashes of their own cores and blocks in the
+same way; windows of what is still open are counted by hash. All counts are sums that are taken
+before rows are shuffled, and a document's equal runs are one row from the start.
 
 Defined results: null text is empty; texts shorter than the span lose nothing; repeated rows
 repeat each other; an empty table gives an empty result.
@@ -36,7 +38,8 @@ from ._util import partitions_for, release, stored, table, text_only
 GRAM, WINDOW = 32, 192
 SPAN = 400
 HOT = 2_000
-BATCH = 8_000_000
+STEP = 8
+BATCH = 3_000_000
 
 
 def runs(data: np.ndarray, span: int = SPAN, window: int = WINDOW):
@@ -127,42 +130,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _mark(rows: DataFrame, span: int) -> DataFrame:
+    """A row for each distinct (core, block) of a document, with its runs packed into longs."""
+
     def mark(batches):
         for b in batches:
-            parts = [[], [], [], []]
+            keys, cores, blocks, packed, n = [], [], [], [], []
             for k, t in zip(b.column("key").to_pylist(), b.column("text")):
                 found = runs(np.frombuffer(t.as_py().encode(), np.uint8), span)
-                if found is not None:
-                    lo, hi, gram, core, block = found
-                    for p, v in zip(parts, (np.full(len(lo), k, np.int64), lo << 16 | (hi - lo) << 8 | (gram - lo), core.view(np.int64), block.view(np.int64))):
-                        p.append(v)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["key", "run", "core", "block"])
-
-    return stored(rows.select("key", "text").mapInArrow(mark, "key long, run long, core long, block long"), "repeat-runs")
+                if found is None:
+                    continue
+                lo, hi, gram, core, block = found
+                order = np.lexsort((lo, block, core))
+                core, block = core[order], block[order]
+                new = np.flatnonzero(np.concatenate(([True], (core[1:] != core[:-1]) | (block[1:] != block[:-1]))))
+                packed.append((lo << 16 | (hi - lo) << 8 | (gram - lo))[order])
+                n.append(np.diff(np.append(new, len(core))))
+                keys.append(np.full(len(new), k, np.int64)), cores.append(core[new].view(np.int64)), blocks.append(block[new].view(np.int64))
+            if keys:
+                ends = np.concatenate(([0], np.cumsum(np.concatenate(n)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packed)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), lists, pa.array(np.concatenate(cores)), pa.array(np.concatenate(blocks))], names=["key", "runs", "core", "block"])
+
+    return stored(rows.select("key", "text").mapInArrow(mark, "key long, runs array<long>, core long, block long"), "repeat-runs")
+
+
+def steps_of(pre: np.ndarray, two: np.ndarray, lo: int, hi: int, gram: int, span: int) -> list[dict]:
+    """A run's windows in steps of STEP distances to its 32-gram: hashes of the step's core and block, and of each window."""
+    out = []
+    for j in range((gram - hi) // STEP, (gram - lo) // STEP + 1):
+        a, z = max(lo, gram - STEP * j - STEP + 1), min(hi, gram - STEP * j)
+        at = np.arange(a, z + 1)
+        core = mix(between(pre, np.array([gram - STEP * j]), np.array([gram - STEP * j - STEP + 1 + span])) + np.uint64(j))
+        block = mix(_hash.between_two(two, np.array([a]), np.array([z + span])) + np.uint64(z - a))
+        out.append({"at": a, "core": int(core.view(np.int64)[0]), "block": int(block.view(np.int64)[0]), "windows": mix(between(pre, at, at + span)).view(np.int64).tolist()})
+    return out
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """The bytes of the wanted runs; of hot runs the hashes of their windows instead."""
+    """The bytes of the wanted runs; of hot runs the hashes of their steps and windows instead."""
 
     def cut(batches):
         for b in batches:
             out = [[], [], [], [], [], []]
             for k, t, many in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
                 data = np.frombuffer(t.as_py().encode(), np.uint8)
-                pre = prefix(data) if any(r["hot"] for r in many) else None
+                pre, two = (prefix(data), _hash.prefix_two(data)) if any(r["hot"] for r in many) else (None, None)
                 for r in many:
                     lo, wide = r["run"] >> 16, r["run"] >> 8 & 255
-                    at = np.arange(lo, lo + wide + 1)
-                    hashes = mix(between(pre, at, at + span)).view(np.int64).tolist() if r["hot"] else None
+                    hashes = steps_of(pre, two, lo, lo + wide, lo + (r["run"] & 255), span) if r["hot"] else None
                     body = None if r["hot"] else data[lo : lo + wide + span].tobytes()
                     for o, v in zip(out, (k, r["run"], r["core"], r["ask"], body, hashes)):
                         o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["key", "run", "core", "ask", "body", "hashes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("at", pa.int64()), ("core", pa.int64()), ("block", pa.int64()), ("windows", pa.list_(pa.int64()))])))
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["key", "run", "core", "ask", "body", "steps"])
 
     by = wanted.groupBy("key").agg(F.collect_list(F.struct("run", "core", "ask", "hot")).alias("runs"))
-    return stored(rows.select("key", "text").join(by.hint("shuffle_hash"), "key").mapInArrow(cut, "key long, run long, core long, ask boolean, body binary, hashes array<long>"), "repeat-contexts")
+    return stored(rows.select("key", "text").join(by.hint("shuffle_hash"), "key").mapInArrow(cut, "key long, run long, core long, ask boolean, body binary, steps array<struct<at:long,core:long,block:long,windows:array<long>>>"), "repeat-contexts", batch=1_000)
 
 
 def _sorted_repeats(contexts: DataFrame, span: int) -> DataFrame:
@@ -207,28 +230,37 @@ def _sorted_repeats(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def _counted_repeats(contexts: DataFrame) -> DataFrame:
-    """Starts of repeating windows of hot cores: hashes counted after map-side sums."""
-    each = contexts.where("hashes is not null").select("key", "ask", "core", F.shiftright("run", 16).alias("lo"), F.posexplode("hashes").alias("step", "hash"))
-    twice = each.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "hash")
-    start = F.col("lo") + F.col("step")
-    return each.where("ask").join(twice, ["core", "hash"]).select("key", start.alias("a"), start.alias("b"))
+    """Ranges of repeating windows of hot cores: steps, then windows, by counts of hashes."""
+    each = contexts.where("steps is not null").select("key", "ask", F.explode("steps").alias("s")).select("key", "ask", "s.*")
+    met = each.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    some = stored(each.join(met, "core"), "repeat-steps")
+    sums = some.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    judged = some.join(sums, ["core", "block"])
+    whole = judged.where("ask and n > 1").select("key", F.col("at").alias("a"), (F.col("at") + F.size("windows") - 1).alias("b"))
+    # of a repeated block one row stands for all, beside the open ones
+    left = judged.where((F.col("n") == 1) | ((F.col("one.key") == F.col("key")) & (F.col("one.at") == F.col("at"))))
+    left = left.select("key", "core", "at", (F.col("ask") & (F.col("n") == 1)).alias("ask"), F.posexplode("windows").alias("step", "window"))
+    twice = left.groupBy("core", "window").agg(F.count(F.lit(1)).alias("n2")).where("n2 > 1").select("core", "window")
+    start = F.col("at") + F.col("step")
+    return whole.unionByName(left.where("ask").join(twice, ["core", "window"]).select("key", start.alias("a"), start.alias("b")))
 
 
 def repeats(rows: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     """key, a, b: ranges of starts whose windows occur elsewhere too."""
     marks = _mark(rows, span)
-    cores = marks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    some = stored(marks.join(cores, "core").select("key", "run", "core", "block"), "repeat-some")
+    n_runs = F.sum(F.size("runs")).alias("n")
+    cores = marks.groupBy("core").agg(n_runs).where("n > 1").select("core")
+    some = stored(marks.join(cores, "core").select("key", "runs", "core", "block"), "repeat-some")
     release(rows.sparkSession)
-    blocks = some.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "run")).alias("one"))
+    blocks = some.groupBy("core", "block").agg(n_runs, F.min(F.struct("key", F.col("runs")[0].alias("run"))).alias("one"))
     open_ = blocks.where("n = 1").groupBy("core").agg(F.count(F.lit(1)).alias("n_open"))
     sides = blocks.join(open_, "core")
     parts = sides.groupBy("core").agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
     wanted = sides.join(parts, "core").select(F.col("one.key").alias("key"), F.col("one.run").alias("run"), "core", (F.col("n") == 1).alias("ask"), (F.col("n_parts") > hot).alias("hot"))
     contexts = _contexts(rows, wanted, span)
     lo = F.shiftright("run", 16)
-    settled = some.join(blocks.where("n > 1").select("core", "block"), ["core", "block"]).select("key", lo.alias("a"), (lo + F.shiftright("run", 8).bitwiseAND(F.lit(255))).alias("b"))
-    out = stored(settled.unionByName(_sorted_repeats(contexts, span)).unionByName(_counted_repeats(contexts)), "repeat-starts")
+    settled = some.join(blocks.where("n > 1").select("core", "block"), ["core", "block"]).select("key", F.explode("runs").alias("run")).select("key", lo.alias("a"), (lo + F.shiftright("run", 8).bitwiseAND(F.lit(255))).alias("b"))
+    out = stored(settled.unionByName(_sorted_repeats(contexts, span)).unionByName(_counted_repeats(contexts)), "repeat-starts", batch=2_000)
     release(rows.sparkSession)
     return out
 
