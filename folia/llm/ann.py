@@ -32,7 +32,7 @@ from ._util import partitions_for, stored, table
 
 SAMPLE = 8_192
 CENTROIDS = 64
-SHARE = 0.45
+SHARE = 0.55
 LEAST = 5_000
 BLOCK = 4_096
 ROUNDS = 12

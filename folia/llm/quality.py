@@ -34,6 +34,7 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]{2,}")
 _DIGITS = re.compile(r"\d+")
 DENSE = 11
+RARE = -4.0
 HEADS = ("low", "toxic")
 
 
@@ -67,8 +68,8 @@ class Model:
         self.weights = weights
 
     def base(self) -> dict[str, float]:
-        """The training rows' prior log odds of each head."""
-        return {h: self.weights[h][1] if self.weights[h] else 0.0 for h in HEADS}
+        """The training rows' prior log odds of each head; a head that saw no labels takes bad documents to be rare."""
+        return {h: self.weights[h][1] if self.weights[h] else RARE for h in HEADS}
 
     def row(self, head: str, dense: list[float], seen: set[str]) -> np.ndarray:
         x = np.zeros(1 + DENSE + len(self.words[head]))
