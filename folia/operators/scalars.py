@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 from ..functions import dates
 from ..functions import python_side as P
@@ -13,7 +14,7 @@ from ..registry import query
 from ..session import load
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def calculate(s: pd.Series) -> pd.Series:
     """The exact value as text, or what is wrong with the expression after 'error: '."""
 
@@ -28,28 +29,28 @@ def calculate(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("struct<line:int,col:int,reason:string>")
+@F.pandas_udf(StructType([StructField("line", IntegerType()), StructField("col", IntegerType()), StructField("reason", StringType())]))
 def json_problem(s: pd.Series) -> pd.DataFrame:
     rows = [P.json_problem(x) if x is not None else None for x in s]
     return pd.DataFrame([r or (None, None, None) for r in rows], columns=["line", "col", "reason"]).astype({"line": "Int32", "col": "Int32"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(s: pd.Series) -> pd.Series:
     return s.map(lambda x: P.first_json(x) if x is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(s: pd.Series) -> pd.Series:
     return s.map(lambda x: P.repair_json(x) if x is not None else None)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hash_embedding(s: pd.Series) -> pd.Series:
     return s.map(lambda x: P.hash_embedding(x or ""))
 
 
-@F.pandas_udf("array<struct<mark:string,line:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("mark", StringType()), StructField("line", StringType())])))
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"mark": m, "line": t} for m, t in P.line_diff(x or "", y or "")] for x, y in zip(a, b)])
 
