@@ -23,11 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    batch: rows an Arrow batch may hold while this table is written, where rows are wide.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch:
+            spark.conf.set(key, str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

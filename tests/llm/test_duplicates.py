@@ -99,3 +99,13 @@ def test_keep_first_and_empty(make, dirty):
     assert 1 in ids and 2 not in ids and 3 not in ids and 16 not in ids and {4, 5, 6, 7} <= set(ids) and ids.count(11) == 1
     none = make(dirty).where("false")
     assert near_dup.near_duplicates(none).count() == 0 and suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_both_ways_to_components(spark):
+    import random
+
+    r = random.Random(6)
+    links = [(a, a + r.choice((1, 2, 50))) for a in r.sample(range(3_000), 900)] + [(i, i + 1) for i in range(5_000, 5_060)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one, many = ({x.node: x.root for x in near_dup.components(df, n).collect()} for n in (10**6, 0))
+    assert one == many and one[5_060] == 5_000
