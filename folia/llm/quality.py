@@ -124,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, n_words: int = W
         gain = F.col("df") * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base)))
         words[h] = sorted(r["word"] for r in each.orderBy(F.desc(gain), "word").limit(n_words).collect())
     model = Model(words, dict.fromkeys(HEADS))
-    sample = rows.orderBy("doc_id", *HEADS, "dense").toArrow()
+    chosen = F.array(*[F.lit(w) for w in sorted({w for h in HEADS for w in words[h]})]).cast("array<string>")
+    # only chosen words come to the driver
+    sample = rows.withColumn("words", F.array_intersect("words", chosen)).orderBy("doc_id", *HEADS, "dense").toArrow()
     dense, seen = sample.column("dense").to_pylist(), [set(w) for w in sample.column("words").to_pylist()]
     for h in HEADS:
         if some[h] in (0, some["n"]) or not some["n"]:
