@@ -3,8 +3,8 @@
 Byte-level vocabularies: the text is cut into the vocabulary's own pre-tokens and each distinct
 one goes through the library's model once. Texts that hold a special string, and vocabularies
 with other pre-tokenisers, go through the whole library: there a text is cut only at a single
-space between two visible characters, where every pre-token of those patterns ends.
-The cache of a Python worker is bounded by CACHE entries of LONG characters.
+space between two visible characters, and the lower-case vocabulary's plain ASCII pieces go by
+their words. The caches of a Python worker are bounded by CACHE entries of LONG characters each.
 """
 
 from __future__ import annotations
@@ -31,13 +31,20 @@ def pieces(text: str) -> list[str]:
     """The text cut before single inner spaces; "".join gives the text back."""
     if not text:
         return []
-    if _UNSAFE.search(text) or text[0].isspace() or text[-1].isspace():
+    if _doubled(text) or text[0].isspace() or text[-1].isspace():
         parts = _CUT.split(text)
     else:
         parts = text.split(" ")
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def _doubled(text: str) -> bool:
+    """Whether a space may stand beside other white space."""
+    if not text.isascii():
+        return bool(_UNSAFE.search(text))
+    return "  " in text or " \n" in text or "\n " in text or any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+
+
 def _byte_letters() -> dict[int, int]:
     """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for 256, 257, ..."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,6 +52,18 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+#: The lower-case vocabulary's own pattern, and what it is on ASCII text without apostrophes.
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_ODD_ASCII = re.compile(r"[\x00-\x08\x0b-\x1f\x7f']")
+_ASCII = re.compile(r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+
+
+def _is_lower_case_words(spec: dict) -> bool:
+    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return kinds == ["NFC", "Replace", "Lowercase"] and bool(cuts) and cuts[0].get("pattern", {}).get("Regex") == _WORDS
+
+
 class _Learned(dict):
     """Piece -> ids; a piece not met before is encoded on the way. Long pieces are not kept."""
 
@@ -72,7 +91,9 @@ class PieceEncoder:
         self.plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
-        self.cache = _Learned(self._model if self.plain else self._whole)
+        self.lower = _is_lower_case_words(spec)
+        self.cache = _Learned(self._model if self.plain else self._lower if self.lower else self._whole)
+        self.words = _Learned(lambda word: array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes())
         if self.plain:
             import public_tokenizers
             import regex
@@ -91,27 +112,26 @@ class PieceEncoder:
             seen = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
 
-    def _cut(self, text: str) -> list[str]:
-        if not self.plain:
-            return pieces(text)
-        return (self.pattern if _ODD.search(text) else _PRE).findall(text)
+    def _lower(self, piece: str) -> bytes:
+        """A piece for the lower-case vocabulary: plain ASCII ones by their words, through the library's model."""
+        if not piece.isascii() or _ODD_ASCII.search(piece) or any(s in piece for s in self.special):
+            return self._whole(piece)
+        return b"".join(map(self.words.__getitem__, _ASCII.findall(piece.lower())))
+
+    def _cuts(self, text: str) -> bytes:
+        """A text by its pre-tokens (or pieces)."""
+        cut = (self.pattern if _ODD.search(text) else _PRE).findall(text) if self.plain else pieces(text)
+        return b"".join(map(self.cache.__getitem__, cut))
+
+    def _text(self, text: str) -> bytes:
+        return self._whole(text) if any(s in text for s in self.special) else self._cuts(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if not self.plain:
-            self._many(texts)
-        get = self.cache.__getitem__
-        return [self._whole(t) if self.plain and any(s in t for s in self.special) else b"".join(map(get, self._cut(t))) for t in texts]
-
-    def _many(self, texts: list[str]) -> None:
-        """What is new in texts that the whole library encodes, in batches."""
-        todo = list({p for t in texts for p in pieces(t) if len(p) <= LONG}.difference(self.cache))
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[p] = array("I", e.ids).tobytes()
+        for cache in (self.cache, self.words):
+            if len(cache) > CACHE:
+                cache.clear()
+        return [self._text(t) if self.plain else self._cuts(t) for t in texts]
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -62,11 +62,13 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, cache: str, limit: int =
     texts = keyed.join(missing.hint("shuffle_hash"), same, "left_semi").select("content", "text")
 
     def encode(batches):
-        enc = encoder(vocabulary_path)
+        enc, done = encoder(vocabulary_path), set()  # repeated rows of a representative meet in one task
         for b in batches:
-            texts = b.column("text")
+            fresh = [i for i, c in enumerate(b.column("content").to_pylist()) if not (c in done or done.add(c))]
+            some = b.take(pa.array(fresh, pa.int64()))
+            texts = some.column("text")
             n = [len(x) // 4 for i in range(0, len(texts), 64) for x in enc.encode(texts[i : i + 64].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([digest] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([some.column("content"), pa.array([digest] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, digest)
