@@ -33,6 +33,7 @@ SHARD_TOKENS = 2_000_000
 LEAST = 24
 ROUNDS = 8
 A_ROUND = 4096
+GRID = 1 << 24
 
 
 def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int, most: int):
@@ -57,13 +58,22 @@ def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int
         rights.add(b)
         chosen.append(k)
     picked = np.array(sorted(chosen), kind)
+    # a grid of left by right symbols tells a place's rule with two look-ups
     size = int(seq.max()) + 1
-    is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
-    is_left[picked >> kind(bits)] = True
-    is_right[picked & kind((1 << bits) - 1)] = True
-    at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-    where = np.searchsorted(picked, pair[at])
-    hit = picked[np.minimum(where, len(picked) - 1)] == pair[at]
+    left, right = picked >> kind(bits), picked & kind((1 << bits) - 1)
+    rows, columns = np.unique(left), np.unique(right)
+    row, column = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    row[rows], column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    a, b = row[seq[:-1]], column[seq[1:]]
+    at = np.flatnonzero((a >= 0) & (b >= 0) & ~last[:-1])
+    if len(rows) * len(columns) <= GRID:
+        grid = np.full(len(rows) * len(columns), -1, np.int32)
+        grid[row[left].astype(np.int64) * len(columns) + column[right]] = np.arange(len(picked))
+        where = grid[a[at].astype(np.int64) * len(columns) + b[at]]
+        hit = where >= 0
+    else:
+        where = np.searchsorted(picked, pair[at])
+        hit = picked[np.minimum(where, len(picked) - 1)] == pair[at]
     at, where = at[hit], where[hit]
     twin = np.flatnonzero(np.diff(at) == 1)
     if len(twin):  # only a pair of equal ids can overlap itself: take every other one of a run
@@ -143,9 +153,9 @@ class Shard:
                 self.flat[p : p + n] = self.flat[self.start[s - self.base] :][:n] if s >= self.base else s
                 p += n
 
-    def ids(self, k: int) -> np.ndarray:
-        """The ids of the shard's k-th document."""
-        s = self.symbols[self.first[k] : self.first[k + 1]].astype(np.int64)
+    def _expand(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of symbols, and how many each symbol stands for."""
+        s = s.astype(np.int64)
         rule = s >= self.base
         r = np.where(rule, s - self.base, 0)
         n = np.where(rule, self.lengths[r], 1) if len(self.lengths) else np.ones(len(s), np.int64)
@@ -154,7 +164,16 @@ class Shard:
             within = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
             inner = np.repeat(rule, n)
             out[inner] = self.flat[np.repeat(self.start[r], n)[inner] + within[inner]]
-        return out.astype("<u4")
+        return out.astype("<u4"), n
+
+    def ids(self, k: int) -> np.ndarray:
+        """The ids of the shard's k-th document, without decoding the others."""
+        return self._expand(self.symbols[self.first[k] : self.first[k + 1]])[0]
+
+    def all_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents in order, and where each begins and the last ends."""
+        ids, n = self._expand(self.symbols)
+        return ids, np.concatenate(([0], np.cumsum(n)))[self.first]
 
 
 def write_ids(docs: DataFrame, vocabulary_path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -197,15 +216,12 @@ def read_ids(shards: DataFrame) -> DataFrame:
         for b in batches:
             for part, block, blob in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), b.column("shard")):
                 s = Shard(blob.as_py())
-                n, crc = [], []
-                for k in range(len(s.doc_ids)):
-                    x = s.ids(k)
-                    n.append(len(x))
-                    crc.append(zlib.crc32(x.tobytes()))
-                n = np.array(n, np.int64)
+                x, at = s.all_ids()
+                body, n = memoryview(x.tobytes()), np.diff(at)
+                crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(at.tolist(), at[1:].tolist())]
                 ids = pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == -(1 << 63))
                 same = [pa.array([v] * len(n), pa.int32()) for v in (part, block)]
-                yield pa.RecordBatch.from_arrays([*same, ids, pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*same, ids, pa.array(at[:-1]), pa.array(n), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     each = shards.select("part", "block", "shard").mapInArrow(decode, "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return each.join(starts, ["part", "block"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
