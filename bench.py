@@ -14,7 +14,7 @@ from statistics import median
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = (
     "orders_check_sum_le orders_check_same check_counts link_orders_to_customers doc_fold_contains doc_facet_lang_source lang_status_pivot doc_value_key_dedup "
     "meta_range meta_validate inner_join_chain left_chain user_usage_with_counts events_by_month_tz usage_cost_by_kind three_way_diff current_value_per_slot supersede_chain "
@@ -39,6 +39,7 @@ def main() -> None:
             if k:
                 times.append(time.perf_counter() - began)
         took[name] = round(median(times), 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     out = {"metric": "total_seconds_headline_queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}
     if "--duckdb" in sys.argv:
         out["duckdb"] = duckdb_times(catalog.oracles())
