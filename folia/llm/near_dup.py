@@ -6,12 +6,16 @@ serve la * lb tables. Collection sizes follow the threshold so that a pair at th
 misses all of a collection with probability MISS at most. Equal sets are one node from the start.
 
 A half key met once can't be part of a shared table key, so only shared half keys are combined.
-Inside a table key, rows in a pseudo-random order of the table are compared with the first and
-with the one before: a linear number of candidates for a group of any size, and other orders in
-other tables. Candidates whose minhashes agree far less than the threshold are left; the others
-are confirmed on the full sets: first the FIRST likeliest of each document, then those that would
-join components still apart, GROWTH times as many a document in every round, until none is left. Components follow from confirmed links by
-repeated minima in the shared folder, never on the driver.
+Inside a table key, rows in a pseudo-random order of the table are first compared with the one
+before and the one FARTHER before: a linear number of candidates that settles most of a large
+group. Keys of more rows that still hold several components are then compared whole, by their
+first half key and in blocks of BLOCK shingles: every row outside the commonest component with every
+row of another one, so no pair of such a key stays untested unless its ends are joined already; the
+full sets decide in the same task, which hands on only links that join components. Candidates whose
+minhashes agree far less than the threshold are left; those of neighbours are confirmed on the full sets:
+first the FIRST likeliest of each document, then those that would join components still apart,
+GROWTH times as many a document in every round, until none is left. Components follow from
+confirmed links by repeated minima in the shared folder, never on the driver.
 
 Defined results: null, empty or word-free text has no shingles and links with nothing; rows that
 repeat a doc_id are one node; a null doc_id has a null component; an empty table gives no rows.
@@ -36,6 +40,7 @@ FIRST, GROWTH = 4, 16
 FARTHER = 2
 ONE_TASK = 1_000_000
 A_LONG = 15
+BLOCK = 1_000_000
 _CHUNK = 2_048
 
 
@@ -105,20 +110,25 @@ def describe(docs: DataFrame, k: int, sizes: tuple[int, int]) -> DataFrame:
 
 
 def table_rows(nodes: DataFrame, sizes: tuple[int, int]) -> DataFrame:
-    """table, rep, n, bits: a row for each pair of half keys that a node shares with others."""
+    """table, x, rep, n, bits: a row for each pair of half keys, x the first, that a node shares with others."""
     keys = nodes.select("rep", F.posexplode("halves").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("key")
     held = keys.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("at") < sizes[0], F.col("key"))).alias("a"), F.collect_list(F.when(F.col("at") >= sizes[0], F.col("key"))).alias("b"))
     crossed = held.where("size(a) > 0 and size(b) > 0").join(nodes.select("rep", "n", "bits"), "rep").select("rep", "n", "bits", "b", F.explode("a").alias("x"))
-    return stored(crossed.select("rep", "n", "bits", F.explode(F.transform("b", lambda y: F.xxhash64("x", y))).alias("table")), "near-tables")
+    return stored(crossed.select("rep", "n", "bits", "x", F.explode(F.transform("b", lambda y: F.xxhash64("x", y))).alias("table")), "near-tables")
+
+
+def bounds(sizes: tuple[int, int], threshold: float) -> tuple[int, float]:
+    """The number of minhashes and the least estimate of a candidate."""
+    n_hashes = sizes[0] * ROWS[0] + sizes[1] * ROWS[1]
+    # an estimate from n minhashes: one pair in thirty thousand at the threshold falls four deviations below it
+    return n_hashes, threshold - 4 * math.sqrt((threshold * (1 - threshold) + (1 - threshold) / 15) / n_hashes)
 
 
 def candidates(rows: DataFrame, sizes: tuple[int, int], threshold: float, before: tuple[int, ...], root: DataFrame | None = None) -> DataFrame:
     """Pairs a < b that stand `before` places apart in a table and are alike enough;
     with roots, only pairs of different ones."""
-    n_hashes = sizes[0] * ROWS[0] + sizes[1] * ROWS[1]
-    # an estimate from n minhashes: one pair in thirty thousand at the threshold falls four deviations below it
-    least = threshold - 4 * math.sqrt((threshold * (1 - threshold) + (1 - threshold) / 15) / n_hashes)
+    n_hashes, least = bounds(sizes, threshold)
     rows = rows.withColumn("root", F.lit(0).cast("long")) if root is None else rows.join(root.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     order = Window.partitionBy("table").orderBy(F.xxhash64("rep", "table"), "rep")
     me = F.struct("rep", "n", "bits", "root")
@@ -170,6 +180,95 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(met.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links", batch=256)
 
 
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the table keys that neighbours don't settle: more rows than 1 + FARTHER and several
+    roots. One row for a node and half key x; lo and hi name the two blocks of x that meet, outside
+    says that the row's root isn't the commonest of x."""
+    rooted = rows.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    keys = rooted.groupBy("table").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("all") > 1 + FARTHER) & (F.col("least") < F.col("most"))).select("table")
+    at = stored(rooted.join(keys, "table").groupBy("x", "rep").agg(*[F.first(c).alias(c) for c in ("n", "bits", "root")]), "near-open")
+    top = at.groupBy("x", "root").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("size")).groupBy("x").agg(F.sum("size").alias("all"), F.max(F.struct("held", "root", "size")).alias("top"))
+    whole, blocks = F.col("all") <= 2 * BLOCK, lambda n: F.ceil(n / F.lit(BLOCK))
+    top = top.select("x", F.col("top.root").alias("top"), F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("top.size")))).alias("outer"), F.when(whole, 0).otherwise(blocks(F.col("top.size"))).alias("inner"))
+    outside, spread = F.col("root") != F.col("top"), F.xxhash64("rep")
+    block = F.when(outside | (F.col("inner") == 0), F.pmod(spread, "outer")).otherwise(F.col("outer") + F.pmod(spread, F.greatest("inner", F.lit(1))))
+    # rows of the commonest root never meet each other
+    last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    met = at.join(top, "x").select("x", "rep", "n", "bits", "root", outside.cast("long").alias("outside"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    return stored(met.select("x", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "root", "block", "outside", "bits"), "near-blocks")
+
+
+def crowded_links(rows: DataFrame, sets: DataFrame, sizes: tuple[int, int], percent: int) -> DataFrame:
+    """Links that join different roots among open rows: every pair of a pair of blocks that is alike
+    enough is tested on the full sets, unless its ends are joined already."""
+    plain = [c for c in rows.columns if c != "bits"]
+    n_hashes, least = bounds(sizes, percent / 100)
+
+    def meet(g):
+        root, n, bits = g["root"].copy(), g["n"], g["bits"]
+        xs, ys = np.flatnonzero((g["block"] == g["lo"]) & (g["outside"] == 1)), np.flatnonzero(g["block"] == g["hi"])
+        if not len(xs) or not len(ys):
+            return
+        length = np.array([len(s) // 8 for s in g["grams"]], np.int64)
+        start = np.cumsum(length) - length
+        ids = flag = None
+        for x in xs:
+            y = ys[(root[ys] != root[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
+            if not len(y):
+                continue
+            d = bits[y] ^ bits[x]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            apart = np.bitwise_count(d & np.uint64(0x0111111111111111)).sum(axis=1, dtype=np.int64)
+            y = y[1 - apart / (15 / 16 * n_hashes) >= least]
+            if not len(y):
+                continue
+            if ids is None:
+                ids = np.unique(np.frombuffer(b"".join(g["grams"]), np.uint64), return_inverse=True)[1]
+                flag = np.zeros(int(ids.max()) + 1, np.uint8)
+            own = ids[start[x] : start[x] + length[x]]
+            flag[own] = 1
+            each, ends = length[y], np.cumsum(length[y])
+            held = flag[ids[np.arange(ends[-1]) + np.repeat(start[y] - (ends - each), each)]]
+            flag[own] = 0
+            both = np.add.reduceat(held, ends - each, dtype=np.int64)
+            y = y[100 * both >= percent * (each + length[x] - both)]
+            roots, first = np.unique(root[y], return_index=True)
+            for r, f in zip(roots, first):  # one link for each root met
+                yield int(g["rep"][x]), int(g["rep"][y[f]])
+            root[np.isin(root, roots)] = root[x]
+
+    def links(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = {c: b.column(c).to_numpy() for c in plain}
+            now["bits"] = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)
+            now["grams"] = np.array([*b.column("grams").to_pylist(), None], object)[:-1]
+            if rest is not None:
+                now = {c: np.concatenate((rest[c], v)) for c, v in now.items()}
+            new = np.zeros(len(now["rep"]) - 1, bool)
+            for c in ("x", "lo", "hi"):
+                new |= now[c][1:] != now[c][:-1]
+            start = 0
+            for end in (np.flatnonzero(new) + 1).tolist():
+                yield from _links(meet({c: v[start:end] for c, v in now.items()}))
+                start = end
+            rest = {c: v[start:] for c, v in now.items()}
+        if rest is not None:
+            yield from _links(meet(rest))
+
+    dealt = rows.join(sets.toDF("rep", "grams"), "rep").repartition("x", "lo", "hi").sortWithinPartitions("x", "lo", "hi")
+    return stored(dealt.select(*plain, "bits", "grams").mapInArrow(links, "a long, b long"), "near-links", batch=256)
+
+
+def _links(found):
+    """A batch of the pairs found, the smaller end first, if there are any."""
+    if pairs := [(min(p), max(p)) for p in found]:
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, root (the smallest node it reaches) for every node of the links.
 
@@ -240,6 +339,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     farther = candidates(tables, sizes, percent / 100, (FARTHER,), roots)
     if farther.limit(1).count():
         links, roots = linked(farther, links, docs, k, percent)
+    crowded = open_rows(tables, roots)
+    if crowded.limit(1).count():
+        release(docs.sparkSession)
+        more = crowded_links(crowded, full_sets(docs, crowded.select(F.col("rep").alias("doc_id")).distinct(), k), sizes, percent)
+        if more.limit(1).count():
+            roots = components(stored(links.union(more), "near-links"))
     home = members.join(roots.toDF("rep", "root"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(home, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -109,3 +109,34 @@ def test_both_ways_to_components(spark):
     df = spark.createDataFrame(links, "a long, b long")
     one, many = ({x.node: x.root for x in near_dup.components(df, n).collect()} for n in (10**6, 0))
     assert one == many and one[5_060] == 5_000
+
+
+def test_crowded_group_near_the_threshold(make):
+    """Thousands of copies of one page with every pair around the threshold: many links are met only away from a table's neighbours."""
+    import random
+
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(3_000):
+        at, n = r.randrange(400), r.randrange(20, 30)  # a run of new words: likeness to others from the sizes and overlap of the runs
+        rows.append((d, " ".join(f"d{d}x{i}" if (i - at) % 400 < n else w for i, w in enumerate(base))))
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    ids = {}
+    held = np.zeros((len(rows), 396), np.float32)
+    for d, s in enumerate(sets):
+        for g in s:
+            if not any(w[0] == "d" for w in g):
+                held[d, ids.setdefault(g, len(ids))] = 1
+    both, n = held @ held.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 85 * (n[:, None] + n - both)
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(rows))
+    while True:
+        low = np.minimum(root, np.where(linked, root, len(rows)).min(axis=1))
+        if (low == root).all():
+            break
+        root = low
+    assert 1 < len(set(root.tolist())) < 1_000
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(make(rows), 85).collect()}
+    assert got == dict(enumerate(root.tolist()))
