@@ -1,9 +1,11 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A text and a template are normalised alike: lower case, copyright lines dropped, spelling
+A text and a template are normalised alike: lower case, copyright clauses dropped, spelling
 variants joined, all but letters, digits and dots inside versions removed. The segments of a
-text are its lines, its maximal runs of neighbouring lines that mostly hold template bigrams, and
-the whole text. A segment of a bigrams and a template of b can reach a Dice of t only if
+text are its lines, its maximal runs of neighbouring lines that mostly hold template bigrams, the
+whole text, and for each template the windows of words, across lines, whose sizes are within its
+bounds (from its own length up for templates under SHORT bigrams, where a word left out may
+name another licence). Of segments that overlap, the one with the best Dice counts. A segment of a bigrams and a template of b can reach a Dice of t only if
 t / (2 - t) * a <= b <= (2 - t) / t * a; templates outside these bounds are never compared.
 
 Templates are a fixed list or one given by the caller (driver-side, so bounded); documents are
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,12 +51,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # whole licence texts
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_COPYRIGHT = re.compile(r"(?im)^\W*(?:copyright\b|©|\(c\)\s*\d{4}).*$")
+_COPYRIGHT = re.compile(r"(?m)^\W*(?i:copyright\b(?!\s+(?:notices?|holders?|owners?|laws?|and|or)\b)|©|\(c\)\s*\d{4}).*?(?:(?<![A-Z])[.;](?=\s+[A-Z])|$)(?:\s*(?i:all rights reserved)\b\.?)?")
 _VARIANT = {"licence": "license", "licenced": "licensed", "licences": "licenses"}
 DENSE = 0.5
+SHORT = 12
 
 
 def normalised(text: str) -> list[str]:
@@ -68,6 +77,7 @@ class Templates:
     def __init__(self, templates, threshold: float):
         self.threshold = threshold
         self.all = [(name, bigrams(normalised(text))) for name, text in templates]
+        self.lengths = [len(normalised(text)) - 1 for _, text in templates if bigrams(normalised(text))]
         self.all = [(n, b) for n, b in self.all if b]
         self.holders: dict[tuple[str, str], list[int]] = {}
         for i, (_, b) in enumerate(self.all):
@@ -89,27 +99,63 @@ class Templates:
                 out = (dice, name)
         return out
 
+    def windows(self, grams: list[tuple[str, str]]) -> list[tuple[float, str, int, int]]:
+        """dice, name, first and last bigram: of every start, the best window for each template."""
+        t, n, out = self.threshold, len(grams), []
+        for i, c in Counter(i for g in set(grams) for i in self.holders.get(g, ())).items():
+            name, b = self.all[i]
+            low, high = t / (2 - t) * len(b), (2 - t) / t * len(b)
+            if c < low:  # so many must be shared to reach t at any size
+                continue
+            least = self.lengths[i] if len(b) < SHORT else 1
+            starts = [k for k, g in enumerate(grams) if g in b and k + least <= n]
+            for k in {*starts, max(0, n - least)}:
+                seen, shared, best = set(), 0, None
+                for z in range(k, n):
+                    g = grams[z]
+                    if g not in seen:
+                        seen.add(g)
+                        shared += g in b
+                        if len(seen) > high:
+                            break
+                    if z - k + 1 >= min(least, n):
+                        dice = 2 * shared / (len(seen) + len(b))
+                        if dice >= t and len(seen) >= low and (best is None or dice > best[0]):
+                            best = (dice, name, k, z)
+                if best:
+                    out.append(best)
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """Matches as (first line, last line, name, dice); the whole text counts as all its lines."""
+        """Matches apart from each other as (first line, last line, name, dice)."""
         found, run, lines = [], [], text.split("\n")
         words = [normalised(x) for x in lines]
+        whole = [x for w in words for x in w]
+        if self.vocabulary.isdisjoint(whole):
+            return []
+        at = np.cumsum([0, *map(len, words)]).tolist()
         for k, w in enumerate([*words, []]):
             g = bigrams(w) if not self.vocabulary.isdisjoint(w) else set()
             if g and sum(x in self.holders for x in g) >= DENSE * len(g):
                 if hit := self.best(g):
-                    found.append((k, k, hit[1], hit[0]))
+                    found.append((*hit, at[k], at[k + 1] - 1))
                 run.append(k)
                 continue
             if len(run) > 1:
                 joined = [x for i in run for x in words[i]]
                 if hit := self.best(bigrams(joined)):
-                    found.append((run[0], run[-1], hit[1], hit[0]))
+                    found.append((*hit, at[run[0]], at[run[-1] + 1] - 1))
             run = []
-        whole = [x for w in words for x in w]
-        if len(lines) > 1 and not self.vocabulary.isdisjoint(whole) and len(whole) <= 4 * max(len(b) for _, b in self.all):
+        if len(lines) > 1 and len(whole) <= 4 * max(len(b) for _, b in self.all):
             if hit := self.best(bigrams(whole)):
-                found.append((0, len(lines) - 1, hit[1], hit[0]))
-        return found
+                found.append((*hit, 0, len(whole) - 1))
+        found += [(d, name, a, z + 1) for d, name, a, z in self.windows(list(zip(whole, whole[1:])))]
+        apart: list[tuple[float, str, int, int]] = []
+        for m in sorted(found, key=lambda m: (-m[0], m[2] - m[3], m[1], m[2])):
+            if all(m[3] < o[2] or o[3] < m[2] for o in apart):
+                apart.append(m)
+        line = [k for k, w in enumerate(words) for _ in w]
+        return [(line[a], line[z], name, d) for d, name, a, z in sorted(apart, key=lambda m: m[2])]
 
 
 SCHEMA = "doc_id long, n_matches long, license string, dice double, licenses array<string>, first_line int, last_line int"

@@ -50,6 +50,19 @@ def test_licenses(make):
     assert licenses.scan_licenses(make(rows).where("false")).count() == 0
 
 
+def test_licenses_across_paragraphs_and_inside_lines():
+    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+    clauses = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above\ncopyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+    tail = next(t for n, t in licenses.TEMPLATES[::-1] if n == "BSD-2-Clause").split("with the distribution. ")[1]
+    names = lambda text: [m[2] for m in known.scan(text)]
+    assert names(f"Copyright (c) 2020, J. Foo, Inc. All rights reserved.\n\n{clauses}\n\n{tail}\n\nand prose") == ["BSD-2-Clause"]
+    assert known.scan("prose first\n\n" + clauses)[0][:3] == (2, 10, "BSD-2-Clause")
+    assert names("Licensed under the Apache License, Version 2.0. See the file for details.") == ["Apache-2.0"]
+    assert names("Copyright 2020 Foo. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert names("Some text before it. Released under the MIT License. Some text after it") == ["MIT"]
+    assert names("It is licensed under CC BY-ND 4.0 since May.") == [] and names("Licensed under CC BY-NC 4.0, so no sale") == ["CC-BY-NC-4.0"]
+
+
 def test_license_lines_against_brute_force(dirty):
     known = licenses.Templates(licenses.TEMPLATES, 0.8)
     lines = [line for _, t in dirty for line in (t or "").split("\n")] + [t for _, t in licenses.TEMPLATES] + ["Licensed under the Apache License Version 2.0 by us", "This work is licensed under GNU General Public License, version 3"]
