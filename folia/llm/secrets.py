@@ -7,8 +7,9 @@ words cover, the pattern, the path, and the words around it. Training data are f
 rows, or the seeded ones of `labelled_findings` (a few thousand, which bounds the driver's part);
 trees are small arrays that every task gets. Documents are read once, whole, with no shuffle.
 
-Defined results: null text has no findings; overlapping candidates go to the earlier start, then
-the earlier pattern; repeated rows give their findings each; a table with no findings gives none.
+Defined results: null text has no findings; every candidate is scored, and of overlapping ones those
+judged secret go first, then the earlier pattern, then the earlier start (a mark replaces all that any
+of them covers); repeated rows give their findings each; a table with no findings gives none.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("assigned", r"(?i)\b(?:[a-z0-9]+[_-])*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{6,})"),
     ("random", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])"),
 )
+_RANK = {k: i for i, (k, _) in enumerate(PATTERNS)}
 _ANY = re.compile(r"(?i)-----BEGIN|AKIA|ASIA|gh[pousr]_|eyJ|pass|pwd|secret|token|key|auth|[A-Za-z0-9+/_=-]{24}")
 _COMPILED = tuple((k, re.compile(p)) for k, p in PATTERNS)
 #: Words that make a candidate readable.
@@ -44,7 +46,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, pattern) of the candidates, apart from each other."""
+    """(start, end, pattern) of all candidates; they may overlap."""
     if not _ANY.search(text):
         return []
     found = []
@@ -52,10 +54,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for m in p.finditer(text):
             a, b = m.span(1 if p.groups else 0)
             found.append((a, rank, b, kind))
+    return [(a, b, kind) for a, _, b, kind in sorted(found)]
+
+
+def apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of overlapping candidates the one that starts first."""
     out: list[tuple[int, int, str]] = []
-    for a, _, b, kind in sorted(found):
-        if not out or a >= out[-1][1]:
-            out.append((a, b, kind))
+    for c in found:
+        if not out or c[0] >= out[-1][1]:
+            out.append(c)
     return out
 
 
@@ -139,7 +146,7 @@ def labelled_findings(n: int = 4_000, seed: int = 11) -> list[tuple[str, int, in
         text = f"{ahead}{' ' if ahead else ''}{lead}{value}{tail} {' '.join(word() for _ in range(r.randint(0, 6)))}"
         path = r.choice(("", "src1", "src/main", "docs/readme", "test/fixture", "config/app", "example/demo")) if not truth else r.choice(("", "src0", "src/main", "config/app", "deploy/env", "test/fixture"))
         at = len(ahead) + bool(ahead) + len(lead)
-        hit = next((c for c in candidates(text) if c[0] < at + len(value) and c[1] > at), None)
+        hit = next((c for c in apart(candidates(text)) if c[0] < at + len(value) and c[1] > at), None)
         if hit:
             out.append((text, *hit, path, truth))
     return out
@@ -207,7 +214,8 @@ def train(findings=None) -> Forest:
     return Forest().fit(x, np.array([float(r[5]) for r in rows]))
 
 
-def judged(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
+def scored(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
+    """All candidates with their scores; they may overlap."""
     found = candidates(text)
     if not found:
         return []
@@ -215,6 +223,28 @@ def judged(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, fl
     return [(a, b, k, float(s)) for (a, b, k), s in zip(found, score)]
 
 
+def judged(text: str, path: str, forest: Forest, threshold: float) -> list[tuple[int, int, str, float]]:
+    """Scored candidates apart from each other: secrets first, and known formats before looser patterns."""
+    out: list[tuple[int, int, str, float]] = []
+    for a, b, k, s in sorted(scored(text, path, forest), key=lambda c: (c[3] < threshold, _RANK[c[2]], c[0])):
+        if all(b <= o[0] or a >= o[1] for o in out):
+            out.append((a, b, k, s))
+    return sorted(out)
+
+
+def secret_spans(text: str, path: str, forest: Forest, threshold: float) -> list[tuple[int, int]]:
+    """What any candidate judged secret covers, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, b, _, s in sorted(scored(text, path, forest)):
+        if s < threshold:
+            continue
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 FOUND = "doc_id long, start int, length int, kind string, value_sha256 string, score double, is_secret boolean"
 
 
@@ -229,7 +259,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, path=None, threshold: float =
             out = []
             for d, t, p in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("path").to_pylist()):
                 text = t.as_py()
-                for a, z, kind, s in judged(text, p, model.value):
+                for a, z, kind, s in judged(text, p, model.value, threshold):
                     out.append((d, a, z - a, kind, hashlib.sha256(text[a:z].encode()).hexdigest(), round(s, 6), s >= threshold))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "length", "kind", "value_sha256", "score", "is_secret"])
@@ -247,9 +277,8 @@ def redact(docs: DataFrame, forest: Forest, path: str = "source", threshold: flo
             at, paths = names.index("text"), b.column(path).to_pylist() if path in names else [None] * b.num_rows
             texts = b.column("text").to_pylist()
             for i, (t, p) in enumerate(zip(texts, paths)):
-                for a, z, _, s in reversed(judged(t, str(p or ""), model.value) if t else []):
-                    if s >= threshold:
-                        texts[i] = texts[i][:a] + mark + texts[i][z:]
+                for a, z in reversed(secret_spans(t, str(p or ""), model.value, threshold) if t else []):
+                    texts[i] = texts[i][:a] + mark + texts[i][z:]
             cols = list(b.columns)
             cols[at] = pa.array(texts, b.schema.field(at).type)
             if "n_chars" in names:
