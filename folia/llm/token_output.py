@@ -2,7 +2,9 @@
 
 Documents go to range partitions by doc_id, so shards are in ascending doc_id order. A shard
 holds about SHARD_TOKENS ids. Frequent id pairs are replaced by nonterminals, many pairs a round
-when they can't meet in one place, until no pair is frequent. Pairs never cross documents, so
+when they can't meet in one place, for at most ROUNDS rounds, while a pair is met LEAST times or more
+and symbols stay within 16 bits (where the vocabulary does): the grammar is cut short of Re-Pair's
+end, which costs compression and no ids. Pairs never cross documents, so
 with each document's first symbol and the rules' expansion lengths any document, or any id of
 it, is decoded alone.
 
