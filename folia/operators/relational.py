@@ -219,7 +219,7 @@ def upsert_orders(spark: SparkSession, d: str) -> DataFrame:
 @query("with old as (select c_custkey from customer where c_acctbal < 0), new as (select distinct o_custkey as c_custkey from orders) select * from old union all select c_custkey from new where c_custkey not in (select c_custkey from old)")
 def insert_ignore_customers(spark: SparkSession, d: str) -> DataFrame:
     """U02."""
-    old = load(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey")
+    old = load(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
     return insert_ignore(old, load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
 
 
