@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 64
+_written: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one is set only where the cluster names none (tests)."""
+    """The folder of spark.checkpoint.dir; only a local session without one takes a temporary folder."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="folia-shared-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -38,9 +46,53 @@ def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
+    if _written:
+        _written[-1].append(path)
+    else:
+        atexit.register(delete, spark, [path])
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What stored() writes inside is deleted at the end; the function it gives stores a result that outlives it."""
+    _written.append([])
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        kept = stored(df, name)
+        path = _written[-1].pop()
+        if len(_written) > 1:
+            _written[-2].append(path)
+        else:
+            atexit.register(delete, spark, [path])
+        return kept
+
+    try:
+        yield result
+    finally:
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stored tables; at the end of the program only if the session still runs."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def looked_up(rows: DataFrame, key: str, values: DataFrame, by: str, salts: int = SALTS) -> DataFrame:
+    """rows joined with one row of values for each key, without a task for all rows of a hot key.
+
+    Rows are dealt out by (key, salt) with the salt from column `by`; the pairs that occur, `salts`
+    a key at most, meet the values by key.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    pairs = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n")).drop("_n").join(values, key)
+    return salted.join(pairs, [key, "_salt"]).drop("_salt")
+
+
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -18,7 +18,10 @@ GROWTH times as many a document in every round, until none is left. Components f
 confirmed links by repeated minima in the shared folder, never on the driver.
 
 Defined results: null, empty or word-free text has no shingles and links with nothing; rows that
-repeat a doc_id are one node; a null doc_id has a null component; an empty table gives no rows.
+repeat a doc_id are one node; a null doc_id has a null component; of equal likeness the smaller
+doc_id is confirmed first, which changes no component; an empty table gives no rows. Texts are read
+whole whatever their length (a set is gathered a document at a time); of the columns only doc_id and
+text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._hash import mix, shingles
-from ._util import release, stored, table, text_only
+from ._util import looked_up, release, scratch, stored, table, text_only
 
 ROWS = (3, 2)
 MISS = 4e-5
@@ -327,11 +330,17 @@ def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, k: int, p
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the first of its component) for every document."""
+    with scratch(docs.sparkSession) as result:
+        return result(_near_duplicates(docs, percent, k), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, percent: int, k: int) -> DataFrame:
     sizes = collections(percent / 100)
     sets = describe(docs, k, sizes)
     named = sets.where("n > 0 and doc_id is not null")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("bits").alias("bits"))
-    members = stored(named.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct(), "near-members")
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    members = stored(looked_up(named.select("doc_id", "digest"), "digest", firsts, by="doc_id").select("doc_id", "rep").distinct(), "near-members")
     nodes = stored(classes.select("rep", "n", "halves", "bits"), "near-nodes")
     tables = table_rows(nodes, sizes)
     links, roots = linked(candidates(tables, sizes, percent / 100, (1,)), None, docs, k, percent)
@@ -356,6 +365,9 @@ def op6_tensored_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand first in their group of near duplicates, with their own columns."""
+    """The rows of docs that stand first in their group of near duplicates, with their own columns.
+
+    Of rows that share doc_id and text, null ids included, one stays, whatever their other columns hold.
+    """
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id", "text"])

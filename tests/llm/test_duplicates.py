@@ -140,3 +140,61 @@ def test_crowded_group_near_the_threshold(make):
     assert 1 < len(set(root.tolist())) < 1_000
     got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(make(rows), 85).collect()}
     assert got == dict(enumerate(root.tolist()))
+
+
+def all_links(rows, percent):
+    """Roots by every pair, the shared shingles counted in a matrix."""
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    met, ids = Counter(g for s in sets for g in s), {}
+    shared = [[ids.setdefault(g, len(ids)) for g in s if met[g] > 1] for s in sets]
+    held = np.zeros((len(rows), len(ids)), np.float32)
+    for d, s in enumerate(shared):
+        held[d, s] = 1
+    both, n = held @ held.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= percent * (n[:, None] + n - both)
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(rows))
+    while True:
+        low = np.minimum(root, np.where(linked, root, len(rows)).min(axis=1))
+        if (low == root).all():
+            return root, int(linked.sum() // 2)
+        root = low
+
+
+def test_a_thousand_near_copies(make):
+    """Two to six of 300 words changed in each: tens of thousands of links, every document near the threshold with many others."""
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(1_000):
+        text = list(base)
+        for i in r.sample(range(300), r.randint(2, 6)):
+            text[i] = f"d{d}x{i}"
+        rows.append((d, " ".join(text)))
+    root, links = all_links(rows, 85)
+    assert links > 20_000 and 100 < len(set(root.tolist())) < 900
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(make(rows), 85).collect()}
+    assert got == dict(enumerate(root.tolist()))
+
+
+def test_repeats_in_a_hot_core(make, words):
+    """Two thousand documents share one passage with other surroundings: more runs of a core than are gathered."""
+    import random
+
+    r = random.Random(12)
+    passage = " ".join(r.choice(words) for _ in range(110))
+    rows = [(d, f"{' '.join(f'{r.choice(words)}{r.randrange(99)}' for _ in range(30))} {passage[: r.choice((None, 420, 500))]} {' '.join(f'{r.choice(words)}{r.randrange(99)}' for _ in range(30))}") for d in range(1_500)]
+    want = removed([(d, t.encode()) for d, t in rows], 400)
+    for hot in (2_000, 100):
+        got = suffix_dedup.remove_repeats(make(rows), hot=hot).collect()
+        assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+
+
+def test_rows_kept_of_repeats(make):
+    """One row stays of those that share id and text, and of null ids with one text."""
+    text = "one two three four five six seven"
+    rows = [(5, text), (5, text), (5, "other words that link with nothing at all"), (None, text), (None, text), (None, None), (9, text + " eight nine ten eleven twelve"), (3, None), (3, "")]
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in near_dup.keep_first(make(rows)).collect())
+    assert kept.count((5, text)) == 1 and kept.count((-1, text)) == 1 and len(kept) == 7
