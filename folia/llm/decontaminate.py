@@ -7,16 +7,20 @@ per block confirms by direct comparison. Most blocks of a text occur in no patte
 one block in nine is looked at.
 
 The benchmark is read in shards of at most SHARD_WORDS words, so what a task holds is bounded
-whatever the benchmark's size; the documents are searched once per shard.
+whatever the benchmark's size, the driver included, which holds one shard at a time; the documents
+are searched once per shard, and the hits of each are stored before the next is read.
 
 Defined results: null or word-free text has no words and no hits; items that are null, empty or
 word-free have no windows; repeated item ids count once; repeated documents give a row each;
-an empty benchmark leaves every document clean.
+an empty benchmark leaves every document clean; texts are searched whole whatever their length; of
+equal windows every item counts; of the columns only doc_id and text (item_id and text) are read, so
+others may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -133,18 +137,22 @@ def occurrences(docs: DataFrame, items: list[tuple[str, str]], window: int) -> D
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (flat word offsets)."""
-    parts = list(_shards(benchmark, shard_words))
-    if len(parts) <= 1:
-        found = occurrences(text_only(docs), parts[0] if parts else [], window)
+    shards = _shards(benchmark, shard_words)
+    first, second = next(shards, []), next(shards, None)
+    if second is None:
+        found = occurrences(text_only(docs), first, window)
     else:
         # a key of its own for every row, as doc_id may repeat
         keyed = stored(text_only(docs).select(F.monotonically_increasing_id().alias("k"), F.col("doc_id").alias("id"), "text"), "decontaminate")
-        each = None
-        for p in parts:
-            one = occurrences(keyed.select(F.col("k").alias("doc_id"), "text"), p, window)
-            each = one if each is None else each.unionByName(one)
-        merged = each.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = merged.join(keyed.select(F.col("k").alias("doc_id"), "id"), "doc_id").select(F.col("id").alias("doc_id"), "n_words", "hits", "items")
+        asked = keyed.select(F.col("k").alias("doc_id"), "text")
+        base = stored(occurrences(asked, first, window), "decontaminate-hits")
+        each = base.where("size(hits) > 0")
+        for part in itertools.chain([second], shards):
+            each = each.unionByName(stored(occurrences(asked, part, window).where("size(hits) > 0"), "decontaminate-hits"))
+        merged = each.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        named = keyed.select(F.col("k").alias("doc_id"), "id").join(base.select("doc_id", "n_words"), "doc_id").join(merged, "doc_id", "left")
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+        found = named.select(F.col("id").alias("doc_id"), "n_words", none("hits", "array<int>"), none("items", "array<string>"))
 
     def digest(batches):
         for b in batches:
