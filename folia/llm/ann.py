@@ -3,19 +3,23 @@
 Each half of a vector has its own codebook of CENTROIDS centroids, fitted by k-means on a bounded
 sample (SAMPLE vectors, the smallest hashes of their ids); every vector is indexed under its pair
 of centroids. A query walks the pairs by summed nearness of its halves with a heap, until the
-pairs met hold the share SHARE of the index and LEAST entries at least, and the entries found are
-ranked again by exact inner products in double precision. The share is large because it is set
-for a recall of 0.9 on vectors without clusters, where pairs say little; clustered data need less.
+pairs met hold the share SHARE of the index (FEW * k entries at least, so that k of them come, and
+`least`, a parameter that is 0 unless given), and the entries found are ranked again by exact inner
+products in double precision. The share is large because it is set for a recall of 0.9 on vectors
+without clusters, where pairs say little; clustered data need less.
 
 Pairs are dealt to blocks of about BLOCK entries, a large pair (one vector repeated) to several,
-and a query goes to the blocks that hold pairs it met, with their bitmap. A task holds one block
-and at most about BLOCK queries. The tables of pairs have CENTROIDS ** 2 rows at most, which
-bounds what is broadcast.
+and a query goes to the blocks that hold pairs it met, with their bitmap. Entries move once. A task
+holds the entries of one block and lets its queries stream past, so neither the number of queries
+nor a repeated vector widens what is held. The tables of pairs have CENTROIDS ** 2 rows at most,
+which bounds what is broadcast.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components take no part, as query or candidate; a row is never its own neighbour, nor
-is a row with its id; ties go to the smaller vec_id; with fewer candidates than k all of them
-come; an empty table gives an empty result.
+is a row with its id; ties go to the smaller vec_id; with fewer candidates than k all that its pairs
+hold come; a repeated vec_id is a candidate (and a query) for each of its rows, which share one ranking;
+of the columns only vec_id and embedding are read, so others may have any name; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ from ._util import partitions_for, stored, table
 SAMPLE = 8_192
 CENTROIDS = 64
 SHARE = 0.55
-LEAST = 5_000
+FEW = 4
 BLOCK = 4_096
 ROUNDS = 12
 
@@ -93,7 +96,7 @@ def _matrix(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHARE, least: int = 0) -> DataFrame:
     """Queries: rows whose vec_id is divisible by `every`. query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -122,7 +125,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
     sizes = np.zeros(len(books.value[0]) * len(books.value[1]), np.int64)
     for r in entries.groupBy("pair").count().collect():  # at most CENTROIDS ** 2 rows
         sizes[r["pair"]] = r["count"]
-    enough = max(least, int(np.ceil(share * sizes.sum())))
+    enough = max(least, FEW * k, int(np.ceil(share * sizes.sum())))
     # neighbouring small pairs share a block, a large pair has blocks of its own
     many = np.maximum(1, -(-sizes // BLOCK))
     first, at, held = np.zeros(len(sizes), np.int64), 0, 0
@@ -134,8 +137,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
             at, held = at + int(many[p]), 0
         else:
             held += int(n)
-    is_query = F.col("vec_id") % every == 0
-    n_asks = -(-entries.where(is_query).count() // BLOCK)
+    n_blocks = at + 1
     tables = spark.sparkContext.broadcast((sizes, first, many))
 
     def deal(batches):
@@ -143,7 +145,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
         for b in batches:
             pair = b.column("pair").to_numpy()
             block = first[pair] + np.arange(len(pair)) % many[pair]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("pair"), pa.array(block.astype(np.int32))], names=["vec_id", "v", "pair", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), b.column("vec_id"), b.column("v"), b.column("pair")], names=["block", "id", "v", "pair"])
 
     def probe(batches):
         (one, two), (sizes, first, many) = books.value, tables.value
@@ -161,42 +163,55 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
                 rows += [k] * len(own)
                 blocks += sorted(own)
                 bits += [np.packbits(bitmap).tobytes()] * len(own)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(rows)), b.column("v").take(pa.array(rows)), pa.array(blocks, pa.int32()), pa.array(bits, pa.binary())], names=["query_id", "q", "block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), b.column("vec_id").take(pa.array(rows)), b.column("v").take(pa.array(rows)), pa.array(bits, pa.binary())], names=["block", "id", "v", "bits"])
 
-    part = F.pmod(F.xxhash64("query_id"), F.lit(n_asks)).cast("int")
-    asked = entries.where(is_query).select("vec_id", "v").repartition(partitions_for(spark)).mapInArrow(probe, "query_id long, q array<double>, block int, bits binary").withColumn("part", part)
-    dealt = entries.mapInArrow(deal, "vec_id long, v array<double>, pair int, block int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1)))) if n_asks else None
-    if dealt is None:
-        return spark.createDataFrame([], out)
+    asks = entries.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", "v")
+    asked = asks.mapInArrow(probe, "block int, id long, v array<double>, bits binary").withColumn("pair", F.lit(None).cast("int"))
+    dealt = entries.mapInArrow(deal, "block int, id long, v array<double>, pair int").withColumn("bits", F.lit(None).cast("binary"))
+    # entries of a block first, then its queries
+    met = dealt.unionByName(asked).withColumn("asks", F.col("bits").isNotNull()).repartition(max(partitions_for(spark), n_blocks), "block").sortWithinPartitions("block", "asks")
 
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = [[], [], []]
-        if len(left) and len(right):
-            order = np.argsort(left["vec_id"].to_numpy(), kind="stable")
-            ids, pair = left["vec_id"].to_numpy()[order], left["pair"].to_numpy()[order]
-            m = np.stack(left["v"].to_numpy())[order]
-            asks, vectors, bits = right["query_id"].to_numpy(), right["q"].to_numpy(), right["bits"].to_numpy()
-            for i in range(0, len(asks), 256):
-                q, who = np.stack(vectors[i : i + 256]), asks[i : i + 256]
-                met = np.unpackbits(np.frombuffer(b"".join(bits[i : i + 256]), np.uint8).reshape(len(q), -1), axis=1).astype(bool)
-                s = q @ m.T
-                s[~met[:, pair] | (who[:, None] == ids[None, :])] = -np.inf
-                # what ties with the k-th stays in until scores are taken by one fixed summation
-                kth = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(q), 1), -np.inf)
-                r, c = np.nonzero((s >= kth - 1e-9) & np.isfinite(s))
-                score = np.einsum("ij,ij->i", q[r], m[c])
-                best = np.lexsort((ids[c], -score, r))
-                r, c, score = r[best], c[best], score[best]
-                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                found[0].append(who[r[keep]])
-                found[1].append(ids[c[keep]])
-                found[2].append(score[keep])
-        return pd.DataFrame({n: np.concatenate(f) if f else np.zeros(0, t) for n, f, t in zip(("query_id", "vec_id", "score"), found, ("int64", "int64", "float64"))})
-
-    near = dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    def rank(batches):
+        held, parts, block = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, ask = b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero((own[1:] != own[:-1]) | (ask[1:] != ask[:-1])) + 1
+            for z, e in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
+                if own[z] != block:
+                    held, parts, block = None, [], own[z]
+                some = b.slice(z, e - z)
+                if not ask[z]:
+                    parts.append((some.column("id").to_numpy(), some.column("pair").to_numpy(), _matrix(some.column("v"))))
+                    continue
+                if held is None and parts:
+                    held = [np.concatenate(p) for p in zip(*parts)]
+                    order = np.argsort(held[0], kind="stable")
+                    held = [h[order] for h in held]
+                for i in range(0, some.num_rows if held else 0, 256):
+                    yield _nearest(some.slice(i, 256), *held, k)
+
+    near = met.select("block", "id", "v", "pair", "bits", "asks").mapInArrow(rank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _nearest(asks: pa.RecordBatch, ids: np.ndarray, pair: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest of a block's entries (by ascending id) among the pairs that each query met."""
+    who, q = asks.column("id").to_numpy(), _matrix(asks.column("v"))
+    met = np.unpackbits(np.frombuffer(b"".join(asks.column("bits").to_pylist()), np.uint8).reshape(len(q), -1), axis=1).astype(bool)
+    s = q @ m.T
+    s[~met[:, pair] | (who[:, None] == ids[None, :])] = -np.inf
+    # what ties with the k-th stays in until scores are taken by one fixed summation
+    kth = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(q), 1), -np.inf)
+    r, c = np.nonzero((s >= kth - 1e-9) & np.isfinite(s))
+    score = np.einsum("ij,ij->i", q[r], m[c])
+    best = np.lexsort((ids[c], -score, r))
+    r, c, score = r[best], c[best], score[best]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return pa.RecordBatch.from_arrays([pa.array(who[r[keep]]), pa.array(ids[c[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+
 def op9_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
