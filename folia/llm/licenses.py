@@ -12,7 +12,10 @@ Templates are a fixed list or one given by the caller (driver-side, so bounded);
 read once, with no shuffle.
 
 Defined results: null or word-free text has no licence (n_matches 0, nulls); ties of the best
-Dice go to the smaller template name; repeated rows give a row each; no templates, no matches.
+Dice go to the smaller template name; repeated rows give a row each; no templates, no matches; an
+empty table gives an empty result. Texts are compared whole whatever their length: a size bound leaves
+out templates, never a part of a text. Of the columns only doc_id and text are read, so others may
+have any name.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
@@ -79,6 +83,7 @@ class Templates:
         self.all = [(name, bigrams(normalised(text))) for name, text in templates]
         self.lengths = [len(normalised(text)) - 1 for _, text in templates if bigrams(normalised(text))]
         self.all = [(n, b) for n, b in self.all if b]
+        self.most = max((len(b) for _, b in self.all), default=0)
         self.holders: dict[tuple[str, str], list[int]] = {}
         for i, (_, b) in enumerate(self.all):
             for g in b:
@@ -88,6 +93,8 @@ class Templates:
     def best(self, segment: set[tuple[str, str]]) -> tuple[float, str] | None:
         """The best template at or above the threshold; size bounds prune, then shared bigrams are counted."""
         t, a = self.threshold, len(segment)
+        if t / (2 - t) * a > self.most:
+            return None
         shared = Counter(i for g in segment for i in self.holders.get(g, ()))
         out = None
         for i, c in shared.items():
@@ -99,10 +106,10 @@ class Templates:
                 out = (dice, name)
         return out
 
-    def windows(self, grams: list[tuple[str, str]]) -> list[tuple[float, str, int, int]]:
+    def windows(self, grams: list[tuple[str, str]], distinct: set[tuple[str, str]]) -> list[tuple[float, str, int, int]]:
         """dice, name, first and last bigram: of every start, the best window for each template."""
         t, n, out = self.threshold, len(grams), []
-        for i, c in Counter(i for g in set(grams) for i in self.holders.get(g, ())).items():
+        for i, c in Counter(i for g in distinct & self.holders.keys() for i in self.holders[g]).items():
             name, b = self.all[i]
             low, high = t / (2 - t) * len(b), (2 - t) / t * len(b)
             if c < low:  # so many must be shared to reach t at any size
@@ -146,10 +153,11 @@ class Templates:
                 if hit := self.best(bigrams(joined)):
                     found.append((*hit, at[run[0]], at[run[-1] + 1] - 1))
             run = []
-        if len(lines) > 1 and len(whole) <= 4 * max(len(b) for _, b in self.all):
-            if hit := self.best(bigrams(whole)):
-                found.append((*hit, 0, len(whole) - 1))
-        found += [(d, name, a, z + 1) for d, name, a, z in self.windows(list(zip(whole, whole[1:])))]
+        grams = list(zip(whole, whole[1:]))
+        distinct = set(grams)
+        if len(lines) > 1 and (hit := self.best(distinct)):
+            found.append((*hit, 0, len(whole) - 1))
+        found += [(d, name, a, z + 1) for d, name, a, z in self.windows(grams, distinct)]
         apart: list[tuple[float, str, int, int]] = []
         for m in sorted(found, key=lambda m: (-m[0], m[2] - m[3], m[1], m[2])):
             if all(m[3] < o[2] or o[3] < m[2] for o in apart):

@@ -13,8 +13,11 @@ Documents stay in scan order through the models; only (id, site, two numbers) is
 site sums are map-side combined, so a host with a third of all rows is a few rows per task.
 
 Defined results: null text counts as empty; a null host or path is a site of its own; repeated
-rows are judged each; without labels of both kinds a model gives no evidence and the document
-is kept; an empty table gives an empty result.
+rows are judged each; a doc_id with several labels counts as poor or toxic if one of them says so;
+labels tie by the hash of their ids, then by id; without labels of both kinds a model gives no
+evidence and the document is kept; a table without source or lang is one site; an empty table gives
+an empty result. Texts are read whole whatever their length. Of the columns only doc_id, text, source
+and lang are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -114,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, n_words: int = W
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("low"), b.column("toxic"), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([sorted(g[1]) for g in got], pa.list_(pa.string()))], names=["doc_id", "low", "toxic", "dense", "words"])
 
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "low", "toxic", "text")  # at most `train` rows of three numbers
+    rows = rows.groupBy("doc_id").agg(F.max_by(F.struct("low", "toxic", "text"), F.struct(F.length("text"), F.col("text"))).alias("one")).select("doc_id", "one.*")  # one text for each id
     rows = stored(rows.mapInArrow(measure, "doc_id long, low boolean, toxic boolean, dense array<double>, words array<string>"), "quality-sample")
     some = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(h)).alias(h) for h in HEADS]).collect()[0]
     each = rows.select(*HEADS, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.count_if(F.col(h)).alias(h) for h in HEADS]).where("df >= 3")
@@ -174,8 +178,9 @@ def posterior(scores: DataFrame, base: dict[str, float]) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, host=None, path=None, reject: float = 0.4, train: int = TRAIN) -> DataFrame:
     """doc_id, text_key, host, path, p_low, p_toxic, prior_low, prior_toxic, keep for every row of docs."""
-    host = F.col("source") if host is None else host
-    path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
+    source, lang = (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("source", "lang"))
+    host = source if host is None else host
+    path = F.concat_ws("/", source, lang) if path is None else path
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.select("doc_id", "text"), labels, train))
 
