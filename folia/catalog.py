@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = ("sources.readers", "operators.documents", "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.trees", "operators.scalars", "operators.sheets", "operators.changes", "plans.case_checks")
+MODULES = ("sources.readers", "operators.documents", "operators.pages", "operators.edits", "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.trees", "operators.scalars", "operators.sheets", "operators.changes", "plans.case_checks")
 for _m in MODULES:
     importlib.import_module(f"folia.{_m}")
 

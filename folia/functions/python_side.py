@@ -10,7 +10,7 @@ import json
 import re
 import unicodedata
 from fractions import Fraction
-from math import ceil, floor, sqrt
+from math import ceil, floor, log, sqrt
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -80,7 +80,8 @@ def headline(text: str, terms: list[str], around: int = 6) -> str:
 
 FUNCTIONS = ("abs", "round", "floor", "ceil", "min", "max", "sum", "avg")
 MOST_CHARS, MOST_POWER = 2_000, 1_000
-_CALC = re.compile(r"\s*(?:(\d+(?:\.\d*)?|\.\d+)|([a-z]+)|(.))", re.S)
+MOST_EXPONENT, PLACES = 1_000, 10
+_CALC = re.compile(r"\s*(?:((?:\d[\d_]*(?:\.[\d_]*)*|\.\d[\d_]*)(?:e[+-]?\d+)?)|([a-z]+)|(.))", re.S)
 
 
 class CalcError(ValueError):
@@ -145,7 +146,14 @@ def calculate(expression: str) -> Fraction:
         number, name, sign = items[at]
         at += 1
         if number:
-            return Fraction(number + "0" if number.endswith(".") else number)
+            if at < len(items) and items[at][0]:
+                raise CalcError("two numbers in a row")
+            digits, _, power_of_ten = number.replace("_", "").partition("e")
+            if digits.count(".") > 1:
+                raise CalcError("write numbers without thousands marks")
+            if abs(int(power_of_ten or 0)) > MOST_EXPONENT:
+                raise CalcError("exponent too large")
+            return Fraction(digits + "0" if digits.endswith(".") else digits) * Fraction(10) ** int(power_of_ten or 0)
         if name:
             if name not in FUNCTIONS:
                 raise CalcError(f"no function {name}")
@@ -187,23 +195,28 @@ def round_half_away(x: Fraction, digits: int = 0) -> Fraction:
     return Fraction(floor(y + Fraction(1, 2)), 1) / scale * (1 if x >= 0 else -1)
 
 
-def render(x: Fraction, precision: int = 20) -> str:
-    """The exact decimal when it ends, else rounded to `precision` places with a mark."""
+def ends(x: Fraction) -> bool:
+    """Whether the value has a finite decimal form, so that render gives it exactly."""
     d = x.denominator
-    twos = fives = 0
-    while d % 2 == 0:
-        d, twos = d // 2, twos + 1
-    while d % 5 == 0:
-        d, fives = d // 5, fives + 1
-    ends = d == 1
-    places = max(twos, fives) if ends else precision
-    y = x if ends else round_half_away(x, places)
-    whole = abs(y) * Fraction(10) ** places
-    text = str(int(whole)).rjust(places + 1, "0")
-    body = text if places == 0 else (text[:-places] + "." + text[-places:])
-    if not ends:
+    for p in (2, 5):
+        while d % p == 0:
+            d //= p
+    return d == 1
+
+
+def render(x: Fraction, precision: int = PLACES) -> str:
+    """The exact decimal when it ends, else rounded half away from zero to `precision` places."""
+    places = precision
+    if ends(x):
+        places, d = 0, x.denominator
+        while 10**places % d:
+            places += 1
+    y = round_half_away(x, places)
+    text = str(int(abs(y) * Fraction(10) ** places)).rjust(places + 1, "0")
+    body = text if places == 0 else f"{text[:-places]}.{text[-places:]}"
+    if not ends(x):
         body = body.rstrip("0").rstrip(".")
-    return ("-" if y < 0 else "") + body + ("" if ends else "…")
+    return ("-" if y < 0 else "") + body
 
 
 # -- JSON ------------------------------------------------------------------------------------
@@ -245,7 +258,7 @@ def repair_json(s: str) -> str:
         if re.fullmatch(r"-?\d+(?:\.\d+)?", m[3].strip()):
             return m[0]
         try:
-            return m[2] + render(calculate(m[3])).removesuffix("…") + m[4]
+            return m[2] + render(calculate(m[3])) + m[4]
         except CalcError:
             return m[0]
 
@@ -255,24 +268,29 @@ def repair_json(s: str) -> str:
 # -- hashing and alignment -------------------------------------------------------------------
 
 
-def fnv1a(s: str) -> int:
-    """The 64-bit FNV-1a hash of the UTF-8 bytes."""
-    h = 0xCBF29CE484222325
-    for b in s.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+def fnv1a(data: bytes, bits: int = 64) -> int:
+    """The FNV-1a hash of 32 or 64 bits."""
+    h, prime = (0xCBF29CE484222325, 0x100000001B3) if bits == 64 else (0x811C9DC5, 0x01000193)
+    for b in data:
+        h = (h ^ b) * prime % (1 << bits)
     return h
 
 
 def hash_embedding(text: str, width: int = 256) -> list[float]:
-    """Signed feature hashing of words and trigrams, square-root counts, unit length."""
-    counts: dict[str, int] = {}
-    for w in tokens(text):
-        for f in (w, *(f"#{w[i : i + 3]}" for i in range(len(w) - 2))):
-            counts[f] = counts.get(f, 0) + 1
+    """Signed feature hashing of lower-case tokens of two bytes or more: each gives itself and a signature of its byte
+    trigrams (itself up to three bytes), weighted 1 + ln(count); the top bit of a hash makes it negative. Unit length."""
+    counts: dict[bytes, int] = {}
+    for w in _TOKEN.findall(text.lower()):
+        t = w.encode()
+        if len(t) > 1:
+            counts[t] = counts.get(t, 0) + 1
     v = [0.0] * width
-    for f, n in counts.items():
-        h = fnv1a(f)
-        v[h % width] += sqrt(n) * (1 if h >> 63 else -1)
+    for t, n in counts.items():
+        grams = b"".join(t[i : i + 3] for i in range(len(t) - 2))
+        signature = t if len(t) <= 3 else fnv1a(grams, 32).to_bytes(4, "big")
+        for feature in (t, b"3g:" + signature):
+            h = fnv1a(feature)
+            v[h % width] += (1 + log(n)) * (-1 if h >> 63 else 1)
     norm = sqrt(sum(x * x for x in v))
     return [x / norm for x in v] if norm else v
 

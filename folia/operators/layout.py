@@ -16,8 +16,22 @@ from ..functions import python_side as P
 from ..functions import text as T
 from ..sources.readers import table_markdown
 
-# Region classes to block kinds; a caller may give others.
-CLASSES = {"doc_title": "title", "title": "title", "paragraph_title": "heading", "heading": "heading", "text": "paragraph", "paragraph": "paragraph", "list": "list", "table": "table", "formula": "formula", "equation": "formula", "figure": "figure", "image": "figure", "caption": "caption", "header": "header", "footer": "footer", "number": "page_number", "page_number": "page_number"}
+# Region classes of the layout engine by the block kind they give; a caller may give others.
+KINDS = {
+    "title": "doc_title title",
+    "heading": "paragraph_title heading",
+    "paragraph": "text paragraph abstract content reference aside_text algorithm",
+    "list": "list",
+    "table": "table",
+    "formula": "formula formula_number equation",
+    "figure": "figure image chart seal header_image footer_image",
+    "caption": "caption figure_title table_title chart_title",
+    "header": "header",
+    "footer": "footer",
+    "page_number": "number page_number",
+    "footnote": "footnote",
+}
+CLASSES = {c: kind for kind, names in KINDS.items() for c in names.split()}
 FURNITURE = ("header", "footer", "page_number")
 BLOCKS = "doc_id long, page_no int, block_no int, kind string, x0 double, y0 double, x1 double, y1 double, line_from int, line_to int, text string, md_start int, md_end int"
 
@@ -66,7 +80,7 @@ def assemble(lines: list[dict], regions: list[dict], order: list[int], classes:
     """Blocks in reading order with their lines. lines: id, text, quad, layout_id; regions: id, class, quad, html, latex."""
     lines = [x | {"box": box(x["quad"])} for x in lines]
     rank = reading_ranks(lines, order)
-    blocks = [{"id": r["id"], "kind": classes.get(r["class"], "paragraph"), "box": box(r["quad"]), "html": r.get("html"), "latex": r.get("latex"), "lines": []} for r in regions]
+    blocks = [{"id": r["id"], "kind": classes.get(r["class"].strip().lower(), "unknown"), "box": box(r["quad"]), "html": r.get("html"), "latex": r.get("latex"), "lines": []} for r in regions]
     by_id = {b["id"]: b for b in blocks}
     orphans = []
     for i, x in enumerate(lines):

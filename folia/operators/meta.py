@@ -88,8 +88,92 @@ def compile_filter(meta: Column, spec: dict, schema: dict[str, str] | None = Non
     return out
 
 
+def json_contains(document: Column, key: str, arg) -> Column:
+    """Whether a JSON document's value at a key is the argument, or an array with it among its members. Types
+    count: true is no text, though a whole number and its digits as text are taken for each other."""
+    if not KEY.match(key):
+        raise FilterError(f"bad key {key!r}")
+    v = F.try_variant_get(F.try_parse_json(document), f"$['{key}']", "variant")
+    kind = F.schema_of_variant(v)
+    text, many = v.cast("string"), F.startswith(kind, F.lit("ARRAY"))
+    members = F.try_variant_get(v, "$", "array<variant>")
+    named = lambda k: (k == "STRING") if isinstance(arg, str) else (k == "BOOLEAN") if isinstance(arg, bool) else k.isin("BIGINT", "DOUBLE") | F.startswith(k, F.lit("DECIMAL"))
+    also = re.fullmatch(r"-?(0|[1-9][0-9]*)", text_of(arg)) and not isinstance(arg, bool)
+
+    def same(value: Column) -> Column:
+        k = F.schema_of_variant(value)
+        fits = named(k) | (k.isin("STRING", "BIGINT") if also else F.lit(False))
+        return fits & (value.cast("string") == F.lit(text_of(arg)))
+
+    one = (named(kind) | (kind.isin("STRING", "BIGINT") if also else F.lit(False))) & (text == F.lit(text_of(arg)))
+    return F.coalesce(F.when(many, F.exists(members, same)).otherwise(one), F.lit(False))
+
+
+def has_any_key(meta: Column, keys: list[str]) -> Column:
+    """at least one of the keys is there, with null or another value."""
+    return F.arrays_overlap(F.map_keys(meta), F.array(*[F.lit(k) for k in keys]))
+
+
+def normalise_filter(spec: dict, schema: dict[str, dict]) -> dict:
+    """A filter's texts in the form the schema stores: trimmed, cased, dates as yyyy-MM-dd, numbers as numbers."""
+
+    def one(x, field: dict | None):
+        if not isinstance(x, str):
+            return x
+        t = x.strip()
+        if field is None:
+            return t
+        if field.get("type") == "date":
+            day = re.fullmatch(r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", t)
+            return f"{day[3]}-{int(day[2]):02d}-{int(day[1]):02d}" if day else t
+        if field.get("type") == "number" and re.fullmatch(r"-?\d+(\.\d+)?", t):
+            return float(t)
+        return {"upper_trim": t.upper, "lower_trim": t.lower}.get(field.get("normalize", ""), t.__str__)()
+
+    each = lambda arg, f: [one(x, f) for x in arg] if isinstance(arg, (list, tuple)) else one(arg, f)
+    return {k: {op: each(arg, schema.get(k)) for op, arg in want.items()} if isinstance(want, dict) else each(want, schema.get(k)) for k, want in spec.items()}
+
+
 # -- validation ---------------------------------------------------------------------------
 
+# Fixed words of the schema language.
+TYPES, FORMS = ("string", "number", "bool", "date", "enum"), ("none", "upper_trim", "lower_trim")
+
+
+def schema_problems(fields: list[dict]) -> list[str]:
+    """What is wrong with a declared schema."""
+    out, seen = [], set()
+    for f in fields:
+        key = f.get("key", "")
+        if not re.fullmatch(r"[a-z][a-z0-9_]*", key):
+            out.append(f"{key!r}: keys are lower-case words joined by _")
+        if key in seen:
+            out.append(f"{key!r}: declared twice")
+        seen.add(key)
+        if f.get("type", "string") not in TYPES:
+            out.append(f"{key!r}: no type {f['type']!r}")
+        if f.get("type") == "enum" and not f.get("values"):
+            out.append(f"{key!r}: an enum needs values")
+        if f.get("normalize", "none") not in FORMS:
+            out.append(f"{key!r}: no form {f['normalize']!r}")
+    return out
+
+
+def free_value_problem(document: Column, key: str) -> Column:
+    """Null for a value that may stand under a key without a declaration: a string, number or boolean, or an array of those."""
+    v = F.try_variant_get(F.try_parse_json(document), f"$['{key}']", "variant")
+    plain = lambda k: k.isin("STRING", "BOOLEAN", "BIGINT", "DOUBLE") | F.startswith(k, F.lit("DECIMAL"))
+    kind = F.schema_of_variant(v)
+    members = F.try_variant_get(v, "$", "array<variant>")
+    good_list = F.forall(members, lambda x: plain(F.schema_of_variant(x)))
+    return F.when(F.startswith(kind, F.lit("ARRAY")), F.when(~good_list, "arrays hold strings, numbers or booleans")).when(~plain(kind), "a string, number, boolean or an array of those")
+
+
+def code_problem(code: Column, pattern: str = r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,63}$") -> Column:
+    """why a code, label or document type can't be used."""
+    return F.when(code.isNull() | (F.trim(code) == ""), "empty").when(~code.rlike(pattern), "characters")
+
+
 BOOLS = {"true": "true", "1": "true", "yes": "true", "false": "false", "0": "false", "no": "false"}
 
 
@@ -183,3 +267,51 @@ def meta_value_facet(spark: SparkSession, d: str) -> DataFrame:
     from .documents import facet
 
     return facet(_events(spark, d), F.try_element_at("meta", F.lit("k")), top=10)
+
+
+def _documents_json(spark: SparkSession, d: str) -> DataFrame:
+    """Events' metadata with an array, a boolean and a nested object beside k."""
+    k = F.get_json_object("props", "$.k")
+    made = F.concat(F.lit('{"k": '), k, F.lit(', "tags": ["'), "event_type", F.lit('", '), k, F.lit("], \"flag\": "), F.when(F.col("event_id") % 2 == 0, "true").otherwise('"true"'), F.lit(', "deep": {"k": 1}, "bad": [{"x": 1}]}'))
+    return load(spark, d, "events").select("event_id", made.alias("doc"))
+
+
+@query(f"select event_id, event_type = 'view' as tag, {_K} = '7' as member, {_K} = '9' as number, event_id % 2 = 0 as yes, event_id % 2 = 1 as text from events")
+def meta_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Members of arrays, numbers as text, booleans apart from text."""
+    has = lambda k, a: json_contains(F.col("doc"), k, a)
+    return _documents_json(spark, d).select("event_id", has("tags", "view").alias("tag"), has("tags", 7).alias("member"), has("k", "9").alias("number"), has("flag", True).alias("yes"), has("flag", "true").alias("text"))
+
+
+@query("select event_id, null::varchar as k, null::varchar as tags, 'a string, number, boolean or an array of those' as deep, 'arrays hold strings, numbers or booleans' as bad, true as any_key from events")
+def meta_free_values(spark: SparkSession, d: str) -> DataFrame:
+    """V03, F10."""
+    rows = _documents_json(spark, d)
+    meta = F.from_json("doc", "map<string,string>")
+    return rows.select("event_id", *[free_value_problem(F.col("doc"), k).alias(k) for k in ("k", "tags", "deep", "bad")], (has_any_key(meta, ["nothing", "flag"]) & ~has_any_key(meta, ["nothing"])).alias("any_key"))
+
+
+@query(f"select event_id from events where {_K}::int >= 50 and event_type in ('VIEW', 'view') and ts >= timestamp '2024-01-10'")
+def meta_normalised_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments as a user writes them."""
+    schema = {"k": {"type": "number"}, "kind": {"type": "string", "normalize": "lower_trim"}, "day": {"type": "date"}}
+    spec = normalise_filter({"k": {"gte": " 50 "}, "kind": {"in": [" VIEW "]}, "day": {"gte": "10/1/2024"}}, schema)
+    more = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("day"), F.date_format("ts", "yyyy-MM-dd"))
+    e = _events(spark, d).withColumn("meta", F.map_concat("meta", more))
+    return e.where(compile_filter(F.col("meta"), spec, {k: f["type"] for k, f in schema.items()})).select("event_id")
+
+
+@query(f"select event_id, {_K} as number, case when event_id % 3 = 0 then 'true' when event_id % 3 = 1 then 'false' end as yes, case when event_id % 2 = 0 then strftime(ts, '%Y-%m-%d') end as day from events")
+def meta_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers, booleans and dates from text."""
+    e = _events(spark, d)
+    yes = F.element_at(F.array(F.lit(" Yes"), F.lit("0"), F.lit("maybe")), (F.col("event_id") % 3 + 1).cast("int"))
+    day = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "dd/MM/yyyy")).otherwise("31/31/2024")
+    return e.select("event_id", coerce(F.col("meta")["k"], {"type": "number"}).alias("number"), coerce(yes, {"type": "bool"}).alias("yes"), coerce(day, {"type": "date"}).alias("day"))
+
+
+@query("select p_partkey, case when p_partkey % 4 = 0 then 'empty' when p_partkey % 4 = 1 then 'characters' end as problem, p_name ilike '%PART%' as found from part")
+def code_rules(spark: SparkSession, d: str) -> DataFrame:
+    """F14, F08."""
+    code = F.when(F.col("p_partkey") % 4 == 0, " ").when(F.col("p_partkey") % 4 == 1, "a b").otherwise(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")))
+    return load(spark, d, "part").select("p_partkey", code_problem(code).alias("problem"), F.col("p_name").ilike("%PART%").alias("found"))

@@ -78,11 +78,13 @@ def backoff(attempt: Column, schedule: list[int]) -> Column:
     return F.try_element_at(F.array(*[F.lit(s) for s in schedule]), attempt.cast("int"))
 
 
-@query("select l_orderkey, l_linenumber, (l_quantity::bigint * 100 + l_linenumber)::varchar as exact from lineitem")
+@query("with v as (select o_orderkey, o_orderkey % 1000 as n from orders) select o_orderkey, case o_orderkey % 8 when 0 then (2 * n * n + n)::varchar when 1 then (n * 1500 + 1)::varchar when 2 then (-(n * n))::varchar when 3 then (n % 7 - 3)::varchar when 4 then case when n % 3 = 0 then (n // 3)::varchar else (n // 3)::varchar || case n % 3 when 1 then '.3333333333' else '.6666666667' end end when 5 then 'error: division by zero' when 6 then ((n + 1) // 2)::varchar else (9007199254740993 + n)::varchar end as exact from v")
 def calc_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Exact arithmetic on text; here every line's quantity in hundredths."""
-    e = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("*(10^2) + "), F.col("l_linenumber").cast("string"))
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", calculate(e).alias("exact"))
+    """Formulas in turn: powers, exponents, signs, remainders, thirds, faults, rounding, whole numbers beyond doubles."""
+    n = (F.col("o_orderkey") % 1000).cast("string")
+    part = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    made = F.array(part("2*", n, "^2 + ", n), part(n, " * 1.5e3 + 1"), part("-", n, "^2"), part(n, " % 7 - abs(-3)"), part(n, "/3"), part(n, "/(1-1)"), part("round(", n, "/2)"), part("9007199254740993+", n))
+    return load(spark, d, "orders").select("o_orderkey", calculate(F.element_at(made, (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("exact"))
 
 
 @query("select event_id, event_type <> 'error' as ok from events")
@@ -105,11 +107,13 @@ def reply_json(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.get_json_object(first_json(reply), "$.k").alias("k"))
 
 
-@query("select event_id, (event_id % 7 + 2)::varchar as v from events")
+@query("select event_id, case event_id % 4 when 0 then event_id % 7 + 2 when 1 then -(event_id % 9) * 3 when 2 then event_id when 3 then (event_id % 5 + 1) * 10 end::varchar as v, case event_id % 4 when 3 then '[' || event_id % 5 || ',6]' else '1+1' end as note from events")
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Arithmetic in value positions."""
-    s = F.concat(F.lit('{"note": "1+1", "v": '), (F.col("event_id") % 7).cast("string"), F.lit(" + 2}"))
-    return load(spark, d, "events").select("event_id", F.get_json_object(repair_json(s), "$.v").alias("v"))
+    """Arithmetic in value positions becomes its value; strings and plain numbers stay."""
+    e = lambda k: (F.col("event_id") % k).cast("string")
+    made = F.array(F.concat(F.lit('{"note": "1+1", "v": '), e(7), F.lit(" + 2}")), F.concat(F.lit('{"v": -('), e(9), F.lit(') * 3, "note": "1+1"}')), F.concat(F.lit('{"note": "1+1", "v": '), F.col("event_id").cast("string"), F.lit("}")), F.concat(F.lit('{"note": ['), e(5), F.lit(", 2*3], \"v\": ("), e(5), F.lit("+1)*10}")))
+    fixed = repair_json(F.element_at(made, (F.col("event_id") % 4 + 1).cast("int")))
+    return load(spark, d, "events").select("event_id", F.get_json_object(fixed, "$.v").alias("v"), F.get_json_object(fixed, "$.note").alias("note"))
 
 
 @query("select doc_id, 1.0::double as norm, 256 as width from documents")
@@ -119,10 +123,13 @@ def hash_embed_documents(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"), F.size("v").alias("width"))
 
 
-@query("with l as (select doc_id, string_split(text, chr(10)) as l from documents) select doc_id, len(l)::bigint as kept, 1::bigint as added, 0::bigint as removed from l")
+@query("with l as (select doc_id, string_split(text, chr(10)) as l from documents), x as (select doc_id, len(l)::bigint as n, (len(l) // 3)::bigint as changed, ((len(l) + 1) // 3)::bigint as gone from l) select doc_id, n - changed - gone as kept, changed + 1 as added, changed + gone as removed from x")
 def line_diff_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every document against itself with a line more."""
-    x = load(spark, d, "documents").select("doc_id", line_diff("text", F.concat("text", F.lit("\nappended"))).alias("x"))
+    """Every third line changed, the one before it removed, one appended; numbered lines are distinct."""
+    old = F.transform(F.split("text", "\n"), lambda t, i: F.concat((i + 1).cast("string"), F.lit(" "), t))
+    kept = F.filter(old, lambda t, i: (i + 1) % 3 != 2)
+    new = F.transform(kept, lambda t: F.when(F.substring_index(t, " ", 1).cast("int") % 3 == 0, F.concat(F.lit("changed "), t)).otherwise(t))
+    x = load(spark, d, "documents").select("doc_id", line_diff(F.array_join(old, "\n"), F.array_join(F.array_append(new, F.lit("appended")), "\n")).alias("x"))
     n = lambda m: F.size(F.filter("x", lambda r: r["mark"] == m)).cast("bigint")
     return x.select("doc_id", n(" ").alias("kept"), n("+").alias("added"), n("-").alias("removed"))
 

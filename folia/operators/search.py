@@ -49,7 +49,7 @@ def matches(tokens: Column, q: str) -> Column:
         if len(ws) == 1:
             return F.array_contains(tokens, ws[0])
         joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-        return F.forall(F.array(*[F.lit(w) for w in ws]), lambda w: F.array_contains(tokens, w)) & F.contains(joined, F.lit(f" {' '.join(ws)} "))
+        return F.contains(joined, F.lit(f" {' '.join(ws)} "))
 
     out = F.lit(False)
     for alternative in parse_query(q):
@@ -60,6 +60,27 @@ def matches(tokens: Column, q: str) -> Column:
     return out
 
 
+def matches_text(text: Column, q: str) -> Column:
+    """matches(words(text), q) with the text folded once, and cut into words only where every wanted word of an
+    alternative occurs in it as characters."""
+
+    def judge(folded: Column) -> Column:
+        near = F.lit(False)
+        for alternative in parse_query(q):
+            here = F.lit(True)
+            for w in dict.fromkeys(w for wanted, ws in alternative if wanted for w in ws):
+                here &= F.contains(folded, F.lit(w))
+            near |= here
+        return near & T.let(F.regexp_extract_all(folded, F.lit(WORDS)), lambda t: matches(t, q))
+
+    return T.let(T.unaccent(text), judge)
+
+
+def clamp_top(k: int | None, least: int = 1, most: int = 50, usual: int = 10) -> int:
+    """A wanted number of hits, or the usual one where it is out of bounds."""
+    return k if k is not None and least <= k <= most else usual
+
+
 def wanted_terms(q: str) -> list[str]:
     return list(dict.fromkeys(w for a in parse_query(q) for ok, ws in a if ok for w in ws))
 
@@ -104,14 +125,44 @@ def maybe_fuzzy(text: Column, q: str, least: float) -> Column:
 
 def section_hits(sections: DataFrame, q: str, top: int = 50) -> DataFrame:
     """Rank + half the exact rank + 0.3 word similarity, over sections that match or are similar enough."""
-    tokens = words(F.col("text"))
     exact = F.contains(T.normalize(F.col("text")), T.normalize(F.lit(q)))
-    some = sections.where(matches(tokens, q) | maybe_fuzzy(F.col("text"), q, 0.6)).withColumn("_m", matches(tokens, q))
+    some = sections.withColumn("_m", matches_text(F.col("text"), q)).where(F.col("_m") | maybe_fuzzy(F.col("text"), q, 0.6))
     scored = some.withColumn("_rank", cover_rank(F.col("text"), q)).withColumn("_sim", fuzzy(F.col("text"), q))
     kept = scored.where(F.col("_m") | (F.col("_sim") >= 0.6))
     score = F.col("_rank") + 0.5 * F.when(exact, F.col("_rank")).otherwise(0.0) + 0.3 * F.col("_sim")
     keys = [c for c in sections.columns if c != "text"]
-    return kept.select(*keys, F.round(score, 6).alias("score"), headline(F.col("text"), q).alias("snippet")).orderBy(F.desc("score"), *keys).limit(top)
+    best = kept.select(*keys, F.round(score, 6).alias("score"), "text").orderBy(F.desc("score"), *keys).limit(top)
+    return best.select(*keys, "score", headline(F.col("text"), q).alias("snippet"))
+
+
+def page_ranks(pages: DataFrame, q: str) -> DataFrame:
+    """Rank of the pages that match. pages: doc_id, page_no, text."""
+    hit = pages.where(matches_text(F.col("text"), q))
+    return hit.select("doc_id", "page_no", F.round(cover_rank(F.col("text"), q), 6).alias("rank"))
+
+
+def document_ranks(cards: DataFrame, pages: DataFrame, q: str, top: int = 10) -> DataFrame:
+    """Twice the rank of the document's card and its best page's rank; documents without any hit rank 0.
+    cards: doc_id, card, created_at."""
+    best = page_ranks(pages, q).groupBy("doc_id").agg(F.max("rank").alias("page_rank"))
+    score = 2 * cover_rank(F.col("card"), q) + F.coalesce("page_rank", F.lit(0.0))
+    rows = cards.join(best, "doc_id", "left").select("doc_id", F.round(score, 6).alias("score"), "created_at")
+    return rows.orderBy(F.desc("score"), F.desc("created_at"), "doc_id").limit(clamp_top(top))
+
+
+def keyword_hints(sections: DataFrame, most: int = 8) -> DataFrame:
+    """At most eight pages a document, from its best sections on. sections: doc_id, score, page_start, page_end."""
+    pages = sections.select("doc_id", "score", "page_start", F.explode(F.sequence("page_start", "page_end")).alias("page_no"))
+    first = pages.groupBy("doc_id", "page_no").agg(F.min(F.struct(-F.col("score"), "page_start", "page_no")).alias("at"))
+    w = Window.partitionBy("doc_id").orderBy("at")
+    kept = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("page_no")).alias("pages"))
+
+
+def by_page(hits: DataFrame, least: float = 0.4) -> DataFrame:
+    """Line hits from a score up, grouped by page. hits: doc_id, page_no, line_no, line, score."""
+    rows = hits.where(F.col("score") >= least).select("doc_id", "page_no", "score", F.struct("line_no", "line", "score").alias("h"))
+    return rows.groupBy("doc_id", "page_no").agg(F.max("score").alias("best"), F.array_sort(F.collect_list("h")).alias("hits"))
 
 
 def line_hits(lines: DataFrame, q: str, least: float = 0.5) -> DataFrame:
@@ -122,14 +173,20 @@ def line_hits(lines: DataFrame, q: str, least: float = 0.5) -> DataFrame:
 
 
 def keyword_search(sections: DataFrame, lines: DataFrame, q: str, top: int = 10) -> DataFrame:
-    """Best sections, then their three best lines each; sections: doc_id, first_line, last_line, text."""
+    """Best sections, then their three best lines each; where no section is found, the lines that
+    resemble the query from 0.5 up. sections: doc_id, first_line, last_line, text."""
+    top = clamp_top(top)
     hits = section_hits(sections.select("doc_id", "first_line", "last_line", "text"), q, 5 * top).drop("snippet").withColumnRenamed("score", "section_score")
     inside = (F.col("l.line_no") >= F.col("s.first_line")) & (F.col("l.line_no") <= F.col("s.last_line"))
-    found = line_hits(lines, q, 0.0).alias("l").join(F.broadcast(hits).alias("s"), (F.col("l.doc_id") == F.col("s.doc_id")) & inside)  # at most 5 * top rows
-    w = Window.partitionBy("l.doc_id", "s.first_line").orderBy(F.desc("l.score"), "l.line_no")
-    best = found.withColumn("_n", F.row_number().over(w)).where("_n <= 3").select(F.col("l.doc_id").alias("doc_id"), F.col("l.line_no").alias("line_no"), F.round(F.col("section_score") + F.col("l.score"), 6).alias("score"))
-    one = Window.partitionBy("doc_id", "line_no").orderBy(F.desc("score"))
-    return best.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").orderBy(F.desc("score"), "doc_id", "line_no").limit(top)
+    found = lines.alias("l").join(F.broadcast(hits).alias("s"), (F.col("l.doc_id") == F.col("s.doc_id")) & inside)  # at most 5 * top rows
+    scored = found.withColumn("_line", F.when(T.contains_fold(F.col("l.line"), F.lit(q)), F.lit(1.0)).otherwise(fuzzy(F.col("l.line"), q)))
+    w = Window.partitionBy("l.doc_id", "s.first_line").orderBy(F.desc("_line"), "l.line_no")
+    best = scored.withColumn("_n", F.row_number().over(w)).where("_n <= 3").select(F.col("l.doc_id").alias("doc_id"), F.col("l.line_no").alias("line_no"), (F.col("section_score") + F.col("_line")).alias("score"))
+    # one row, so that the fallback is decided inside the plan
+    none = F.broadcast(hits.agg(F.count(F.lit(1)).alias("_hits")).where("_hits = 0"))
+    loose = line_hits(lines, q, 0.5).join(none, how="cross").select("doc_id", "line_no", "score")
+    both = best.unionByName(loose).groupBy("doc_id", "line_no").agg(F.round(F.max("score"), 6).alias("score"))
+    return both.orderBy(F.desc("score"), "doc_id", "line_no").limit(top)
 
 
 def verify_quotes(lines: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -172,38 +229,132 @@ _TOK = "regexp_extract_all(lower(strip_accents(replace(replace(text, 'đ', 'd'),
 @query(f"with t as (select doc_id, {_TOK} as t from documents) select doc_id from t where (list_contains(t, 'license') and not list_contains(t, 'mit')) or contains(' ' || array_to_string(t, ' ') || ' ', ' creative commons ') or contains(' ' || array_to_string(t, ' ') || ' ', ' the apache ')")
 def bool_search_and_or_not(spark: SparkSession, d: str) -> DataFrame:
     """T01-T03."""
-    return load(spark, d, "documents").where(matches(words(F.col("text")), 'license -mit or "creative commons" or "the Apache"')).select("doc_id")
+    return load(spark, d, "documents").where(matches_text(F.col("text"), 'license -mit or "creative commons" or "the Apache"')).select("doc_id")
+
+
+# -- the same measures as SQL, for checking ------------------------------------------------------
+
+
+def _list(words_: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words_) + "]"
+
+
+def _grams(tokens: str, q: str) -> str:
+    """SQL: for each word of a list the trigrams it shares with q."""
+    return f"list_transform({tokens}, lambda w: list_intersect(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)), {_list(sorted(P.trigrams(q)))}))"
+
+
+def _similar(q: str) -> str:
+    """SQL: the best share of q's trigrams over windows of twice its words, from a column g of _grams."""
+    return f"case when len(flatten(g)) = 0 then 0 else list_max(list_transform(range(1, len(g) + 1), lambda k: len(list_distinct(flatten(g[k : k + {2 * len(P.tokens(q)) - 1}]))))) / {len(P.trigrams(q))}.0 end"
+
+
+def _covers(rows: str, key: str, q: str) -> str:
+    """SQL: key and cover density of the rows' words (a table with columns key, text)."""
+    terms = wanted_terms(q)
+    last = ", ".join(f"max(case when w = '{t}' then i end) over x as p{k}" for k, t in enumerate(terms))
+    held = " and ".join(f"p{k} is not null" for k in range(len(terms)))
+    low = f"least({', '.join(f'p{k}' for k in range(len(terms)))})" if len(terms) > 1 else "p0"
+    return f"(select {key}, sum({len(terms)} / (stop - start + 1.0)) as rank from (select {key}, start, min(i) as stop from (select *, {low} as start from (select *, {last} from (select {key}, unnest(range(1, len(t) + 1)) as i, unnest(t) as w from (select {key}, {_TOK} as t from {rows})) where w in {tuple(terms) if len(terms) > 1 else f"('{terms[0]}')"} window x as (partition by {key} order by i))  where {held}) group by {key}, start) group by {key})"
+
 
+_NORM = "trim(regexp_replace(lower(strip_accents(replace(replace({}, 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g'))"
+_LINE_ROWS = "(select doc_id, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))"
+_SECS = f"secs as (select doc_id || ':' || s as sec, doc_id, min(line_no) as first_line, max(line_no) as last_line, string_agg(line, chr(10) order by line_no) as text from (select *, (line_no - 1) // 5 as s from {_LINE_ROWS}) group by doc_id, s)"
 
-@query(None)
+
+def _section_sql(q: str, holds: str, top: int) -> str:
+    """SQL: secs scored; holds is the boolean match over a word list t."""
+    return f"{_SECS}, sc as (select *, {_similar(q)} as sim, {holds} as m, contains({_NORM.format('text')}, '{q.lower()}') as exact from (select *, {_grams('t', q)} as g from (select *, {_TOK} as t from secs))), rk as {_covers('secs', 'sec', q)}, hit as (select doc_id, first_line, last_line, round(coalesce(rank, 0) + case when exact then 0.5 * coalesce(rank, 0) else 0 end + 0.3 * sim, 6)::double as score from sc left join rk using (sec) where m or sim >= 0.6 order by score desc, doc_id, first_line, last_line limit {top})"
+
+
+_QA, _QB, _QC = "licensed apache license", "Licenced under Apache", "MIT Licence text"
+
+
+@query(f"with {_section_sql(_QA, ' and '.join(f"list_contains(t, '{w}')" for w in ('licensed', 'apache', 'license')), 50)} select * from hit")
 def hybrid_section_rank(spark: SparkSession, d: str) -> DataFrame:
-    return section_hits(line_sections(load(spark, d, "documents")), "licensed apache license")
+    """T06."""
+    return section_hits(line_sections(load(spark, d, "documents")), _QA).drop("snippet")
+
+
+def _line_sql(q: str, least: float) -> str:
+    return f"select doc_id, line_no, line, round(score, 6)::double as score from (select doc_id, line_no, line, case when contains({_NORM.format('line')}, '{q.lower()}') then 1.0 else {_similar(q)} end as score from (select *, {_grams('t', q)} as g from (select *, {_TOK.replace('text', 'line')} as t from {_LINE_ROWS}))) where score >= {least}"
 
 
-@query(None)
+@query(f"select doc_id, line_no, score from ({_line_sql(_QB, 0.6)})")
 def trigram_word_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return line_hits(lines_of(load(spark, d, "documents")), "Licenced under Apache", 0.6).select("doc_id", "line_no", F.round("score", 6).alias("score"))
+    """T05, T07."""
+    return line_hits(lines_of(load(spark, d, "documents")), _QB, 0.6).select("doc_id", "line_no", F.round("score", 6).alias("score"))
 
 
-@query(None)
+_MIT = "MIT License"
+_BEST = f"best as (select doc_id, line_no, score + ls as score from (select h.doc_id, l.line_no, h.score, l.ls, row_number() over (partition by h.doc_id, h.first_line order by l.ls desc, l.line_no) as n from hit h join (select doc_id, line_no, case when contains({_NORM.format('line')}, 'mit license') then 1.0 else {_similar(_MIT)} end as ls from (select *, {_grams('t', _MIT)} as g from (select *, {_TOK.replace('text', 'line')} as t from {_LINE_ROWS}))) l on l.doc_id = h.doc_id and l.line_no between first_line and last_line) where n <= 3)"
+
+
+@query(f"with {_section_sql(_MIT, "list_contains(t, 'mit') and list_contains(t, 'license')", 50)}, {_BEST} select doc_id, line_no, round(max(score), 6)::double as score from best group by 1, 2 order by 3 desc, 1, 2 limit 10")
 def keyword_search_lines(spark: SparkSession, d: str) -> DataFrame:
+    """By sections."""
+    docs = load(spark, d, "documents")
+    return keyword_search(line_sections(docs), lines_of(docs), _MIT)
+
+
+_CODE = "Lizensed undr Apachy zq"
+
+
+@query(f"select doc_id, line_no, score from ({_line_sql(_CODE, 0.5)}) order by score desc, doc_id, line_no limit 20")
+def keyword_search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A misspelt query no section matches; lines are searched by trigrams instead."""
     docs = load(spark, d, "documents")
-    return keyword_search(line_sections(docs), lines_of(docs), "MIT License")
+    return keyword_search(line_sections(docs), lines_of(docs), _CODE, 20)
 
 
-@query(None)
+@query(f"select doc_id, (line_no - 1) // 5 + 1 as page_no, max(score) as best, string_agg(line_no::varchar, ',' order by line_no) as lines from ({_line_sql(_QC, 0.4)}) group by 1, 2")
 def find_in_document(spark: SparkSession, d: str) -> DataFrame:
-    """Hits grouped by document, best first."""
-    hits = line_hits(lines_of(load(spark, d, "documents")), "General Public License", 0.4)
-    return hits.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.array_sort(F.collect_list("line_no")).alias("lines"))
+    """Hits grouped by page (five lines each)."""
+    hits = line_hits(lines_of(load(spark, d, "documents")), _QC, 0.4).withColumn("page_no", F.expr("(line_no - 1) div 5 + 1"))
+    return by_page(hits).select("doc_id", "page_no", F.round("best", 6).alias("best"), F.array_join(F.transform("hits", lambda h: h["line_no"].cast("string")), ",").alias("lines"))
+
+
+_TURNS = "(select conv_id || ':' || turn as sec, conv_id as doc_id, turn as page_no, coalesce(text, '') as text from conversations)"
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(f"with p as {_TURNS}, t as (select *, {_TOK} as t from p), rk as {_covers('p', 'sec', 'the of')} select doc_id, page_no, round(coalesce(rank, 0), 6)::double as rank from t left join rk using (sec) where list_contains(t, 'the') and list_contains(t, 'of')")
+def page_search(spark: SparkSession, d: str) -> DataFrame:
+    """T08, T04."""
+    return page_ranks(_turns(spark, d), "the of")
+
+
+@query(f"with p as {_TURNS}, cards as (select doc_id as sec, doc_id, text from p where page_no = 0), ck as {_covers('cards', 'sec', 'the of')}, t as (select *, {_TOK} as t from p), rk as {_covers('p', 'sec', 'the of')}, b as (select doc_id, max(rank) as page_rank from t join rk using (sec) where list_contains(t, 'the') and list_contains(t, 'of') group by 1) select c.doc_id, round(2 * coalesce(ck.rank, 0) + coalesce(round(page_rank, 6), 0), 6)::double as score from cards c left join ck on ck.sec = c.doc_id left join b on b.doc_id = c.doc_id order by score desc, c.doc_id desc limit 20")
+def document_rank(spark: SparkSession, d: str) -> DataFrame:
+    """First turns as cards, later conversations first."""
+    turns = _turns(spark, d)
+    cards = turns.where("page_no = 0").select("doc_id", F.col("text").alias("card"), F.col("doc_id").alias("created_at"))
+    return document_ranks(cards, turns, "the of", 20).select("doc_id", "score")
+
+
+@query(f"with {_section_sql(_QA, ' and '.join(f"list_contains(t, '{w}')" for w in ('licensed', 'apache', 'license')), 50)}, pg as (select doc_id, score, first_line, unnest(range(first_line, last_line + 1)) as page_no from hit), f as (select doc_id, page_no, max(score) as score, min(first_line) as s from pg group by 1, 2), n as (select *, row_number() over (partition by doc_id order by score desc, s, page_no) as n from f) select doc_id, string_agg(page_no::varchar, ',' order by page_no) as pages from n where n <= 8 group by 1")
+def keyword_hint_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Lines stand for pages."""
+    hits = section_hits(line_sections(load(spark, d, "documents")), _QA).withColumnsRenamed({"first_line": "page_start", "last_line": "page_end"})
+    return keyword_hints(hits).select("doc_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+_TAILS = f"l as {_LINE_ROWS}, q as (select doc_id, right(a.line, 12) || ' ' || left(b.line, 12) as quote from l a join l b using (doc_id) where a.line_no = 1 and b.line_no = 2 union all select doc_id, arg_min(line, (-length(line), line_no)) from l group by 1), n as (select doc_id, line_no, line as w1, line || ' ' || lead(line) over w as w2, line || ' ' || lead(line) over w || ' ' || lead(line, 2) over w as w3, line || ' ' || lead(line) over w || ' ' || lead(line, 2) over w || ' ' || lead(line, 3) over w as w4 from l window w as (partition by doc_id order by line_no))"
 
 
-@query("with l as (select doc_id, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)), q as (select doc_id, arg_min(line, (-length(line), line_no)) as quote from l group by 1), n as (select doc_id, line_no, lower(strip_accents(line)) as n from l) select q.doc_id, min(n.line_no) as first_line, min(n.line_no) as last_line from q join n using (doc_id) where contains(trim(regexp_replace(n, '\\s+', ' ', 'g')), trim(regexp_replace(lower(strip_accents(quote)), '\\s+', ' ', 'g'))) group by q.doc_id")
+@query(f"with {_TAILS}, m as (select q.doc_id, quote, n.line_no, case when contains({_NORM.format('w1')}, nq) then 1 when contains({_NORM.format('w2')}, nq) then 2 when contains({_NORM.format('w3')}, nq) then 3 when contains({_NORM.format('w4')}, nq) then 4 end as size from (select *, {_NORM.format('quote')} as nq from q) q join n using (doc_id)) select doc_id, md5(quote) as quote, arg_min(line_no, (size, line_no)) as first_line, arg_min(line_no, (size, line_no)) + min(size) - 1 as last_line from m where size is not null group by doc_id, quote")
 def quote_verification(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's longest line looked up as a quote."""
+    """Every document's longest line, and a quote that runs from its first line into the second."""
     lines = lines_of(load(spark, d, "documents"))
-    quotes = lines.groupBy("doc_id").agg(F.min_by("line", F.struct(-F.length("line"), "line_no")).alias("quote"))
-    return verify_quotes(lines, quotes).select("doc_id", "first_line", "last_line")
+    longest = lines.groupBy("doc_id").agg(F.min_by("line", F.struct(-F.length("line"), "line_no")).alias("quote"))
+    first, second = lines.where("line_no = 1"), lines.where("line_no = 2").select("doc_id", F.col("line").alias("next"))
+    across = first.join(second, "doc_id").select("doc_id", F.concat(F.right("line", F.lit(12)), F.lit(" "), F.left("next", F.lit(12))).alias("quote"))
+    found = verify_quotes(lines, longest.unionByName(across).distinct())
+    return found.select("doc_id", F.md5("quote").alias("quote"), "first_line", "last_line")
 
 
 @query("select p_partkey, (case when list_contains(regexp_extract_all(lower(p_name), '[a-z0-9]+'), 'part') then 10 when contains(lower(p_name), 'part') then 5 else 0 end + case when list_contains(regexp_extract_all(lower(p_type), '[a-z0-9]+'), 'part') then 2 when contains(lower(p_type), 'part') then 1 else 0 end + case when list_contains(regexp_extract_all(lower(p_name), '[a-z0-9]+'), 'std') then 10 when contains(lower(p_name), 'std') then 5 else 0 end + case when list_contains(regexp_extract_all(lower(p_type), '[a-z0-9]+'), 'std') then 2 when contains(lower(p_type), 'std') then 1 else 0 end)::int as score from part")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..registry import query
 from ..session import load
 from .checks import Scope, compile_check
@@ -44,14 +47,48 @@ def counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("rule").agg(n("pass"), n("fail"), n("unknown"), F.count(F.lit(1)).alias("groups"))
 
 
+def with_overrides(verdicts: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """A user's verdict for an anchor and rule wins over the computed one, which stays beside it.
+    overrides: key, rule, status, note."""
+    own = overrides.select(key, "rule", F.col("status").alias("_own"), "note")
+    return verdicts.join(own, [key, "rule"], "left").select(key, "rule", F.coalesce("_own", "status").alias("status"), F.col("status").alias("computed"), F.col("_own").isNotNull().alias("overridden"), "note")
+
+
+def compared_rows(anchors: DataFrame, key: str, scope: Scope, formula: str, group: str, field: str, other: Column) -> DataFrame:
+    """The formula of each document of a group alone, beside the value it is compared with.
+    A row a document: key, label, value_a, value_b, status."""
+    one = F.col("_one")
+    alone = Scope(scope.types, scope.single, {**scope.groups, group: F.array(one)}, **({"today": scope.today} if scope.today is not None else {}))
+    status = compile_check(formula, alone)["status"]
+    return anchors.withColumn("_one", F.explode(scope.groups[group])).select(key, one["label"].alias("label"), one[field].alias("value_a"), other.alias("value_b"), status.alias("status"))
+
+
+def evidence(compared: DataFrame, key: str) -> DataFrame:
+    """Per anchor the failing documents with a note each, and how many documents the verdict rests on."""
+    note = F.concat("label", F.lit(": "), F.coalesce("value_a", F.lit("nothing")), F.lit(" against "), F.coalesce("value_b", F.lit("nothing")))
+    failing = F.sort_array(F.collect_list(F.when(F.col("status") == "fail", F.struct("label", note.alias("note")))))
+    return compared.groupBy(key).agg(failing.alias("failing"), F.count(F.lit(1)).alias("documents"))
+
+
+def totals(compared: DataFrame, key: str) -> DataFrame:
+    """The sum of a rule's left side by anchor."""
+    return compared.groupBy(key).agg(F.sum(T.parse_number(F.col("value_a"))).alias("total_a"), F.max("value_b").alias("value_b"))
+
+
+def hint(status: Column, what: str, operator: str, against: str) -> Column:
+    """What to do about a failing rule."""
+    return F.when(status == "fail", F.lit(f"{what} of the marked documents: not {operator} {against}. Open the page: correct the value where it was misread, else clear the difference with the customer."))
+
+
 ORDER_TYPES = {"order": {"total": "money", "day": "date", "status": "string", "priority": "string"}, "line": {"price": "money", "ship": "date", "flag": "string", "state": "string"}}
 
 
-def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, Scope]:
-    """Orders as anchors, their lines as the group. Money is cut to cents as exact text."""
+def _orders(spark: SparkSession, d: str, *formulas: str) -> tuple[DataFrame, Scope]:
+    """Orders as anchors, their lines as the group, with the fields the formulas read. Money is cut to cents as exact text."""
+    fields = {f for x in formulas for f in re.findall(r"\bline\.(\w+)", x)}
     cents = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     lines = load(spark, d, "lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("label"), cents("l_extendedprice").alias("price"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"))
-    by = grouped(lines, "l_orderkey", ["label", "price", "ship", "flag", "state"], "line")
+    by = grouped(lines, "l_orderkey", ["label", *sorted({f for f in ("price", "ship", "flag", "state") if f in fields})], "line")
     orders = load(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").cast("string").alias("label"), cents("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("order"))
     rows = orders.join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("line", F.coalesce("line", F.array().cast(by.schema["line"].dataType)))
     return rows, Scope(ORDER_TYPES, {"order": ("order", F.col("order"))}, {"line": F.col("line")})
@@ -63,7 +100,7 @@ _SUMS = "with l as (select l_orderkey, sum(round(l_extendedprice, 2)) as s, coun
 def _check(name: str, formula: str, sql: str) -> None:
     @query(_SUMS + f"select o_orderkey, {sql} as status from o", name=name)
     def check(spark: SparkSession, d: str) -> DataFrame:
-        rows, scope = _orders(spark, d)
+        rows, scope = _orders(spark, d, formula)
         return run(rows, "o_orderkey", scope, {name: formula}).select("o_orderkey", "status")
 
 
@@ -78,7 +115,7 @@ _check("orders_check_average", "AVERAGE(line.price) <= order.total / COUNT(line)
 @query(_SUMS + "select 'few' as rule, count(*) filter (where coalesce(n, 0) < 4) as n_pass, count(*) filter (where coalesce(n, 0) >= 4) as n_fail, 0::bigint as n_unknown, count(*) as groups from o union all select 'same', count(*) filter (where n >= 2 and flags = 1), count(*) filter (where n >= 2 and flags > 1), count(*) filter (where coalesce(n, 0) < 2), count(*) from o")
 def check_counts(spark: SparkSession, d: str) -> DataFrame:
     """Two rules over all orders in one pass."""
-    rows, scope = _orders(spark, d)
+    rows, scope = _orders(spark, d, "SAME(line.flag)")
     return counts(run(rows, "o_orderkey", scope, {"few": "COUNT(line) < 4", "same": "SAME(line.flag)"}))
 
 
@@ -90,3 +127,37 @@ def link_orders_to_customers(spark: SparkSession, d: str) -> DataFrame:
     pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
     near = F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 100
     return link(pairs, "s_suppkey", "c_custkey", [F.col("s_nationkey") == F.col("c_nationkey"), near]).select("s_suppkey", "c_custkey")
+
+
+_LINES = "ln as (select o_orderkey, l_orderkey || '-' || l_linenumber as label, round(l_extendedprice, 2)::decimal(18,2) as a, round(o_totalprice, 2)::decimal(18,2) as b, (round(l_extendedprice, 2) < round(o_totalprice, 2) / 4 + 0.005) as good from lineitem join orders on l_orderkey = o_orderkey)"
+_QUARTER = "line.price <= order.total / 4"
+
+
+def _quarters(spark: SparkSession, d: str) -> tuple[DataFrame, Scope, DataFrame]:
+    rows, scope = _orders(spark, d, _QUARTER)
+    return rows, scope, compared_rows(rows, "o_orderkey", scope, _QUARTER, "line", "price", F.col("order.total"))
+
+
+@query(f"with {_LINES} select o_orderkey, label, a::varchar as value_a, b::varchar as value_b, case when good then 'pass' else 'fail' end as status from ln")
+def check_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every line against a quarter of its order."""
+    return _quarters(spark, d)[2]
+
+
+@query(f"with {_LINES} select o_orderkey, coalesce(string_agg(label || ': ' || a || ' against ' || b, '; ' order by label, label || ': ' || a || ' against ' || b) filter (where not good), '') as notes, count(*) as documents, round(sum(a), 2)::double as total_a, case when count(*) filter (where not good) > 0 then 'fail' else 'pass' end as status, count(*) filter (where not good) > 0 as hinted from ln group by 1")
+def check_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Failing lines with notes, totals, and a hint where the rule fails."""
+    rows, scope, compared = _quarters(spark, d)
+    verdicts = run(rows, "o_orderkey", scope, {"quarter": _QUARTER})
+    out = evidence(compared, "o_orderkey").join(totals(compared, "o_orderkey").select("o_orderkey", "total_a"), "o_orderkey").join(verdicts, "o_orderkey")
+    notes = F.array_join(F.transform("failing", lambda r: r["note"]), "; ")
+    return out.select("o_orderkey", notes.alias("notes"), "documents", F.round("total_a", 2).alias("total_a"), "status", hint(F.col("status"), "Price", "at most", "a quarter of the order").isNotNull().alias("hinted"))
+
+
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then 'pass' when o_orderstatus = 'F' then 'fail' else 'pass' end as status, case when o_orderstatus = 'F' then 'fail' else 'pass' end as computed, o_orderkey % 5 = 0 as overridden from orders")
+def check_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth order is accepted by a user."""
+    rows, scope = _orders(spark, d)
+    verdicts = run(rows, "o_orderkey", scope, {"open": 'order.status != "F"'})
+    own = rows.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("open").alias("rule"), F.lit("pass").alias("status"), F.lit("seen").alias("note"))
+    return with_overrides(verdicts, own, "o_orderkey").select("o_orderkey", "status", "computed", "overridden")

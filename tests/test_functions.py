@@ -1,3 +1,5 @@
+import math
+
 import random
 
 import pytest
@@ -46,7 +48,7 @@ def test_dates(spark):
     assert str(one(spark, "2026-01-31", lambda c: dates.add_overflowing(c.cast("date"), F.lit(1), "month"))) == "2026-03-03"
 
 
-@pytest.mark.parametrize("e,want", [("1+2*3", "7"), ("2^3^2", "512"), ("-2^2", "-4"), ("0.1+0.2", "0.3"), ("10%3", "1"), ("-7%3", "-1"), ("round(2.5)", "3"), ("round(-2.5)", "-3"), ("round(1234.567,-2)", "1200"), ("round(1.005,2)", "1.01"), ("abs(-3)", "3"), ("floor(-1.5)", "-2"), ("ceil(1.2)", "2"), ("min(3,1,2)", "1"), ("avg(1,2)", "1.5"), ("sum(0.1,0.2)", "0.3"), ("1/8", "0.125"), ("2^-1", "0.5"), ("(1+2)*3", "9"), ("1/3", "0.33333333333333333333…"), ("10^20+1", "100000000000000000001")])
+@pytest.mark.parametrize("e,want", [("1+2*3", "7"), ("2^3^2", "512"), ("-2^2", "-4"), ("0.1+0.2", "0.3"), ("10%3", "1"), ("-7%3", "-1"), ("round(2.5)", "3"), ("round(-2.5)", "-3"), ("round(1234.567,-2)", "1200"), ("round(1.005,2)", "1.01"), ("abs(-3)", "3"), ("floor(-1.5)", "-2"), ("ceil(1.2)", "2"), ("min(3,1,2)", "1"), ("avg(1,2)", "1.5"), ("sum(0.1,0.2)", "0.3"), ("1/8", "0.125"), ("2^-1", "0.5"), ("(1+2)*3", "9"), ("1/3", "0.3333333333"), ("2/3", "0.6666666667"), ("2.5e2 - 1", "249"), ("7e-1", "0.7"), ("1_500", "1500"), ("10^20+1", "100000000000000000001")])
 def test_calculator(e, want):
     assert P.render(P.calculate(e)) == want
 
@@ -70,9 +72,15 @@ def test_diff_and_alignment():
 
 
 def test_hash_embedding():
-    a, b, c = (P.hash_embedding(s) for s in ("hợp đồng thuê nhà", "hop dong thue nha", "báo cáo tài chính"))
+    a, b, c = (P.hash_embedding(s) for s in ("River Boats at DAWN", "river boats at dawn x", "market news of the day"))
     dot = lambda x, y: sum(p * q for p, q in zip(x, y))
-    assert a == b and dot(a, a) == pytest.approx(1) and dot(a, c) < 0.5 and P.fnv1a("") == 0xCBF29CE484222325 and P.fnv1a("a") == 0xAF63DC4C8601EC8C
+    assert a == b and dot(a, a) == pytest.approx(1) and dot(a, c) < 0.5 and P.fnv1a(b"") == 0xCBF29CE484222325 and P.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert P.fnv1a(b"a", 32) == 0xE40C292C and P.hash_embedding("x y ,") == [0.0] * 256
+    one = P.hash_embedding("boat boat boat sea")
+    h = P.fnv1a(b"boat")
+    assert one[h % 256] * (-1 if h >> 63 else 1) > 0 and len([v for v in one if v]) == 4
+    weights = sorted({round(abs(v) / max(map(abs, one)), 6) for v in one if v})
+    assert weights == [round(1 / (1 + math.log(3)), 6), 1.0]
 
 
 def pages(spark, rows):
@@ -161,3 +169,27 @@ def test_sources(spark, tmp_path):
     assert len(got) == 1 and got[0].mime == "application/pdf" and tuple(got[0].c) == (2, "u", True)
     assert readers.table_markdown('<table><tr><th colspan="2">H|</th></tr><tr><td>a</td><td>b<br>c</td></tr></table>') == "| H\\| |  |\n| --- | --- |\n| a | b c |"
     assert [k for k, _ in readers.markdown_regions("# T\n\ntext\nmore\n\n|a|b|\n|-|-|\n\n$$x$$\n![f](u)\nĐiều 1. X")] == ["title", "paragraph", "table", "formula", "figure", "heading"]
+
+
+@pytest.mark.parametrize("e", ["1.234.567", "1 234", "2e1001", "1/(2-2)", "foo(1)", "(1"])
+def test_calculator_refuses(e):
+    with pytest.raises(P.CalcError):
+        P.calculate(e)
+
+
+def test_exact_or_rounded():
+    assert P.ends(P.calculate("3/40")) and not P.ends(P.calculate("1/7")) and P.render(P.calculate("-1/6"), 3) == "-0.167"
+
+
+def test_region_classes():
+    from folia.operators.layout import CLASSES
+
+    assert (CLASSES["seal"], CLASSES["chart"], CLASSES["footnote"], CLASSES["table_title"], CLASSES.get("other", "unknown")) == ("figure", "figure", "footnote", "caption", "unknown")
+
+
+def test_heading_groups():
+    from folia.operators.pages import heading_groups
+
+    b = lambda kind, text, level=0, tokens=10: {"kind": kind, "text": text, "level": level, "tokens": tokens}
+    got = heading_groups([b("paragraph", "lead"), b("heading", "Terms of", 2), b("heading", "payment", 2), b("paragraph", "body", tokens=40), b("heading", "Note", 3, 2), b("heading", "2. Goods", 2), b("paragraph", "more", tokens=50)])
+    assert [(g["title"], g["body"], g["tokens"]) for g in got] == [("", ["lead"], 10), ("Terms of payment", ["body", "Note"], 62), ("2. Goods", ["more"], 60)]
