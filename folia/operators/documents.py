@@ -10,9 +10,9 @@ from ..registry import query
 from ..session import load
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """A row a line: doc_id, line_no from 1, line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
+def lines_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row a line: doc_id, columns to keep, line_no from 1, line."""
+    return docs.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", *keep, (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def document_filter(*, statuses=None, ids=None, cases=None, text: str | None = None, before: Column | None = None, more: Column | None = None) -> Column:
@@ -52,6 +52,22 @@ NORM = "trim(regexp_replace(" + FOLD + ", '\\s+', ' ', 'g'))"
 LINES = "(select doc_id, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))"
 
 
+@query("select doc_id from documents where lang in ('en', 'de') and doc_id not in (1, 2) and contains(lower(strip_accents(text)), 'license') and n_chars < 3000")
+def document_filters(spark: SparkSession, d: str) -> DataFrame:
+    """optional parts joined by and; what isn't given doesn't filter."""
+    docs = load(spark, d, "documents").withColumn("status", F.col("lang"))
+    keep = document_filter(statuses=["en", "de"], text="LICENSE", more=~F.col("doc_id").isin(1, 2) & (F.col("n_chars") < 3000))
+    return docs.where(keep & document_filter()).select("doc_id")
+
+
+@query("select event_id from events where user_id % 3 = 1 and event_type <> 'error' and event_type in ('view', 'purchase')")
+def visible_rows(spark: SparkSession, d: str) -> DataFrame:
+    """current generation, not deleted, ready."""
+    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "purchase", "partial").otherwise("pending")
+    rows = load(spark, d, "events").withColumns({"gen": F.col("user_id") % 3, "doc_gen": F.lit(1), "deleted_at": F.when(F.col("event_type") == "error", F.col("ts")), "status": status})
+    return rows.where(visible()).select("event_id")
+
+
 @query(f"select doc_id, lang from documents where contains({NORM.format('text')}, 'licensed under the apache')")
 def doc_fold_contains(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").where(T.contains_fold(F.col("text"), F.lit("Licensed  UNDER thé Apache"))).select("doc_id", "lang")
@@ -103,17 +119,18 @@ def doc_line_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_lines(lines: DataFrame, group: str, page: str, ratio: float = 0.6) -> DataFrame:
-    """Lines whose key is on at least max(2, ceil(ratio * pages)) pages of their group."""
-    keyed = lines.select(group, page, T.furniture_key(F.col("line")).alias("key")).where("key <> ''")
-    pages = lines.groupBy(group).agg(F.count_distinct(page).alias("pages"))
-    seen = keyed.groupBy(group, "key").agg(F.count_distinct(page).alias("on_pages"))
+    """Lines whose key is on at least max(2, ceil(ratio * pages)) pages of their group.
+
+    A page's equal lines become one before anything moves by group, so a hot group is a count a task."""
+    once = lines.select(group, page, T.furniture_key(F.col("line")).alias("key")).distinct()
+    pages = lines.select(group, page).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("pages"))
+    seen = once.where("key <> ''").groupBy(group, "key").agg(F.count(F.lit(1)).alias("on_pages"))
     return seen.join(pages, group).where(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.lit(ratio) * F.col("pages"))))
 
 
 @query(f"with l as (select source, doc_id, regexp_replace({NORM.format('line')}, '\\d+', '#', 'g') as key from {LINES} join documents using (doc_id)), n as (select source, count(distinct doc_id) as pages from documents group by 1) select source, key, count(distinct doc_id) as on_pages from l join n using (source) where key <> '' group by source, key, pages having count(distinct doc_id) >= greatest(2, ceil(0.05 * pages))")
 def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents")
-    lines = lines_of(docs).join(docs.select("doc_id", "source"), "doc_id")
+    lines = lines_of(load(spark, d, "documents"), "source")
     return repeated_lines(lines, "source", "doc_id", 0.05).select("source", "key", "on_pages")
 
 
@@ -139,11 +156,11 @@ def doc_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("o_orderkey", F.round(T.similarity(F.col("o_orderpriority"), F.col("c_mktsegment")), 6).alias("similarity"))
 
 
-@query("with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents where lang = 'en'), b as (select word, count(*) as m from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from benchmark) group by 1), c as (select doc_id, word, count(*) as n from w group by 1, 2) select doc_id, round(sum(least(n, coalesce(m, 0))) / sum(n), 6)::double as overlap from c left join b using (word) group by doc_id")
+@query("with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents), b as (select word, count(*) as m from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from benchmark) group by 1), c as (select doc_id, word, count(*) as n from w group by 1, 2) select doc_id, round(sum(least(n, coalesce(m, 0))) / sum(n), 6)::double as overlap from c left join b using (word) group by doc_id")
 def word_overlap_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """Share of a document's word multiset met by the benchmark's."""
     words = lambda df, *keep: df.select(*keep, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word"))
-    mine = words(load(spark, d, "documents").where("lang = 'en'"), "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    mine = words(load(spark, d, "documents"), "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     theirs = words(load(spark, d, "benchmark")).groupBy("word").agg(F.count(F.lit(1)).alias("m"))
     return mine.join(theirs, "word", "left").groupBy("doc_id").agg(F.round(F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n"), 6).alias("overlap"))
 

@@ -157,7 +157,7 @@ def overlap_anti(spark: SparkSession, d: str) -> DataFrame:
     return p.join(u, meet, "left_anti").select("o_orderkey")
 
 
-@query(None)
+@query(f"with recursive {_SEG}, r as (select *, row_number() over (partition by o_custkey order by own desc, o_totalprice desc, o_orderkey) as n from seg), f as (select o_custkey, n, [{{'k': o_orderkey, 's': page_start, 'e': page_end}}] as kept from r where n = 1 union all select r.o_custkey, r.n, case when len(list_filter(f.kept, lambda k: r.page_start <= k.e and r.page_end >= k.s)) = 0 then list_append(f.kept, {{'k': r.o_orderkey, 's': r.page_start, 'e': r.page_end}}) else f.kept end from f join r on r.o_custkey = f.o_custkey and r.n = f.n + 1), u as (select o_custkey, unnest(arg_max(kept, n)) as x from f group by 1) select o_custkey, x.k as o_orderkey, x.s as page_start, x.e as page_end from u")
 def overlap_greedy(spark: SparkSession, d: str) -> DataFrame:
     """The user's segments first, then by confidence (price), each kept when apart from those kept."""
     s = _segments(spark, d)
@@ -171,7 +171,14 @@ def bundle_numbers(spark: SparkSession, d: str) -> DataFrame:
     return bundles(t, "conv_id", [F.asc("turn")], ["user"]).select("conv_id", "turn", "bundle_code")
 
 
-@query(None)
+_TURN_PAGES = "c as (select conv_id as doc_id, turn as page_no, case when turn % 4 = 1 then ' ' when turn % 4 = 3 then coalesce(text, '') || chr(10) || 'Page 1 / 9' else coalesce(text, '') || chr(10) || '- ' || turn || ' -' end as text, case when role = 'user' then 595.0 when turn % 5 = 4 then 900.0 else 842.0 end as width, case when role = 'user' then 842.0 else 595.0 end as height from conversations)"
+
+
+@query(f"with {_TURN_PAGES}, l as (select *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as ls from c), e as (select *, len(ls) = 0 as blank, try_cast(nullif(regexp_extract(array_to_string(list_concat(ls[1:2], list_reverse(ls)[1:2]), chr(10)), '(?im)^[^0-9a-z_\\n]*(?:page|trang)?[^0-9a-z_\\n]*([0-9]{{1,4}})(?:\\s*/\\s*[0-9]+)?[^0-9a-z_]*$', 1), '') as int) as no from l), p as (select *, lag(blank) over w as b, lag(width) over w as pw, lag(height) over w as ph, row_number() over w as n from e window w as (partition by doc_id order by page_no)), h as (select doc_id, page_no, list_filter([case when no = 1 and page_no > 1 then 'number_restarts' end, case when b and n > 2 then 'after_blank' end, case when (width > height) <> (pw > ph) then 'orientation' end, case when (abs(width - pw) > 0.05 * pw or abs(height - ph) > 0.05 * ph) and not (width > height) <> (pw > ph) then 'size' end], lambda x: x is not null) as hints from p) select doc_id, page_no, array_to_string(hints, ',') as hints from h where len(hints) > 0")
 def split_cut_hints(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text", F.when(F.col("role") == "user", 595.0).otherwise(842.0).alias("width"), F.when(F.col("role") == "user", 842.0).otherwise(595.0).alias("height"))
-    return cut_hints(c)
+    """Turns as pages with page numbers, blank ones, turned and resized ones."""
+    t = F.coalesce("text", F.lit(""))
+    body = F.when(F.col("turn") % 4 == 1, " ").when(F.col("turn") % 4 == 3, F.concat(t, F.lit("\nPage 1 / 9"))).otherwise(F.concat(t, F.lit("\n- "), F.col("turn").cast("string"), F.lit(" -")))
+    width = F.when(F.col("role") == "user", 595.0).when(F.col("turn") % 5 == 4, 900.0).otherwise(842.0)
+    c = load(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), body.alias("text"), width.alias("width"), F.when(F.col("role") == "user", 842.0).otherwise(595.0).alias("height"))
+    return cut_hints(c).select("doc_id", "page_no", F.array_join("hints", ",").alias("hints"))
