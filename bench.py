@@ -58,7 +58,7 @@ def duckdb_times(sql: dict[str, str]) -> dict[str, float]:
             times = []
             for k in range(RUNS + 1):
                 began = time.perf_counter()
-                con.execute(sql[name]).fetch_arrow_table()
+                con.execute(sql[name]).to_arrow_table()
                 if k:
                     times.append(time.perf_counter() - began)
             took[name] = round(median(times), 3)
