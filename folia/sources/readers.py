@@ -160,8 +160,12 @@ def html_pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", "url", host.alias("host"), F.regexp_extract("html", "(?i)<title[^>]*>([^<]*)</title>", 1).alias("title"))
 
 
-@query(None)
+_LINE_KINDS = "l as (select doc_id, unnest(range(1, len(x) + 1)) as n, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents)), t as (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as s from l), k as (select *, case when s = '' then 'blank' when starts_with(s, '|') then 'table' when regexp_matches(s, '^#{1,6}\\s') or regexp_matches(s, '(?i)^(?:chương|mục|điều|phần|chapter|section|article|part)\\s+[0-9ivxlc]+') or (regexp_matches(s, '^[^a-zà-ỹ]{4,80}$') and regexp_matches(s, '\\p{L}')) then case when starts_with(s, '# ') then 'title' else 'heading' end else 'paragraph' end as kind from t), r as (select *, sum(case when kind in ('title', 'heading') or kind is distinct from prev then 1 else 0 end) over (partition by doc_id order by n) as region from (select *, lag(kind) over (partition by doc_id order by n) as prev from k))"
+
+
+@query(f"with {_LINE_KINDS}, g as (select doc_id, region, min(kind) as kind, (sum(length(line) + 1) - 1)::int as chars from r where kind <> 'blank' group by 1, 2) select doc_id, (row_number() over (partition by doc_id order by region) - 1)::int as no, kind, chars from g")
 def markdown_region_split(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, tables and paragraphs of every document, by runs of lines of a kind."""
     r = load(spark, d, "documents").select("doc_id", F.posexplode(split_markdown("text")).alias("no", "r"))
     return r.select("doc_id", "no", "r.kind", F.length("r.text").alias("chars"))
 

@@ -37,6 +37,5 @@ def test_equals_sql(spark, sf, con, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLES.keys()
