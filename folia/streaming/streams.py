@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.relational import cost
+from ..registry import query
+from ..session import load
 
 
 def queue(tasks: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -70,3 +74,58 @@ def completions(pages: DataFrame) -> DataFrame:
 def each_batch(stream: DataFrame, sink, checkpoint: str):
     """Hands every micro-batch to a sink, at least once."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+
+
+# -- queries ---------------------------------------------------------------------------------------
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, deleted when the program ends; where that is unset a local
+    session takes a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='folia-stream-')}"
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def to_end(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that its source holds now and returns what it wrote."""
+    folder = shared_folder(stream.sparkSession)
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def as_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, as a source of streams takes no single file by its name."""
+    return spark.readStream.schema(load(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+@query("select event_id, user_id, event_type from events")
+def stream_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Every event delivered twice, made once."""
+    e = as_stream(spark, d, "events").select(F.col("event_id").cast("string").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id", "event_type")
+    return to_end(queue(e.union(e)).select("event_id", "user_id", "event_type"))
+
+
+@query("with p as (select l_orderkey, max(l_linenumber) as wanted, count(distinct l_linenumber) as pages from lineitem group by 1) select l_orderkey as doc_id, 1::int as gen, pages::int as pages from p where pages = wanted")
+def stream_completions(spark: SparkSession, d: str) -> DataFrame:
+    """An order is done when all its line numbers have come, repeated ones once; reported one time."""
+    wanted = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("page_count"))
+    lines = as_stream(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(wanted, "l_orderkey")
+    rows = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("gen"), F.col("l_linenumber").cast("int").alias("page_no"), F.col("page_count").cast("int").alias("page_count"), F.lit(True).alias("ok"))
+    return to_end(completions(rows)).select("doc_id", "gen", "pages")
+
+
+@query("with e as (select event_id, event_type, 1 + event_id % 6 as attempt from events) select event_id, case when event_id % 3 = 0 then 'done' when attempt < case event_type when 'view' then 3 when 'click' then 5 else 1 end then 'retry' else 'dead' end as route from e")
+def stream_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Failed attempts go again until their kind's number is used up, then to the dead letters."""
+    e = as_stream(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), (F.col("event_id") % 6 + 1).alias("attempt"), F.when(F.col("event_id") % 3 != 0, "failed").alias("error"))
+    return to_end(routed(e, {"view": 3, "click": 5})).select("event_id", "route")
