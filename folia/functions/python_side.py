@@ -316,25 +316,87 @@ def line_diff(a: str, b: str) -> list[tuple[str, str]]:
     return out
 
 
-def align(a: list[str], b: list[str], gap: float = 0.7, most: int = 4_000_000) -> list[tuple[int, int]] | None:
-    """Pairs of a least-cost monotone alignment; None when the table would exceed `most` cells."""
+def edits(a: str, others: list[str]):
+    """Edit distances of a to each of the other texts, one row of the table at a time for all of them."""
+    import numpy as np
+
+    wide = np.array([len(o) for o in others], np.int64)
+    longest = int(wide.max(initial=0))
+    chars = np.zeros((len(others), longest), np.int64)
+    for i, o in enumerate(others):
+        chars[i, : len(o)] = [ord(c) for c in o]
+    steps = np.arange(longest + 1)
+    last = np.tile(steps, (len(others), 1))
+    for i, c in enumerate(a, 1):
+        row = np.empty_like(last)
+        row[:, 0] = i
+        row[:, 1:] = np.minimum(last[:, 1:] + 1, last[:, :-1] + (chars != ord(c)))
+        last = np.minimum.accumulate(row - steps, axis=1) + steps
+    return last[np.arange(len(others)), wide]
+
+
+def alike(a: str, b: str) -> float:
+    """1 - edits / longer length."""
+    return 1.0 if a == b else 1 - int(edits(a, [b])[0]) / max(len(a), len(b))
+
+
+def words_at(s: str) -> list[tuple[int, int, str]]:
+    """Start, end and key of each word between white space; a key is folded, without punctuation around it."""
+    out = []
+    for m in re.finditer(r"\S+", s):
+        key = re.sub(r"^[\W_]+|[\W_]+$", "", fold(m[0]))
+        out.append((m.start(), m.end(), key or m[0]))
+    return out
+
+
+def word_costs(a: list[str], b: list[str]):
+    """Matrix of what it costs to pair words: 0 for the same, 1 - likeness from a half on, else 1.
+
+    Shared characters bound the likeness from above, so few pairs are compared in full."""
+    import numpy as np
+
+    chars = {c: i for i, c in enumerate({c for w in [*a, *b] for c in w})}
+
+    def counts(words: list[str]):
+        n = np.zeros((len(words), len(chars) or 1), np.int16)
+        for i, w in enumerate(words):
+            for c in w:
+                n[i, chars[c]] += 1
+        return n
+
+    of_a, of_b, wide = counts(a), counts(b), np.array([len(w) for w in b])
+    cost = (np.array(a, object)[:, None] != np.array(b, object)[None, :]).astype(float)
+    for i, w in enumerate(a):
+        common = np.minimum(of_a[i], of_b).sum(1)
+        near = np.flatnonzero((2 * common >= np.maximum(wide, len(w))) & (common > 0))
+        if len(near):
+            far = edits(w, [b[j] for j in near]) / np.maximum(wide[near], len(w))
+            cost[i, near] = np.where(far <= 0.5, far, 1.0)
+    return cost
+
+
+def align(a: list[str], b: list[str], gap: float = 0.7, most: int = 4_000_000) -> list[tuple[int, int, float]] | None:
+    """Pairs with their cost in a least-cost monotone alignment of words; None when the table would exceed `most` cells."""
     import numpy as np
 
     n, m = len(a), len(b)
     if n * m > most:
         return None
-    ids = {w: i for i, w in enumerate({*a, *b})}
-    x, y = np.array([ids[w] for w in a], int), np.array([ids[w] for w in b], int)
+    if not n or not m:
+        return []
+    ka, kb = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+    at_a, at_b = {w: i for i, w in enumerate(ka)}, {w: i for i, w in enumerate(kb)}
+    pairing, y = word_costs(ka, kb), np.array([at_b[w] for w in b])
     cost = np.zeros((n + 1, m + 1))
-    cost[0] = np.arange(m + 1) * gap
-    steps = np.arange(m + 1) * gap
+    cost[0] = steps = np.arange(m + 1) * gap
     for i in range(1, n + 1):
-        best = np.concatenate(([i * gap], np.minimum(cost[i - 1, :-1] + (y != x[i - 1]), cost[i - 1, 1:] + gap)))
+        best = np.concatenate(([i * gap], np.minimum(cost[i - 1, :-1] + pairing[at_a[a[i - 1]]][y], cost[i - 1, 1:] + gap)))
         cost[i] = np.minimum.accumulate(best - steps) + steps
     out, i, j = [], n, m
     while i and j:
-        if abs(cost[i, j] - (cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]))) < 1e-9:
-            out.append((i - 1, j - 1))
+        c = float(pairing[at_a[a[i - 1]], y[j - 1]])
+        if abs(cost[i, j] - (cost[i - 1, j - 1] + c)) < 1e-9:
+            out.append((i - 1, j - 1, c))
             i, j = i - 1, j - 1
         elif abs(cost[i, j] - (cost[i - 1, j] + gap)) < 1e-9:
             i -= 1

@@ -1,7 +1,7 @@
-"""Page assembly: OCR lines and regions to ordered blocks and Markdown, and the text layer's merge.
+"""Page assembly: OCR lines and regions to ordered blocks and Markdown.
 
-Pages are small and independent, and their order rules are not transitive, so a page is one group of
-`applyInPandas`; the shuffle is by (doc_id, page_no), which no single document can overload.
+Pages are small and independent, and their order rules are not transitive. A page is one row with its
+lines and regions in arrays, so it is built where it lies, in Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import python_side as P
 from ..functions import text as T
-from ..sources.readers import table_markdown
+from ..registry import query
+from ..session import load
+from ..sources.readers import ocr_pages, table_markdown
 
 # Region classes of the layout engine by the block kind they give; a caller may give others.
 KINDS = {
@@ -37,7 +38,7 @@ BLOCKS = "doc_id long, page_no int, block_no int, kind string, x0 double, y0 dou
 
 
 def box(quad) -> tuple[float, float, float, float]:
-    xs, ys = [p[0] for p in quad], [p[1] for p in quad]
+    xs, ys = [float(p[0]) for p in quad], [float(p[1]) for p in quad]
     return min(xs), min(ys), max(xs), max(ys)
 
 
@@ -173,7 +174,7 @@ def pages(ocr: DataFrame, classes: dict[str, str] = CLASSES) -> DataFrame:
         return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("line_from", "line_to", "md_start", "md_end")})
 
     plain = ocr.select("doc_id", "page_no", F.transform("lines", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"), x["quad"].alias("quad"), x["layout_id"].alias("layout_id"))).alias("lines"), F.transform("regions", lambda x: F.struct(x["id"].alias("id"), x["class"].alias("class"), x["quad"].alias("quad"), x["html"].alias("html"), x["latex"].alias("latex"))).alias("regions"), "reading_order")
-    return plain.groupBy("doc_id", "page_no").applyInPandas(build, BLOCKS)
+    return plain.mapInPandas(lambda batches: map(build, batches), BLOCKS)
 
 
 def flag_furniture(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
@@ -185,74 +186,7 @@ def flag_furniture(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
     return keyed.join(often, ["doc_id", "_k"], "left").withColumn("furniture", F.coalesce("_f", F.lit(False)) | F.col("kind").isin(*FURNITURE)).drop("_k", "_f")
 
 
-# -- text layer ------------------------------------------------------------------------------
-
-
-def words_of(chars: list[dict]) -> list[dict]:
-    """Characters (text, box) to words: a space, a gap or a drop in the line ends one."""
-    out: list[dict] = []
-    open_ = False
-    for c in chars:
-        if not c["text"].strip():
-            open_ = False
-            continue
-        b = c["box"]
-        if open_:
-            p = out[-1]["box"]
-            high = min(p[3] - p[1], b[3] - b[1])
-            if b[0] - p[2] <= 0.3 * high and min(p[3], b[3]) - max(p[1], b[1]) >= 0.5 * high and b[0] >= p[0]:
-                out[-1] = {"text": out[-1]["text"] + c["text"], "box": union((p, b))}
-                continue
-        out.append({"text": c["text"], "box": b})
-        open_ = True
-    return out
-
-
-def rows_of(words: list[dict]) -> list[list[dict]]:
-    """Words to rows: a word joins the open row when it overlaps half of the lower height."""
-    rows: list[list[dict]] = []
-    for w in sorted(words, key=lambda w: (w["box"][1], w["box"][0])):
-        if rows:
-            r = union(x["box"] for x in rows[-1])
-            if min(r[3], w["box"][3]) - max(r[1], w["box"][1]) >= 0.5 * min(r[3] - r[1], w["box"][3] - w["box"][1]):
-                rows[-1].append(w)
-                continue
-        rows.append([w])
-    return [sorted(r, key=lambda w: w["box"][0]) for r in rows]
-
-
-def merge_layer(lines: list[dict], words: list[dict], least: float = 0.6, grow: float = 0.15) -> list[dict]:
-    """Each line takes the layer's words inside its grown box, each word once; alike texts are
-    replaced by the layer's; words that no line took become lines of their own."""
-    used: set[int] = set()
-    out = []
-    for x in lines:
-        b = x["box"]
-        by = grow * (b[3] - b[1])
-        inside = [i for i, w in enumerate(words) if i not in used and b[0] - by <= (w["box"][0] + w["box"][2]) / 2 <= b[2] + by and b[1] - by <= (w["box"][1] + w["box"][3]) / 2 <= b[3] + by]
-        said = " ".join(words[i]["text"] for i in sorted(inside, key=lambda i: words[i]["box"][0]))
-        if said and alike(said, x["text"]) >= least:
-            used.update(inside)
-            out.append(x | {"text": said, "source": "layer"})
-        else:
-            out.append(x | {"source": "ocr"})
-            used.update(i for i in inside if P.fold(words[i]["text"]) in P.fold(x["text"]))
-    free = [w for i, w in enumerate(words) if i not in used]
-    return out + [{"text": " ".join(w["text"] for w in r), "box": union(w["box"] for w in r), "source": "layer"} for r in rows_of(free)]
-
-
-def alike(a: str, b: str) -> float:
-    """1 - edits / longer length on folded text."""
-    x, y = " ".join(P.fold(a).split()), " ".join(P.fold(b).split())
-    if not x and not y:
-        return 1.0
-    last = list(range(len(y) + 1))
-    for i, c in enumerate(x, 1):
-        row = [i]
-        for j, e in enumerate(y, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
-        last = row
-    return 1 - last[-1] / max(len(x), len(y))
+# -- texts and cards -------------------------------------------------------------------------
 
 
 def layer_quality(layer_words: DataFrame, ocr_words: DataFrame, key: list[str]) -> DataFrame:
@@ -262,30 +196,6 @@ def layer_quality(layer_words: DataFrame, ocr_words: DataFrame, key: list[str])
     return b.join(a, [*key, "word"], "left").groupBy(*key).agg((F.sum(F.least("m", F.coalesce("n", F.lit(0)))) / F.sum("m")).alias("overlap"))
 
 
-# -- transcriptions ----------------------------------------------------------------------------
-
-
-def distribute(regions: list[str], segments: list[str]) -> list[int | None]:
-    """The region of each transcribed segment, by votes of aligned words; ties to the earlier region.
-    A segment without a vote is a new region (None)."""
-    words, owner = [], []
-    for i, r in enumerate(regions):
-        for w in P.tokens(r):
-            words.append(w)
-            owner.append(i)
-    said, segment = [], []
-    for i, s in enumerate(segments):
-        for w in P.tokens(s):
-            said.append(w)
-            segment.append(i)
-    votes: list[dict[int, int]] = [{} for _ in segments]
-    for i, j in P.align(words, said) or []:
-        if words[i] == said[j]:
-            v = votes[segment[j]]
-            v[owner[i]] = v.get(owner[i], 0) + 1
-    return [min(v, key=lambda r: (-v[r], r)) if v else None for v in votes]
-
-
 def choose_text(blocks: DataFrame) -> DataFrame:
     """A block's text: transcription, then a trusted text layer, then OCR. Columns vlm, layer, layer_score, ocr."""
     said = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
@@ -298,3 +208,46 @@ def document_cards(docs: DataFrame, blocks: DataFrame, words: int = 40) -> DataF
     first = blocks.where(~F.col("kind").isin(*FURNITURE)).withColumn("_t", F.first(F.when(F.col("kind").isin("title", "heading"), F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("doc_id", "_t", F.col("text").alias("_b"))
     out = docs.join(first, "doc_id", "left")
     return out.select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), T.strip_md(F.col("_t")), F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("title"), F.coalesce(F.nullif(F.trim("summary"), F.lit("")), T.first_words(T.strip_md(F.col("_b")), words), F.lit("")).alias("summary"))
+
+
+# -- queries ---------------------------------------------------------------------------------------
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """An OCR reply for every order: its lines in no order, some on one row; the first three lie in a text region, the next ones in none,
+    a table without lines follows, and the page's number."""
+    line = F.format_string('{"id":%d,"text":"item %d","confidence":0.9,"bounding_box":[[%s,%d],[90,%d]]}', F.col("l_linenumber"), F.col("l_partkey"), (F.lit(10) + F.col("l_partkey") / 1000000).cast("decimal(12,6)").cast("string"), F.col("l_linenumber") * 10 + 20, F.col("l_linenumber") * 10 + 28)
+    lines = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("lines"))
+    body = F.format_string(
+        '{"results":[{"id":90,"text":"%d","confidence":0.9,"bounding_box":[[40,200],[60,208]],"layout_id":4},%s,{"id":91,"text":"Order %d","confidence":0.9,"bounding_box":[[10,5],[90,15]],"layout_id":1}],'
+        '"layout":[{"id":4,"class":"number","confidence":1,"bounding_box":[[30,195],[70,210]]},{"id":3,"class":"table","confidence":1,"bounding_box":[[5,110],[95,130]]},{"id":2,"class":"text","confidence":1,"bounding_box":[[5,28],[95,59]]},{"id":1,"class":"doc_title","confidence":1,"bounding_box":[[5,2],[95,18]]}],'
+        '"reading_order":[91],"tables":[{"layout_id":3,"html":"<table><tr><td>a</td><td>b</td></tr></table>"}],"formulas":[]}',
+        F.col("l_orderkey"), "lines", F.col("l_orderkey"),
+    )
+    return ocr_pages(lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), body.alias("body")))
+
+
+_ASSEMBLED = "l as (select l_orderkey as doc_id, l_linenumber as n, l_partkey as p, 'item ' || l_partkey as t from lineitem), b as (select doc_id, 0 as o, 'title' as kind, '# Order ' || doc_id as text, 1 as lines from (select distinct doc_id from l) union all select doc_id, 1, 'paragraph', coalesce(string_agg(t, ' ' order by n, p) filter (where n <= 3), ''), count(*) filter (where n <= 3) from l group by 1 union all select doc_id, 2, 'paragraph', string_agg(t, ' ' order by n, p), count(*) from l where n > 3 group by 1 union all select doc_id, 3, 'table', '| a | b |' || chr(10) || '| --- | --- |', 0 from (select distinct doc_id from l) union all select doc_id, 4, 'page_number', doc_id::varchar, 1 from (select distinct doc_id from l))"
+
+
+@query(f"with {_ASSEMBLED}, f as (select *, sum(lines) over (partition by doc_id order by o) as upto, sum(case when kind <> 'page_number' and text <> '' then length(text) + 2 end) over (partition by doc_id order by o) as md from b) select doc_id, (row_number() over (partition by doc_id order by o) - 1)::int as block_no, kind, text, case when lines > 0 then (upto - lines + 1)::int end as line_from, case when lines > 0 then upto::int end as line_to, case when kind <> 'page_number' and text <> '' then (md - 2 - length(text))::int end as md_start, case when kind <> 'page_number' and text <> '' then (md - 2)::int end as md_end from f")
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks in reading order, with their lines and their place in the page's Markdown."""
+    return pages(_replies(spark, d)).select("doc_id", "block_no", "kind", "text", "line_from", "line_to", "md_start", "md_end")
+
+
+@query("with k as (select conv_id, turn, role || ' ' || (turn % 3) as text from conversations), n as (select conv_id, count(distinct turn) as pages from conversations group by 1), o as (select conv_id, regexp_replace(text, '\\d+', '#', 'g') as key, count(distinct turn) as on_pages from k group by 1, 2) select k.conv_id, turn, on_pages >= greatest(2, ceil(0.6 * pages)) as furniture from k join o on o.conv_id = k.conv_id and o.key = regexp_replace(k.text, '\\d+', '#', 'g') join n on n.conv_id = k.conv_id")
+def furniture_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Who speaks, as a running head with a number, flagged where most pages of a conversation hold it."""
+    head = F.concat("role", F.lit(" "), (F.col("turn") % 3).cast("string"))
+    b = load(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.lit("paragraph").alias("kind"), head.alias("text"))
+    return flag_furniture(b).select(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), "furniture")
+
+
+@query("select event_id, case event_type when 'view' then 'seen ' || event_id when 'click' then 'layer' else case when event_id % 2 = 0 then 'read' else 'layer' end end as text from events")
+def chosen_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A transcription first, then a trusted layer, then OCR, then any layer."""
+    e = load(spark, d, "events")
+    vlm = F.when(F.col("event_type") == "view", F.concat(F.lit("seen "), F.col("event_id").cast("string"))).otherwise(F.lit(" "))
+    rows = e.select("event_id", vlm.alias("vlm"), F.lit("layer").alias("layer"), F.when(F.col("event_type") == "click", 0.6).otherwise(0.59).alias("layer_score"), F.when(F.col("event_id") % 2 == 0, F.lit("read")).otherwise(F.lit("")).alias("ocr"))
+    return choose_text(rows).select("event_id", "text")

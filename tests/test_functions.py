@@ -67,7 +67,9 @@ def test_json():
 
 def test_diff_and_alignment():
     assert P.line_diff("a\nb", "a\nc\nb") == [(" ", "a"), ("+", "c"), (" ", "b")]
-    assert P.align("a b c".split(), "a x b c".split()) == [(0, 0), (1, 2), (2, 3)]
+    assert P.align("a b c".split(), "a x b c".split()) == [(0, 0, 0.0), (1, 2, 0.0), (2, 3, 0.0)]
+    assert [(i, j) for i, j, c in P.align("total amount due".split(), "totel amount".split()) if c < 0.5] == [(0, 0), (1, 1)]
+    assert P.edits("kitten", ["sitting", "", "kitten"]).tolist() == [3, 6, 0] and P.edits("", ["ab", ""]).tolist() == [2, 0] and P.alike("", "") == 1.0
     assert P.align(["a"] * 10, ["b"] * 10, most=50) is None
 
 

@@ -1,6 +1,6 @@
 import json
 
-from folia.operators import layout as L
+from folia.operators import layers, layout as L
 from folia.sources.readers import ocr_pages
 
 
@@ -42,17 +42,28 @@ def test_order_of_columns_and_moves():
     assert [b["texts"] for b in L.assemble(lines, regions, [1, 2])] == [["high"], ["low"]]
 
 
-def test_text_layer():
-    words = [{"text": t, "box": b} for t, b in (("Hợp", (0, 0, 20, 10)), ("đồng", (22, 0, 45, 10)), ("thiếu", (0, 40, 30, 50)))]
-    lines = [{"text": "Hop dong", "box": (0, 0, 46, 10)}, {"text": "khac han", "box": (0, 80, 46, 90)}]
-    got = L.merge_layer(lines, words)
-    assert [(x["text"], x["source"]) for x in got] == [("Hợp đồng", "layer"), ("khac han", "ocr"), ("thiếu", "layer")]
-    chars = [{"text": c, "box": (i * 5, 0, i * 5 + 4, 10)} for i, c in enumerate("ab cd")]
-    assert [w["text"] for w in L.words_of(chars)] == ["ab", "cd"]
+def word(text, *box):
+    return layers.boxed(text, box)
 
 
-def test_transcription_finds_its_regions():
-    assert L.distribute(["alpha beta gamma", "delta epsilon"], ["alpha beta", "gamma delta epsilon", "something new"]) == [0, 1, None]
+def test_text_layer(spark):
+    words = [word("Hợp", 0, 0, 20, 10), word("đồng", 22, 0, 45, 10), word("thiếu", 0, 40, 30, 50)]
+    lines = [word("Hop dong", 0, 0, 46, 10), word("khac han", 0, 40, 46, 50), word("xa", 0, 80, 46, 90)]
+    got = layers.merge_layer(lines, words)
+    assert [(x["text"], x["source"], x["ocr"], x["layer"]) for x in got] == [("Hợp đồng", "layer", "Hop dong", None), ("khac han", "ocr", None, "thiếu"), ("xa", "ocr", None, None), ("thiếu", "layer_only", None, None)]
+    assert layers.merge_layer([], []) == []
+    chars = [(1, i, c, i * 5.0, 0.0, i * 5.0 + 4, 10.0) for i, c in enumerate("ab cd")] + [(1, 9, "e", 90.0, 0.0, 94.0, 10.0), (1, 10, "f", 0.0, 30.0, 4.0, 40.0)]
+    df = spark.createDataFrame(chars, "page_no int, char_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.text for r in layers.words_of_chars(df, ["page_no"]).orderBy("word_no").collect()] == ["ab", "cd", "e", "f"]
+
+
+def test_transcription_finds_its_regions_and_lines():
+    assert layers.distribute(["alpha beta gamma", "delta epsilon"], ["alpha beta", "gamma delta epsilon", "something new"]) == [0, 1, None]
+    assert layers.distribute([], ["a"]) == [None] and layers.distribute(["a"], []) == []
+    lines = [{"text": "Totel amuunt,", "doubtful": False}, {"text": "qqq", "doubtful": False}, {"text": "date", "doubtful": False}]
+    got = layers.place(lines, "**Total amount,** due xyz date")
+    assert [(x["text"], x["source"]) for x in got] == [("**Total amount,**", "vlm"), ("qqq", "ocr"), ("date", "vlm")]
+    assert layers.place(lines, "")[0] == {"text": "Totel amuunt,", "ocr": None, "source": "ocr"}
 
 
 def test_furniture_and_cards(spark):
