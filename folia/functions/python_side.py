@@ -337,7 +337,8 @@ def edits(a: str, others: list[str]):
 
 def alike(a: str, b: str) -> float:
     """1 - edits / longer length."""
-    return 1.0 if a == b else 1 - int(edits(a, [b])[0]) / max(len(a), len(b))
+    short, long = sorted((a, b), key=len)
+    return 1.0 if a == b else 1 - int(edits(short, [long])[0]) / len(long)
 
 
 def words_at(s: str) -> list[tuple[int, int, str]]:
