@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import query
 from ..session import load
-from .checks import Scope, compile_check
+from .checks import Scope, compile_check, ruleset
 
 
 def grouped(docs: DataFrame, anchor: str, fields: list[str], name: str) -> DataFrame:
@@ -94,13 +96,15 @@ def _orders(spark: SparkSession, d: str, *formulas: str) -> tuple[DataFrame, Sco
     return rows, Scope(ORDER_TYPES, {"order": ("order", F.col("order"))}, {"line": F.col("line")})
 
 
-_SUMS = "with l as (select l_orderkey, sum(round(l_extendedprice, 2)) as s, count(*) as n, min(l_shipdate::date) as first_ship, max(l_shipdate::date) as last_ship, count(distinct l_linestatus) as states, count(distinct l_returnflag) as flags, bool_or(l_returnflag = 'R') as returned from lineitem group by 1), o as (select o_orderkey, round(o_totalprice, 2) as t, o_orderdate::date as day, o_orderstatus, l.* from orders left join l on o_orderkey = l_orderkey) "
+_SUMS = "with l as (select l_orderkey, sum(round(l_extendedprice, 2)) as s, count(*) as n, min(l_shipdate::date) as first_ship, max(l_shipdate::date) as last_ship, count(distinct l_linestatus) as states, min(l_linestatus) as state, count(distinct l_returnflag) as flags, bool_or(l_returnflag = 'R') as returned from lineitem group by 1), o as (select o_orderkey, round(o_totalprice, 2) as t, o_orderdate::date as day, o_orderstatus, o_orderpriority, l.* from orders left join l on o_orderkey = l_orderkey) "
 
 
-def _check(name: str, formula: str, sql: str) -> None:
+def _check(name: str, formula: str, sql: str, today: str | None = None) -> None:
     @query(_SUMS + f"select o_orderkey, {sql} as status from o", name=name)
     def check(spark: SparkSession, d: str) -> DataFrame:
         rows, scope = _orders(spark, d, formula)
+        if today:
+            scope = replace(scope, today=F.to_date(F.lit(today)))
         return run(rows, "o_orderkey", scope, {name: formula}).select("o_orderkey", "status")
 
 
@@ -112,6 +116,13 @@ _check("orders_check_if", 'IF(order.status = "F", COUNT(line) > 3)', "case when
 _check("orders_check_average", "AVERAGE(line.price) <= order.total / COUNT(line)", "case when n is null then 'unknown' when s / n < t / n + 0.005 then 'pass' else 'fail' end")
 
 
+_check("orders_check_exists", 'EXISTS(line.ship) AND NOT order.status = "P"', "case when o_orderstatus = 'P' or n is null then 'fail' else 'pass' end")
+_check("orders_check_round", "ABS(order.total - SUM(line.price)) <= ROUND(order.total, -3)", "case when abs(t - coalesce(s, 0)) < round(t, -3) + 0.005 then 'pass' else 'fail' end")
+_check("orders_check_match", 'MATCH(order.priority, "urgent") OR CONTAINS(order.priority, "low")', "case when o_orderpriority in ('1-URGENT', '5-LOW') then 'pass' else 'fail' end")
+_check("orders_check_calls", 'AND(OR(order.status = "O", order.total > 100000), COUNT(line.price) >= 2)', "case when (o_orderstatus = 'O' or t > 100000.005) and coalesce(n, 0) >= 2 then 'pass' else 'fail' end")
+_check("orders_check_today", 'DATE_ADD(order.day, 1, "month") <= TODAY()', "case when day + interval 1 month <= date '1995-06-15' then 'pass' else 'fail' end", today="1995-06-15")
+
+
 @query(_SUMS + "select 'few' as rule, count(*) filter (where coalesce(n, 0) < 4) as n_pass, count(*) filter (where coalesce(n, 0) >= 4) as n_fail, 0::bigint as n_unknown, count(*) as groups from o union all select 'same', count(*) filter (where n >= 2 and flags = 1), count(*) filter (where n >= 2 and flags > 1), count(*) filter (where coalesce(n, 0) < 2), count(*) from o")
 def check_counts(spark: SparkSession, d: str) -> DataFrame:
     """Two rules over all orders in one pass."""
@@ -119,6 +130,31 @@ def check_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts(run(rows, "o_orderkey", scope, {"few": "COUNT(line) < 4", "same": "SAME(line.flag)"}))
 
 
+RULES = """[
+  {"id": "sum", "a": "line.price", "op": "sum_le", "b": "order.total"},
+  {"id": "later", "a": "line.ship", "op": "after", "b": "order.day"},
+  {"id": "state", "a": "line.state", "op": "same", "b": "order.status"},
+  {"id": "other", "a": "line.state", "op": "diff", "b": "order.status"},
+  {"id": "dear", "a": "order.total", "op": "ge", "b": "order.total", "off": true},
+  {"id": "many", "formula": "COUNT(line) > 2"}
+]"""
+_RULED = {
+    "sum": "case when coalesce(s, 0) < t + 0.005 then 'pass' else 'fail' end",
+    "later": "case when n is null then 'unknown' when first_ship >= day then 'pass' else 'fail' end",
+    "state": "case when n is null then 'unknown' when states = 1 and state = o_orderstatus then 'pass' else 'fail' end",
+    "other": "case when n is null then 'unknown' when states = 1 and state = o_orderstatus then 'fail' else 'pass' end",
+    "many": "case when coalesce(n, 0) > 2 then 'pass' else 'fail' end",
+}
+
+
+@query(_SUMS + ", v as (" + " union all ".join(f"select '{r}' as rule, {v} as status from o" for r, v in _RULED.items()) + ") select rule, count(*) filter (where status = 'pass') as n_pass, count(*) filter (where status = 'fail') as n_fail, count(*) filter (where status = 'unknown') as n_unknown, count(*) as groups from v group by 1")
+def check_ruleset(spark: SparkSession, d: str) -> DataFrame:
+    """A ruleset kept as data, validated, then run over all orders in one pass."""
+    rules = ruleset(json.loads(RULES), Scope(ORDER_TYPES), "order")
+    rows, scope = _orders(spark, d, *rules.values())
+    return counts(run(rows, "o_orderkey", scope, rules))
+
+
 @query("with p as (select s_suppkey, c_custkey, s_nationkey = c_nationkey as same, abs(s_acctbal - c_acctbal) < 100 as near from supplier join customer on s_nationkey = c_nationkey), n as (select *, max(near::int) over (partition by s_suppkey) as any_near, count(*) over (partition by s_suppkey) as k from p), f as (select * from n where case when k = 1 then near when any_near = 1 then near else false end) select s_suppkey, min(c_custkey) as c_custkey from f group by 1 having count(*) = 1")
 def link_orders_to_customers(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers linked to customers of their nation with about their balance; only sole matches stand."""

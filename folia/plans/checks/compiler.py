@@ -267,8 +267,12 @@ def value(n: Node, scope: Scope) -> Value:
         v = args[0]
         if v.kind != "num" or v.many:
             return Value("num", nothing("num"))
-        digits = int(float(raw[1].text)) if name == "ROUND" and len(raw) > 1 and raw[1].op == "num" else 0
-        return Value("num", F.abs(v.col) if name == "ABS" else F.round(v.col, digits))
+        if name == "ABS" or len(args) < 2:
+            return Value("num", F.abs(v.col) if name == "ABS" else F.round(v.col, 0))
+        digits = args[1]
+        # digits that are no number count as none
+        scale = F.pow(F.lit(10.0), F.coalesce(digits.col, F.lit(0.0))) if digits.kind == "num" and not digits.many else F.lit(1.0)
+        return Value("num", F.signum(v.col) * F.floor(F.abs(v.col) * scale + 0.5) / scale)
     if name == "BETWEEN":
         low, high = compare(">=", args[0], args[1]), compare("<=", args[0], args[2])
         return both(low, high, "bool", lambda x, y: F.when(x.isNull() | y.isNull(), nothing("bool")).otherwise(x & y))
@@ -321,13 +325,52 @@ def compile_check(formula: str, scope: Scope) -> dict[str, Column]:
     return {"status": both_["status"], "missing": both_["missing"], "result": both_}
 
 
-# Rule templates: (operator, kind) -> formula over two references.
-TEMPLATES = {"same": "{a} = {b}", "diff": "{a} != {b}", "contains": "CONTAINS({a}, {b})", "eq": "{a} = {b}", "le": "{a} <= {b}", "ge": "{a} >= {b}", "sum_le": "SUM({a}) <= SUM({b})", "before": "{a} <= {b}", "after": "{a} >= {b}", "same_day": "{a} = {b}"}
+# Operators of rules by the kind of their fields, fixed values.
 KINDS = {"text": ("same", "diff", "contains"), "money": ("eq", "le", "ge", "sum_le"), "date": ("before", "after", "same_day")}
+SIGN = {"eq": "=", "same_day": "=", "le": "<=", "before": "<=", "ge": ">=", "after": ">="}
 
 
-def rule_formula(a: str, op: str, b: str, kind: str) -> str:
-    """The formula of a rule; the operator must suit the kind of both sides."""
+def rule_formula(a: str, op: str, b: str, kind: str, anchor: str | None = None) -> str:
+    """The formula of a rule; the operator must suit the kind of both sides. A field of the
+    anchor is one value, any other the list of its documents' values."""
     if op not in KINDS.get(kind, ()):
         raise CheckError(f"operator {op!r} is not for {kind}")
-    return TEMPLATES[op].format(a=a, b=b)
+    if op == "sum_le":
+        return f"SUM({a}) <= {b}" if b.split(".")[0] == anchor else f"SUM({a}) <= SUM({b})"
+    if op in SIGN:
+        return f"{a} {SIGN[op]} {b}"
+    return {"same": f"SAME({a}, {b})", "diff": f"NOT(SAME({a}, {b}))", "contains": f"CONTAINS({a}, {b})"}[op]
+
+
+def rule_kind(ref: str, scope: Scope) -> str:
+    """How rules compare a field: as text, money or date."""
+    [(of, key)] = used_fields(ref, scope)
+    return {"money": "money", "number": "money", "date": "date"}.get(scope.types[of][key], "text")
+
+
+def ruleset(rules: list[dict], scope: Scope, anchor: str) -> dict[str, str]:
+    """Rules kept as data (id, a, op, b or id, formula; off leaves one out) to id -> formula.
+    Fields must exist and be of one kind, operators suit it, formulas pass the static check, ids be
+    unique; the error lists every fault."""
+    made: dict[str, str] = {}
+    faults = []
+    for r in rules:
+        name = r["id"]
+        if r.get("off"):
+            continue
+        try:
+            if name in made:
+                raise CheckError("the id is taken")
+            formula = r.get("formula")
+            if formula is None:
+                kinds = [rule_kind(r[side], scope) for side in ("a", "b")]
+                if kinds[0] != kinds[1]:
+                    raise CheckError(f"{r['a']} is {kinds[0]}, {r['b']} is {kinds[1]}")
+                formula = rule_formula(r["a"], r["op"], r["b"], kinds[0], anchor)
+            used_fields(formula, scope)
+            made[name] = formula
+        except CheckError as e:
+            faults.append(f"{name}: {e}")
+    if faults:
+        raise CheckError("; ".join(faults))
+    return made

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folia.plans.checks import CheckError, Scope, compile_check, parse, rule_formula, used_fields
+from folia.plans.checks import CheckError, Scope, compile_check, parse, rule_formula, ruleset, used_fields
 
 # A fishing trip (the anchor), its landings, the permits it carries and its repairs.
 TYPES = {
@@ -69,3 +69,23 @@ def test_rules_by_kind():
     with pytest.raises(CheckError):
         rule_formula("trip.code", "sum_le", "trip.code", "text")
     assert parse("spring-trip.code = 1").args[0].args[0].text == "spring-trip"
+
+
+def test_rules_against_the_anchor():
+    assert rule_formula("landing.worth", "sum_le", "trip.budget", "money", "trip") == "SUM(landing.worth) <= trip.budget"
+    assert rule_formula("landing.harbour", "diff", "trip.harbour", "text", "trip") == "NOT(SAME(landing.harbour, trip.harbour))"
+
+
+def test_rulesets_as_data():
+    sc = Scope(TYPES)
+    good = [{"id": "home", "a": "landing.harbour", "op": "same", "b": "trip.harbour"}, {"id": "left", "a": "trip.gone", "op": "same", "b": "trip.code", "off": True}, {"id": "own", "formula": "COUNT(permit) > 0"}]
+    assert ruleset(good, sc, "trip") == {"home": "SAME(landing.harbour, trip.harbour)", "own": "COUNT(permit) > 0"}
+    bad = [{"id": "kind", "a": "landing.day", "op": "before", "b": "trip.budget"}, {"id": "op", "a": "trip.code", "op": "le", "b": "permit.holder"}, {"id": "gone", "formula": "SUM(landing.depth) > 1"}, {"id": "own", "formula": "1 = 1"}, {"id": "own", "formula": "1 = 1"}]
+    with pytest.raises(CheckError) as e:
+        ruleset(bad, sc, "trip")
+    assert [part.split(":")[0] for part in str(e.value).split("; ")] == ["kind", "op", "gone", "own"]
+
+
+def test_rounding_by_a_computed_number_of_digits(spark):
+    good = ["ROUND(1234.5) = 1235", "ROUND(0 - 2.5) = 0 - 3", "ROUND(1267, 0 - 2) = 1300", "ROUND(2.345, COUNT(landing) - 1) = 2.35"]
+    assert {f: status(spark, f).s for f in good} == dict.fromkeys(good, "pass")
