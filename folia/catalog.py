@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = ("sources.readers", "operators.documents", "operators.pages", "operators.layout", "operators.layers", "operators.edits", "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.trees", "operators.scalars", "operators.sheets", "operators.forms", "operators.changes", "plans.case_checks", "streaming.streams")
+MODULES = ("sources.readers", "operators.documents", "operators.pages", "operators.layout", "operators.layers", "operators.edits", "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.trees", "operators.scalars", "operators.sheets", "operators.forms", "operators.changes", "plans.case_checks", "plans.engines", "streaming.streams")
 for _m in MODULES:
     importlib.import_module(f"folia.{_m}")
 
