@@ -242,3 +242,33 @@ def content_cache_join(spark: SparkSession, d: str) -> DataFrame:
 def box_union(spark: SparkSession, d: str) -> DataFrame:
     """Union of boxes; unset ones (here: without discount) don't count."""
     return load(spark, d, "lineitem").where("l_discount > 0").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("x0"), F.max("l_extendedprice").alias("x1"), F.min("l_quantity").alias("y0"), F.max("l_quantity").alias("y1"))
+
+
+def point(df: DataFrame, key: str, *values) -> DataFrame:
+    """The rows of one or a few keys; the predicate reaches the scan."""
+    return df.where(F.col(key).isin(*values))
+
+
+def keep_order_distinct(c: Column) -> Column:
+    """An array's items once each, in the order they are first met; nulls and blanks are left out."""
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey in (1, 7, 32)")
+def orders_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return point(load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey", 1, 7, 32)
+
+
+@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderstatus = 'P' desc, case when o_orderpriority <> '5-LOW' then o_orderpriority end asc nulls last, o_orderkey) as rank from orders")
+def ranked_nulls_last(spark: SparkSession, d: str) -> DataFrame:
+    """A yes/no key first, then one whose nulls come last."""
+    urgent = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    w = Window.partitionBy("o_custkey").orderBy(F.desc(F.col("o_orderstatus") == "P"), urgent.asc_nulls_last(), "o_orderkey")
+    return load(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+@query("with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as place from documents), f as (select doc_id, word, min(place) as place from w where word <> '' group by 1, 2), a as (select doc_id, string_agg(word, ' ' order by place) as words, count(*) as n from f group by 1) select doc_id, coalesce(n, 0)::int as n, md5(coalesce(words, '')) as words_md5 from documents left join a using (doc_id)")
+def distinct_words_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """L09 on the words of whole texts."""
+    words = keep_order_distinct(F.split(F.coalesce("text", F.lit("")), " "))
+    return load(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("words_md5"))

@@ -157,12 +157,17 @@ def check_ruleset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with p as (select s_suppkey, c_custkey, s_nationkey = c_nationkey as same, abs(s_acctbal - c_acctbal) < 100 as near from supplier join customer on s_nationkey = c_nationkey), n as (select *, max(near::int) over (partition by s_suppkey) as any_near, count(*) over (partition by s_suppkey) as k from p), f as (select * from n where case when k = 1 then near when any_near = 1 then near else false end) select s_suppkey, min(c_custkey) as c_custkey from f group by 1 having count(*) = 1")
 def link_orders_to_customers(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers linked to customers of their nation with about their balance; only sole matches stand."""
-    s = load(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    c = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    """Suppliers linked to customers of their nation with about their balance; only sole matches stand.
+
+    Candidates meet by nation and hundreds of the balance, a customer under its own and both neighbours, as balances
+    nearer than 100 are at most one apart; one without a balance is no candidate.
+    """
+    hundreds = lambda c: F.floor(F.col(c) / 100)
+    s = load(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", hundreds("s_acctbal").alias("at"))
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.explode(F.sequence(hundreds("c_acctbal") - 1, hundreds("c_acctbal") + 1)).alias("beside"))
+    pairs = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("at") == F.col("beside")))
     near = F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 100
-    return link(pairs, "s_suppkey", "c_custkey", [F.col("s_nationkey") == F.col("c_nationkey"), near]).select("s_suppkey", "c_custkey")
+    return link(pairs, "s_suppkey", "c_custkey", [near]).select("s_suppkey", "c_custkey")
 
 
 _LINES = "ln as (select o_orderkey, l_orderkey || '-' || l_linenumber as label, round(l_extendedprice, 2)::decimal(18,2) as a, round(o_totalprice, 2)::decimal(18,2) as b, (round(l_extendedprice, 2) < round(o_totalprice, 2) / 4 + 0.005) as good from lineitem join orders on l_orderkey = o_orderkey)"
