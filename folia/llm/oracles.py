@@ -109,3 +109,18 @@ select i.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint bla
   sha256(coalesce(whole, '')) repaired_sha256
 from ids i left join counts n on n.conv_id is not distinct from i.conv_id left join chosen c on c.conv_id is not distinct from i.conv_id
   left join texts x on x.conv_id is not distinct from i.conv_id"""
+
+
+VECTORS = """
+with recursive good as (
+  select vec_id, embedding::double[] v from embeddings
+  where vec_id is not null and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)), true)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach as (select vec_id node, vec_id far from good union select r.node, l.b from reach r join links l on r.far = l.a),
+homes as (select node, min(far) root from reach group by node)
+select e.vec_id, (select count(*) from links where a = e.vec_id) n_links, coalesce(root, e.vec_id) component_id,
+  e.vec_id = coalesce(root, e.vec_id) kept
+from embeddings e left join homes on node = e.vec_id"""

@@ -10,6 +10,7 @@ from . import oracles
 from .ann import op9_inverted_multi_index
 from .conversations import op12_a_star_conversation_repair
 from .decontaminate import op10_wu_manber_decontamination
+from .embedding_dedup import op13_nn_descent_embedding_dedup
 from .licenses import op2_dice_license_scan
 from .near_dup import op6_tensored_minhash_near_dedup
 from .packing import op7_minimum_bin_slack_packing
@@ -35,10 +36,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_wu_manber_decontamination,
         op11_trie_spelling_variants,
         op12_a_star_conversation_repair,
+        op13_nn_descent_embedding_dedup,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op11_trie_spelling_variants": oracles.SPELLING,
     "op12_a_star_conversation_repair": oracles.CONVERSATIONS,
+    "op13_nn_descent_embedding_dedup": oracles.VECTORS,
 }
