@@ -11,7 +11,7 @@ from .registry import ORACLES, QUERIES, Query
 MODULES = (
     "sources.readers", "operators.documents", "operators.headings", "operators.pages", "operators.layout", "operators.layers", "operators.edits",
     "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.trees", "operators.toc", "operators.scalars",
-    "operators.sheets", "operators.forms", "operators.changes", "plans.case_checks", "plans.engines", "streaming.streams",
+    "operators.sheets", "operators.forms", "operators.changes", "plans.case_checks", "plans.engines", "streaming.streams", "streaming.stateful",
 )
 for _m in MODULES:
     importlib.import_module(f"folia.{_m}")

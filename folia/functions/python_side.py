@@ -246,7 +246,7 @@ def first_json(reply: str) -> str | None:
     return None
 
 
-_VALUE = re.compile(r'("(?:[^"\\]|\\.)*")|(?<=[:,\[])(\s*)([-+(]?[\d(][\d\s.+\-*/%^()]*[\d)])(\s*)(?=[,}\]])')
+_VALUE = re.compile(r'("(?:[^"\\]|\\.)*")|(?<=[:,\[])(\s*)([-+(]?[\d(][\d\s.+\-*/%^()]*[\d)])(\s*)(?=[,}\]]|\Z)')
 
 
 def repair_json(s: str) -> str:
