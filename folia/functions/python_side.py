@@ -1,7 +1,7 @@
 """Functions no built-in expression can give, as plain Python; operators lift them into Arrow UDFs.
 
-Cover density and word similarity follow the published descriptions of those measures; they are
-approximations of a database's own implementation, not claimed to equal it digit for digit.
+Cover density and word similarity are the measures of the published definitions: minimal covers over
+positions with the usual weight, and trigram similarity over extents of ordered trigrams.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import unicodedata
 from fractions import Fraction
 from math import ceil, floor, log, sqrt
 
+from .runs import first_occurrences
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -23,57 +25,88 @@ def tokens(s: str) -> list[str]:
     return _TOKEN.findall(fold(s))
 
 
-def cover_density(words: list[str], terms: list[str]) -> float:
-    """Sum over minimal covers of the terms of (terms in the cover) / (its length); 0 when a term is absent."""
-    want = set(terms)
-    at: dict[str, int] = {}
-    score, last_start = 0.0, -1
-    for i, w in enumerate(words):
-        if w in want:
-            at[w] = i
-            if len(at) == len(want):
-                start = min(at.values())
-                if start > last_start:  # a later end with the same start is not minimal
-                    score += len(want) / (i - start + 1)
-                    last_start = start
-    return score
+WEIGHT = 0.1  # fixed value: the usual weight of a position
 
 
-def trigrams(s: str) -> set[str]:
-    out = set()
-    for w in tokens(s):
-        padded = f"  {w} "
-        out |= {padded[i : i + 3] for i in range(len(padded) - 2)}
+def minimal_covers(entries: list[tuple[int, str]], alternatives: list[list[str]]) -> list[tuple[int, int]]:
+    """First and last entry of every shortest extent that holds all terms of an alternative, by start.
+    entries: position and term, in order."""
+    last: dict[str, int] = {}
+    out, begun = [], -1
+    for k, (_, term) in enumerate(entries):
+        last[term] = k
+        start = max((min(last[t] for t in a) for a in alternatives if all(t in last for t in a)), default=-1)
+        if start > begun:
+            out.append((start, k))
+            begun = start
     return out
 
 
+def cover_density(entries: list[tuple[int, str]], alternatives: list[list[str]]) -> float:
+    """The sum over minimal covers of the mean weight of their entries by 1 + the words between them that are none."""
+    rank = 0.0
+    for a, z in minimal_covers(entries, alternatives):
+        rank += WEIGHT / (1 + entries[z][0] - entries[a][0] - (z - a))
+    return rank
+
+
+def entries_of(words: list[str], alternatives: list[list[str]]) -> list[tuple[int, str]]:
+    wanted = {t for a in alternatives for t in a}
+    return [(i, w) for i, w in enumerate(words) if w in wanted]
+
+
+def ordered_trigrams(s: str) -> list[str]:
+    return [f"  {w} "[i : i + 3] for w in tokens(s) for i in range(len(w) + 1)]
+
+
+def trigrams(s: str) -> set[str]:
+    return set(ordered_trigrams(s))
+
+
 def word_similarity(needle: str, text: str) -> float:
-    """Greatest share of the needle's trigrams met by an extent of neighbouring words of the text."""
-    want = trigrams(needle)
-    if not want:
-        return 0.0
-    words = tokens(text)
-    each = [trigrams(w) & want for w in words]
-    n, best = max(1, len(tokens(needle))), 0.0
-    for i in range(len(words)):
-        seen: set[str] = set()
-        for j in range(i, min(len(words), i + 2 * n)):
-            seen |= each[j]
-            best = max(best, len(seen) / len(want))
-            if best == 1.0:
-                return best
+    """The greatest similarity (shared by all) of the needle's trigrams and those of any extent of the text's
+    ordered trigrams; the best extent begins and ends with a shared one."""
+    want, grams = trigrams(needle), ordered_trigrams(text)
+    shared = [g in want for g in grams]
+    most, best = len(want & set(grams)), 0.0
+    if not most:
+        return best
+    for start, after in first_occurrences(grams):
+        if not shared[start]:
+            continue
+        met = other = 0
+        at = start
+        while at < len(grams) and met < most and most > best * (len(want) + other):
+            if shared[at]:
+                met += 1
+                best = max(best, met / (len(want) + other))
+            else:
+                other += 1
+            at = after[at]
     return best
 
 
-def headline(text: str, terms: list[str], around: int = 6) -> str:
-    """The words around the first match, matches between <mark> tags."""
-    want, parts = set(terms), list(re.finditer(r"\S+", text))
-    hit = [i for i, m in enumerate(parts) if want & set(tokens(m[0]))]
-    if not hit:
-        return " ".join(m[0] for m in parts[: 2 * around])
-    a, b = max(0, hit[0] - around), min(len(parts), hit[0] + around + 1)
-    shown = [f"<mark>{parts[i][0]}</mark>" if i in hit else parts[i][0] for i in range(a, b)]
-    return ("… " if a else "") + " ".join(shown) + (" …" if b < len(parts) else "")
+def headline(text: str, alternatives: list[list[str]], fragments: int = 2, most: int = 30, least: int = 10) -> str:
+    """The best extents of a text, `most` words each, their matches between <mark> tags; the first `least` words
+    where nothing matches. Better covers hold more matches, then fewer words; fragments never overlap."""
+    parts = re.findall(r"\S+", text)
+    wanted = {t for a in alternatives for t in a}
+    keys = [[w for w in tokens(p) if w in wanted] for p in parts]
+    entries = [(i, w) for i, ws in enumerate(keys) for w in ws]
+    if not entries:
+        return " ".join(parts[:least])
+    covers = minimal_covers(entries, alternatives) or [(k, k) for k in range(len(entries))]
+    taken: list[tuple[int, int]] = []
+    for a, z in sorted(covers, key=lambda c: (-min(c[1] - c[0] + 1, most), entries[c[1]][0] - entries[c[0]][0], c)):
+        first, last = entries[a][0], min(entries[z][0], entries[a][0] + most - 1)
+        if len(taken) < fragments and all(last < x or y < first for x, y in taken):
+            room = most - (last - first + 1)
+            left = max([y + 1 for x, y in taken if y < first], default=0)
+            right = min([x - 1 for x, y in taken if x > last], default=len(parts) - 1)
+            first = max(left, first - room // 2)
+            taken.append((first, min(right, max(last, first + most - 1))))
+    said = [" ".join(f"<mark>{parts[i]}</mark>" if keys[i] else parts[i] for i in range(a, z + 1)) for a, z in sorted(taken)]
+    return " ... ".join(said)
 
 
 # -- exact calculator ------------------------------------------------------------------------
@@ -295,27 +328,6 @@ def hash_embedding(text: str, width: int = 256) -> list[float]:
     return [x / norm for x in v] if norm else v
 
 
-def line_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """Lines kept ( ), removed (-) and added (+), by longest common subsequence; removals come first."""
-    x, y = a.split("\n"), b.split("\n")
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if x[i] == y[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append((" ", x[i]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and table[i + 1][j] >= table[i][j + 1]):
-            out.append(("-", x[i]))
-            i += 1
-        else:
-            out.append(("+", y[j]))
-            j += 1
-    return out
-
-
 def edits(a: str, others: list[str]):
     """Edit distances of a to each of the other texts, one row of the table at a time for all of them."""
     import numpy as np

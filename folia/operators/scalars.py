@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, Str
 
 from ..functions import dates
 from ..functions import python_side as P
+from ..functions import runs
 from ..functions import text as T
 from ..registry import query
 from ..session import load
@@ -52,7 +53,7 @@ def hash_embedding(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StructType([StructField("mark", StringType()), StructField("line", StringType())])))
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"mark": m, "line": t} for m, t in P.line_diff(x or "", y or "")] for x, y in zip(a, b)])
+    return pd.Series([[{"mark": m, "line": t} for m, t in runs.line_diff(x or "", y or "")] for x, y in zip(a, b)])
 
 
 def box_contains(box: Column, x: Column, y: Column) -> Column:

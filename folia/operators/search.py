@@ -85,18 +85,24 @@ def wanted_terms(q: str) -> list[str]:
     return list(dict.fromkeys(w for a in parse_query(q) for ok, ws in a if ok for w in ws))
 
 
+def wanted_alternatives(q: str) -> list[list[str]]:
+    """The terms a cover must hold: of each alternative those wanted; a phrase counts as its words."""
+    found = [list(dict.fromkeys(w for ok, ws in a if ok for w in ws)) for a in parse_query(q)]
+    return [a for a in found if a]
+
+
 def cover_rank(text: Column, q: str) -> Column:
-    terms = wanted_terms(q)
+    ways = wanted_alternatives(q)
 
     @F.pandas_udf("double")
     def rank(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: P.cover_density(P.tokens(t or ""), terms))
+        return s.map(lambda t: P.cover_density(P.entries_of(P.tokens(t or ""), ways), ways))
 
     return rank(text)
 
 
 def fuzzy(text: Column, q: str) -> Column:
-    """Best share of the query's trigrams in neighbouring words; rows without a shared trigram skip the UDF's work."""
+    """Word similarity to the query."""
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
@@ -106,11 +112,11 @@ def fuzzy(text: Column, q: str) -> Column:
 
 
 def headline(text: Column, q: str) -> Column:
-    terms = wanted_terms(q)
+    ways = wanted_alternatives(q)
 
     @F.pandas_udf("string")
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: P.headline(t or "", terms))
+        return s.map(lambda t: P.headline(t or "", ways))
 
     return cut(text)
 
@@ -235,27 +241,35 @@ def bool_search_and_or_not(spark: SparkSession, d: str) -> DataFrame:
 # -- the same measures as SQL, for checking ------------------------------------------------------
 
 
-def _list(words_: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words_) + "]"
-
 
-def _grams(tokens: str, q: str) -> str:
-    """SQL: for each word of a list the trigrams it shares with q."""
-    return f"list_transform({tokens}, lambda w: list_intersect(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)), {_list(sorted(P.trigrams(q)))}))"
+def _grams(tokens: str) -> str:
+    """SQL: the trigrams of a list of words, in order, as hashes."""
+    return f"flatten(list_transform({tokens}, lambda w: list_transform(range(1, length(w) + 2), lambda i: hash(substr('  ' || w || ' ', i, 3)))))"
 
 
-def _similar(q: str) -> str:
-    """SQL: the best share of q's trigrams over windows of twice its words, from a column g of _grams."""
-    return f"case when len(flatten(g)) = 0 then 0 else list_max(list_transform(range(1, len(g) + 1), lambda k: len(list_distinct(flatten(g[k : k + {2 * len(P.tokens(q)) - 1}]))))) / {len(P.trigrams(q))}.0 end"
+def _similar(q: str, least: float = 0.0) -> str:
+    """SQL: word similarity by its definition, over all extents between shared trigrams of a column g of _grams; 0
+    where fewer are shared than `least` takes."""
+    want, n = "[" + ", ".join(f"hash('{t}')" for t in sorted(P.trigrams(q))) + "]", len(P.trigrams(q))
+    places = f"list_filter(range(1, len(g) + 1), lambda p: list_contains({want}, g[p]))"
+    like = f"list_transform([list_distinct(s.g[a:z])], lambda e: len(list_intersect(e, {want})) / ({n} + len(e) - len(list_intersect(e, {want}))))[1]"
+    of_start = f"list_max(list_transform(list_filter(s.p, lambda p: p >= a), lambda z: {like}))"
+    every = f"list_transform([{{'g': g, 'p': {places}}}], lambda s: list_max(list_transform(s.p, lambda a: {of_start})))[1]"
+    return f"case when len(list_intersect(list_distinct(g), {want})) <= {least * n - 1e-9} then 0 else coalesce({every}, 0) end"
 
 
 def _covers(rows: str, key: str, q: str) -> str:
-    """SQL: key and cover density of the rows' words (a table with columns key, text)."""
+    """SQL: key and cover density of the rows' words (a table with columns key, text), for terms that are all wanted."""
     terms = wanted_terms(q)
-    last = ", ".join(f"max(case when w = '{t}' then i end) over x as p{k}" for k, t in enumerate(terms))
-    held = " and ".join(f"p{k} is not null" for k in range(len(terms)))
-    low = f"least({', '.join(f'p{k}' for k in range(len(terms)))})" if len(terms) > 1 else "p0"
-    return f"(select {key}, sum({len(terms)} / (stop - start + 1.0)) as rank from (select {key}, start, min(i) as stop from (select *, {low} as start from (select *, {last} from (select {key}, unnest(range(1, len(t) + 1)) as i, unnest(t) as w from (select {key}, {_TOK} as t from {rows})) where w in {tuple(terms) if len(terms) > 1 else f"('{terms[0]}')"} window x as (partition by {key} order by i))  where {held}) group by {key}, start) group by {key})"
+    k_of = range(len(terms))
+    last = ", ".join(f"max(case when w = '{t}' then i end) over x as p{k}, max(case when w = '{t}' then i - e end) over x as g{k}" for k, t in enumerate(terms))
+    held = " and ".join(f"p{k} is not null" for k in k_of)
+    low, gap = (f"least({', '.join(f'{c}{k}' for k in k_of)})" if len(terms) > 1 else f"{c}0" for c in "pg")
+    words_ = f"select {key}, unnest(range(1, len(t) + 1)) as i, unnest(t) as w from (select {key}, {_TOK} as t from {rows})"
+    kept = f"select *, row_number() over (partition by {key} order by i) as e from ({words_}) where w in ({', '.join(f"'{t}'" for t in terms)})"
+    placed = f"select *, {last} from ({kept}) window x as (partition by {key} order by i)"
+    covers = f"select {key}, start, min(i - e) - min(gap) as noise from (select *, {low} as start, {gap} as gap from ({placed}) where {held}) group by {key}, start"
+    return f"(select {key}, sum(0.1::double / (1 + noise)) as rank from ({covers}) group by {key})"
 
 
 _NORM = "trim(regexp_replace(lower(strip_accents(replace(replace({}, 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g'))"
@@ -265,7 +279,7 @@ _SECS = f"secs as (select doc_id || ':' || s as sec, doc_id, min(line_no) as fir
 
 def _section_sql(q: str, holds: str, top: int) -> str:
     """SQL: secs scored; holds is the boolean match over a word list t."""
-    return f"{_SECS}, sc as (select *, {_similar(q)} as sim, {holds} as m, contains({_NORM.format('text')}, '{q.lower()}') as exact from (select *, {_grams('t', q)} as g from (select *, {_TOK} as t from secs))), rk as {_covers('secs', 'sec', q)}, hit as (select doc_id, first_line, last_line, round(coalesce(rank, 0) + case when exact then 0.5 * coalesce(rank, 0) else 0 end + 0.3 * sim, 6)::double as score from sc left join rk using (sec) where m or sim >= 0.6 order by score desc, doc_id, first_line, last_line limit {top})"
+    return f"{_SECS}, sc as (select *, case when {holds} then {_similar(q)} else {_similar(q, 0.6)} end as sim, {holds} as m, contains({_NORM.format('text')}, '{q.lower()}') as exact from (select *, {_grams('t')} as g from (select *, {_TOK} as t from secs))), rk as {_covers('secs', 'sec', q)}, hit as (select doc_id, first_line, last_line, round(coalesce(rank, 0) + case when exact then 0.5 * coalesce(rank, 0) else 0 end + 0.3 * sim, 6)::double as score from sc left join rk using (sec) where m or sim >= 0.6 order by score desc, doc_id, first_line, last_line limit {top})"
 
 
 _QA, _QB, _QC = "licensed apache license", "Licenced under Apache", "MIT Licence text"
@@ -278,7 +292,7 @@ def hybrid_section_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_sql(q: str, least: float) -> str:
-    return f"select doc_id, line_no, line, round(score, 6)::double as score from (select doc_id, line_no, line, case when contains({_NORM.format('line')}, '{q.lower()}') then 1.0 else {_similar(q)} end as score from (select *, {_grams('t', q)} as g from (select *, {_TOK.replace('text', 'line')} as t from {_LINE_ROWS}))) where score >= {least}"
+    return f"select doc_id, line_no, line, round(score, 6)::double as score from (select doc_id, line_no, line, case when contains({_NORM.format('line')}, '{q.lower()}') then 1.0 else {_similar(q, least)} end as score from (select *, {_grams('t')} as g from (select *, {_TOK.replace('text', 'line')} as t from {_LINE_ROWS}))) where score >= {least}"
 
 
 @query(f"select doc_id, line_no, score from ({_line_sql(_QB, 0.6)})")
@@ -288,7 +302,11 @@ def trigram_word_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MIT = "MIT License"
-_BEST = f"best as (select doc_id, line_no, score + ls as score from (select h.doc_id, l.line_no, h.score, l.ls, row_number() over (partition by h.doc_id, h.first_line order by l.ls desc, l.line_no) as n from hit h join (select doc_id, line_no, case when contains({_NORM.format('line')}, 'mit license') then 1.0 else {_similar(_MIT)} end as ls from (select *, {_grams('t', _MIT)} as g from (select *, {_TOK.replace('text', 'line')} as t from {_LINE_ROWS}))) l on l.doc_id = h.doc_id and l.line_no between first_line and last_line) where n <= 3)"
+_GRAM_LINES = f"(select *, {_grams('t')} as g from (select *, {_TOK.replace('text', 'line')} as t from {_LINE_ROWS}))"
+_BEST = f"""best as (select doc_id, line_no, score + ls as score from (
+    select *, row_number() over (partition by doc_id, first_line order by ls desc, line_no) as n from (
+      select h.doc_id, h.first_line, l.line_no, h.score, case when contains({_NORM.format('line')}, 'mit license') then 1.0 else {_similar(_MIT)} end as ls
+      from hit h join {_GRAM_LINES} l on l.doc_id = h.doc_id and l.line_no between first_line and last_line)) where n <= 3)"""
 
 
 @query(f"with {_section_sql(_MIT, "list_contains(t, 'mit') and list_contains(t, 'license')", 50)}, {_BEST} select doc_id, line_no, round(max(score), 6)::double as score from best group by 1, 2 order by 3 desc, 1, 2 limit 10")
@@ -298,7 +316,7 @@ def keyword_search_lines(spark: SparkSession, d: str) -> DataFrame:
     return keyword_search(line_sections(docs), lines_of(docs), _MIT)
 
 
-_CODE = "Lizensed undr Apachy zq"
+_CODE = "Lizensed undr Apachy Licenss"
 
 
 @query(f"select doc_id, line_no, score from ({_line_sql(_CODE, 0.5)}) order by score desc, doc_id, line_no limit 20")

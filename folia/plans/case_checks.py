@@ -16,8 +16,8 @@ from .checks import Scope, compile_check, ruleset
 
 
 def grouped(docs: DataFrame, anchor: str, fields: list[str], name: str) -> DataFrame:
-    """One row an anchor: its documents of a type as an array of texts. Only what formulas read is gathered."""
-    made = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+    """One row an anchor: its documents of a type as an array. Only what formulas read is gathered."""
+    made = F.struct(*fields)
     return docs.groupBy(anchor).agg(F.array_sort(F.collect_list(made)).alias(name))
 
 
@@ -62,7 +62,7 @@ def compared_rows(anchors: DataFrame, key: str, scope: Scope, formula: str, grou
     one = F.col("_one")
     alone = Scope(scope.types, scope.single, {**scope.groups, group: F.array(one)}, **({"today": scope.today} if scope.today is not None else {}))
     status = compile_check(formula, alone)["status"]
-    return anchors.withColumn("_one", F.explode(scope.groups[group])).select(key, one["label"].alias("label"), one[field].alias("value_a"), other.alias("value_b"), status.alias("status"))
+    return anchors.withColumn("_one", F.explode(scope.groups[group])).select(key, one["label"].alias("label"), one[field].cast("string").alias("value_a"), other.cast("string").alias("value_b"), status.alias("status"))
 
 
 def evidence(compared: DataFrame, key: str) -> DataFrame:
@@ -82,17 +82,29 @@ def hint(status: Column, what: str, operator: str, against: str) -> Column:
     return F.when(status == "fail", F.lit(f"{what} of the marked documents: not {operator} {against}. Open the page: correct the value where it was misread, else clear the difference with the customer."))
 
 
-ORDER_TYPES = {"order": {"total": "money", "day": "date", "status": "string", "priority": "string"}, "line": {"price": "money", "ship": "date", "flag": "string", "state": "string"}}
+ORDER_TYPES = {
+    "order": {"total": "decimal", "day": "day", "status": "string", "priority": "string"},
+    "line": {"price": "decimal", "ship": "day", "flag": "string", "state": "string"},
+}
 
 
-def _orders(spark: SparkSession, d: str, *formulas: str) -> tuple[DataFrame, Scope]:
-    """Orders as anchors, their lines as the group, with the fields the formulas read. Money is cut to cents as exact text."""
+def _orders(spark: SparkSession, d: str, *formulas: str, labels: bool = False) -> tuple[DataFrame, Scope]:
+    """Orders as anchors, their lines as the group, with the fields the formulas read, in their own types (money in
+    cents); labels only where a formula names the group itself, or they are asked for."""
     fields = {f for x in formulas for f in re.findall(r"\bline\.(\w+)", x)}
-    cents = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    lines = load(spark, d, "lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("label"), cents("l_extendedprice").alias("price"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"))
-    by = grouped(lines, "l_orderkey", ["label", *sorted({f for f in ("price", "ship", "flag", "state") if f in fields})], "line")
-    orders = load(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").cast("string").alias("label"), cents("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("order"))
-    rows = orders.join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("line", F.coalesce("line", F.array().cast(by.schema["line"].dataType)))
+    labels = labels or any(re.search(r"\bline\b(?!\.)", x) for x in formulas)
+    cents = lambda c: F.col(c).cast("decimal(18,2)")
+    lines = load(spark, d, "lineitem").select(
+        "l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("label"), cents("l_extendedprice").alias("price"),
+        F.col("l_shipdate").cast("date").alias("ship"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"),
+    )
+    by = grouped(lines, "l_orderkey", [*["label"][: labels], *(f for f in ("price", "ship", "flag", "state") if f in fields or not (fields or labels) and f == "flag")], "line")
+    order = F.struct(
+        F.col("o_orderkey").cast("string").alias("label"), cents("o_totalprice").alias("total"), F.col("o_orderdate").cast("date").alias("day"),
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+    )
+    rows = load(spark, d, "orders").select("o_orderkey", order.alias("order")).join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = rows.withColumn("line", F.coalesce("line", F.array().cast(by.schema["line"].dataType)))
     return rows, Scope(ORDER_TYPES, {"order": ("order", F.col("order"))}, {"line": F.col("line")})
 
 
@@ -126,7 +138,7 @@ _check("orders_check_today", 'DATE_ADD(order.day, 1, "month") <= TODAY()', "case
 @query(_SUMS + "select 'few' as rule, count(*) filter (where coalesce(n, 0) < 4) as n_pass, count(*) filter (where coalesce(n, 0) >= 4) as n_fail, 0::bigint as n_unknown, count(*) as groups from o union all select 'same', count(*) filter (where n >= 2 and flags = 1), count(*) filter (where n >= 2 and flags > 1), count(*) filter (where coalesce(n, 0) < 2), count(*) from o")
 def check_counts(spark: SparkSession, d: str) -> DataFrame:
     """Two rules over all orders in one pass."""
-    rows, scope = _orders(spark, d, "SAME(line.flag)")
+    rows, scope = _orders(spark, d, "COUNT(line) < 4", "SAME(line.flag)")
     return counts(run(rows, "o_orderkey", scope, {"few": "COUNT(line) < 4", "same": "SAME(line.flag)"}))
 
 
@@ -175,7 +187,7 @@ _QUARTER = "line.price <= order.total / 4"
 
 
 def _quarters(spark: SparkSession, d: str) -> tuple[DataFrame, Scope, DataFrame]:
-    rows, scope = _orders(spark, d, _QUARTER)
+    rows, scope = _orders(spark, d, _QUARTER, labels=True)
     return rows, scope, compared_rows(rows, "o_orderkey", scope, _QUARTER, "line", "price", F.col("order.total"))
 
 

@@ -1,6 +1,6 @@
 """The check-expression language: formulas over documents, compiled to Catalyst expressions."""
 
-from .compiler import Scope, compile_check, rule_formula, ruleset, used_fields
+from .compiler import FUNCTIONS, Scope, Value, compile_check, function, rule_formula, ruleset, used_fields
 from .parser import CheckError, parse
 
-__all__ = ["CheckError", "Scope", "compile_check", "parse", "rule_formula", "ruleset", "used_fields"]
+__all__ = ["FUNCTIONS", "CheckError", "Scope", "Value", "compile_check", "function", "parse", "rule_formula", "ruleset", "used_fields"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,7 +52,11 @@ def nothing(kind: str) -> Column:
 
 
 def typed(c: Column, declared: str) -> tuple[str, Column]:
-    """A field's text as its declared type; empty or unreadable is unknown."""
+    """A field's text as its declared type; empty or unreadable is unknown. decimal and day are of their type already."""
+    if declared == "decimal":
+        return "num", c.cast("double")
+    if declared == "day":
+        return "date", c.cast("date")
     t = F.nullif(F.trim(c), F.lit(""))
     if declared in ("money", "number"):
         return "num", text.parse_number(t)
@@ -180,7 +185,34 @@ def _literal(n: Node, what: str) -> str:
     return n.text
 
 
-ARITY: dict[str, tuple[int, int | None]] = {"SUM": (1, None), "MIN": (1, None), "MAX": (1, None), "AVERAGE": (1, None), "COUNT": (1, None), "EXISTS": (1, 1), "ABS": (1, 1), "ROUND": (1, 2), "BETWEEN": (3, 3), "SAME": (1, None), "MATCH": (2, 3), "CONTAINS": (2, 2), "IF": (2, 3), "AND": (2, None), "OR": (2, None), "DATE_ADD": (3, 3), "TODAY": (0, 0)}
+@dataclass(frozen=True)
+class Function:
+    """A function of the language: how many arguments it takes (most: None for any number), and what makes its value.
+
+    build gets the call's argument nodes, a function that gives a node's value, and the scope.
+    """
+
+    name: str
+    least: int
+    most: int | None
+    build: Callable[[tuple[Node, ...], Callable[[Node], Value], Scope], Value]
+
+    def takes(self) -> str:
+        more = "" if self.most == self.least else " or more" if self.most is None else f" to {self.most}"
+        return f"{self.name} takes {self.least}{more} arguments"
+
+
+FUNCTIONS: dict[str, Function] = {}
+
+
+def function(name: str, least: int, most: int | None = None) -> Callable:
+    """Adds a function to the table that the static check and the compiler read; the same name replaces it."""
+
+    def add(build: Callable) -> Callable:
+        FUNCTIONS[name.upper()] = Function(name.upper(), least, most, build)
+        return build
+
+    return add
 
 
 def used_fields(formula: str | Node, scope: Scope) -> list[tuple[str, str]]:
@@ -197,11 +229,11 @@ def used_fields(formula: str | Node, scope: Scope) -> list[tuple[str, str]]:
             raise CheckError(f"type {kind} has no field {node.text!r}")
         return [(kind, node.text)]
     if node.op == "call":
-        if node.text not in ARITY:
+        known = FUNCTIONS.get(node.text)
+        if known is None:
             raise CheckError(f"no function {node.text}")
-        least, most = ARITY[node.text]
-        if len(node.args) < least or (most is not None and len(node.args) > most):
-            raise CheckError(f"{node.text} takes {least}" + ("" if most == least else " or more" if most is None else f" to {most}") + " arguments")
+        if len(node.args) < known.least or (known.most is not None and len(node.args) > known.most):
+            raise CheckError(known.takes())
     return [u for a in node.args for u in used_fields(a, scope)]
 
 
@@ -228,7 +260,7 @@ def value(n: Node, scope: Scope) -> Value:
         if name in scope.single:
             kind, col = typed(scope.single[name][1][n.text], declared)
             return Value(kind, col)
-        kind = typed(F.lit(""), declared)[0]
+        kind = typed(F.lit(None).cast("string"), declared)[0]
         docs = scope.groups.get(name)
         return Value(kind, F.transform(docs, lambda d: typed(d[n.text], declared)[1]) if docs is not None else F.array().cast(f"array<{SQL_TYPE[kind]}>"), True)
     if n.op == "neg":
@@ -243,56 +275,106 @@ def value(n: Node, scope: Scope) -> Value:
         return arithmetic(n.op, *map(go, n.args))
     if n.op != "call":
         return compare(n.op, *map(go, n.args))
-    name, raw = n.text, n.args
-    if name == "TODAY":
-        return Value("date", scope.today if scope.today is not None else F.current_date())
-    if name == "DATE_ADD":
-        units = {"ngay": "day", "day": "day", "days": "day", "thang": "month", "month": "month", "months": "month", "nam": "year", "year": "year", "years": "year"}
-        unit = units.get(_fold(_literal(raw[2], "the unit")))
-        when, n_units = go(raw[0]), go(raw[1])
-        if unit is None or when.kind != "date" or n_units.kind != "num":
-            return both(when, n_units, "date", lambda x, y: nothing("date"))
-        return both(when, n_units, "date", lambda x, y: dates.add_overflowing(x, y, unit))
-    if name in ("MATCH", "CONTAINS"):
-        mode = "contains" if name == "CONTAINS" else MODES.get(_fold(_literal(raw[2], "the mode")), "fuzzy") if len(raw) > 2 else "fuzzy"
-        return _match(go(raw[0]), go(raw[1]), mode)
-    args = [go(a) for a in raw]
-    if name in ("SUM", "MIN", "MAX", "AVERAGE"):
-        return _aggregate(name, args)
-    if name == "COUNT":
-        return Value("num", _known(args).cast("double"))
-    if name == "EXISTS":
-        return Value("bool", _known(args) > 0)
-    if name in ("ABS", "ROUND"):
-        v = args[0]
-        if v.kind != "num" or v.many:
-            return Value("num", nothing("num"))
-        if name == "ABS" or len(args) < 2:
-            return Value("num", F.abs(v.col) if name == "ABS" else F.round(v.col, 0))
-        digits = args[1]
-        # digits that are no number count as none
-        scale = F.pow(F.lit(10.0), F.coalesce(digits.col, F.lit(0.0))) if digits.kind == "num" and not digits.many else F.lit(1.0)
-        return Value("num", F.signum(v.col) * F.floor(F.abs(v.col) * scale + 0.5) / scale)
-    if name == "BETWEEN":
-        low, high = compare(">=", args[0], args[1]), compare("<=", args[0], args[2])
-        return both(low, high, "bool", lambda x, y: F.when(x.isNull() | y.isNull(), nothing("bool")).otherwise(x & y))
-    if name == "SAME":
-        keys = F.filter(flat(args, "key"), lambda x: x.isNotNull())
-        return Value("bool", F.when(F.size(keys) < 2, nothing("bool")).otherwise(F.size(F.array_distinct(keys)) == 1))
-    if name == "IF":
-        test, yes = verdict(args[0]), args[1]
-        no = args[2] if len(args) > 2 else Value("bool", F.lit(True))
-        if yes.many or no.many:
-            if yes.kind != "bool" or no.kind != "bool":
-                raise CheckError("IF over lists must give yes or no")
-            yes, no = Value("bool", verdict(yes)), Value("bool", verdict(no))
-        if yes.kind != no.kind:
-            raise CheckError("both results of IF must be of one kind")
-        return Value(yes.kind, F.when(test, yes.col).when(~test, no.col))
-    out = verdict(args[0])
-    for a in args[1:]:
-        out = out & verdict(a) if name == "AND" else out | verdict(a)
-    return Value("bool", out)
+    return FUNCTIONS[n.text].build(n.args, go, scope)
+
+
+# -- the functions ---------------------------------------------------------------------------
+
+# Words for units of time, fixed values.
+UNITS = {"ngay": "day", "day": "day", "days": "day", "thang": "month", "month": "month", "months": "month", "nam": "year", "year": "year", "years": "year"}
+
+
+for _name in ("SUM", "MIN", "MAX", "AVERAGE"):
+    function(_name, 1)(lambda args, go, scope, name=_name: _aggregate(name, [go(a) for a in args]))
+
+
+@function("COUNT", 1)
+def _count(args, go, scope):
+    return Value("num", _known([go(a) for a in args]).cast("double"))
+
+
+@function("EXISTS", 1, 1)
+def _exists(args, go, scope):
+    return Value("bool", _known([go(args[0])]) > 0)
+
+
+def _one_number(v: Value, f: Callable[[Column], Column]) -> Value:
+    return Value("num", nothing("num") if v.kind != "num" or v.many else f(v.col))
+
+
+@function("ABS", 1, 1)
+def _abs(args, go, scope):
+    return _one_number(go(args[0]), F.abs)
+
+
+@function("ROUND", 1, 2)
+def _round(args, go, scope):
+    if len(args) < 2:
+        return _one_number(go(args[0]), lambda x: F.round(x, 0))
+    digits = go(args[1])
+    # digits that are no number count as none
+    scale = F.pow(F.lit(10.0), F.coalesce(digits.col, F.lit(0.0))) if digits.kind == "num" and not digits.many else F.lit(1.0)
+    return _one_number(go(args[0]), lambda x: F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale)
+
+
+@function("BETWEEN", 3, 3)
+def _between(args, go, scope):
+    x, low, high = (go(a) for a in args)
+    return both(compare(">=", x, low), compare("<=", x, high), "bool", lambda a, b: F.when(a.isNull() | b.isNull(), nothing("bool")).otherwise(a & b))
+
+
+@function("SAME", 1)
+def _same(args, go, scope):
+    keys = F.filter(flat([go(a) for a in args], "key"), lambda x: x.isNotNull())
+    return Value("bool", F.when(F.size(keys) < 2, nothing("bool")).otherwise(F.size(F.array_distinct(keys)) == 1))
+
+
+@function("MATCH", 2, 3)
+def _matching(args, go, scope):
+    mode = MODES.get(_fold(_literal(args[2], "the mode")), "fuzzy") if len(args) > 2 else "fuzzy"
+    return _match(go(args[0]), go(args[1]), mode)
+
+
+@function("CONTAINS", 2, 2)
+def _contains(args, go, scope):
+    return _match(go(args[0]), go(args[1]), "contains")
+
+
+@function("IF", 2, 3)
+def _if(args, go, scope):
+    test, yes = verdict(go(args[0])), go(args[1])
+    no = go(args[2]) if len(args) > 2 else Value("bool", F.lit(True))
+    if yes.many or no.many:
+        if yes.kind != "bool" or no.kind != "bool":
+            raise CheckError("IF over lists must give yes or no")
+        yes, no = Value("bool", verdict(yes)), Value("bool", verdict(no))
+    if yes.kind != no.kind:
+        raise CheckError("both results of IF must be of one kind")
+    return Value(yes.kind, F.when(test, yes.col).when(~test, no.col))
+
+
+@function("AND", 2)
+def _and(args, go, scope):
+    return Value("bool", reduce(lambda a, b: a & b, [verdict(go(a)) for a in args]))
+
+
+@function("OR", 2)
+def _or(args, go, scope):
+    return Value("bool", reduce(lambda a, b: a | b, [verdict(go(a)) for a in args]))
+
+
+@function("TODAY", 0, 0)
+def _today(args, go, scope):
+    return Value("date", scope.today if scope.today is not None else F.current_date())
+
+
+@function("DATE_ADD", 3, 3)
+def _date_add(args, go, scope):
+    unit = UNITS.get(_fold(_literal(args[2], "the unit")))
+    when, count = go(args[0]), go(args[1])
+    if unit is None or when.kind != "date" or count.kind != "num":
+        return both(when, count, "date", lambda x, y: nothing("date"))
+    return both(when, count, "date", lambda x, y: dates.add_overflowing(x, y, unit))
 
 
 def _fold(s: str) -> str:
@@ -345,7 +427,7 @@ def rule_formula(a: str, op: str, b: str, kind: str, anchor: str | None = None)
 def rule_kind(ref: str, scope: Scope) -> str:
     """How rules compare a field: as text, money or date."""
     [(of, key)] = used_fields(ref, scope)
-    return {"money": "money", "number": "money", "date": "date"}.get(scope.types[of][key], "text")
+    return {"money": "money", "number": "money", "decimal": "money", "date": "date", "day": "date"}.get(scope.types[of][key], "text")
 
 
 def ruleset(rules: list[dict], scope: Scope, anchor: str) -> dict[str, str]:

@@ -149,11 +149,6 @@ def to_pipe_table(s: pd.Series) -> pd.Series:
     return s.map(table_markdown)
 
 
-def replace_partitions(df: DataFrame, path: str, by: str) -> None:
-    """Replaces the partitions that df holds and leaves the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 @query("select page_id, url, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) as host, coalesce(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1), '') as title from pages")
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     host = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")[0]
