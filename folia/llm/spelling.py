@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import looked_up, partitions_for, scratch, stored, table
+from ._util import scratch, stored, table
 
 # Fixed values of the contract.
 RUN = re.compile("[a-zÀ-ÿ]+")
@@ -35,6 +35,7 @@ EVERY, LETTERS, OCCURRENCES, TIMES = 97, 5, 3, 2
 
 SHARD = 2_000_000
 FLUSH = 200_000
+ROWS = 20_000  # words a task intersects with a shard
 
 
 def counted(docs: DataFrame, least: int = LETTERS) -> DataFrame:
@@ -189,8 +190,7 @@ def shards(words: DataFrame, size: int = SHARD) -> DataFrame:
 def neighbours(words: DataFrame, size: int = SHARD) -> DataFrame:
     """word, n_near, form_n, form (the neighbour of largest count, the smallest of them) of words that have neighbours."""
     spark, parts = words.sparkSession, []
-    spread = words.select("word").repartition(partitions_for(spark, spark.sparkContext.defaultParallelism))
-    spread = stored(spread, "spelling-words")
+    spread = stored(words.select("word").repartition(-(-words.count() // ROWS) or 1), "spelling-words")
     for shard in shards(words, size).toLocalIterator():
         # a shard is bounded by its size; one is held at a time
         trie = spark.sparkContext.broadcast(Trie([w.encode("latin-1") for w in shard["words"]], shard["counts"]))
@@ -216,13 +216,16 @@ def neighbours(words: DataFrame, size: int = SHARD) -> DataFrame:
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """word, root from (word, form): forms followed to the last, twice as far each round."""
-    now = stored(forms.select("word", F.coalesce("form", "word").alias("root")), "spelling-roots")
+    """word, root of the words that have a form, from (word, form): forms followed to the last, twice as far each round.
+
+    A word that is a form itself is near few words, so a root gathers few at each step.
+    """
+    now = stored(forms.where("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
-        far = looked_up(now.withColumnRenamed("root", "by"), "by", now.select(F.col("word").alias("by"), "root"), by="word")
-        step = stored(far.select("word", "root", "by"), "spelling-roots")
+        far = now.join(now.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("shuffle_hash"), "root", "left")
+        step = stored(far.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         now = step.select("word", "root")
-        if not step.where("root <> by").limit(1).count():
+        if not step.where("moved").limit(1).count():
             return now
 
 
@@ -234,7 +237,8 @@ def variants(docs: DataFrame, size: int = SHARD) -> DataFrame:
         good = F.col("form_n") >= TIMES * F.col("n")
         formed = joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(good, F.col("form")).alias("form"), F.when(good, F.col("form_n")).alias("form_n"))
         formed = stored(formed, "spelling-forms")
-        return result(formed.join(roots(formed).hint("shuffle_hash"), "word"), "spelling")
+        joined = formed.join(roots(formed).hint("shuffle_hash"), "word", "left")
+        return result(joined.withColumn("root", F.coalesce("root", "word")), "spelling")
 
 
 def op11_trie_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
