@@ -20,13 +20,17 @@ have any name.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
+from bisect import bisect
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.runs import first_occurrences
 from ._util import table, text_only
 
 # Public licence notices, as text. Names are SPDX identifiers.
@@ -107,30 +111,55 @@ class Templates:
         return out
 
     def windows(self, grams: list[tuple[str, str]], distinct: set[tuple[str, str]]) -> list[tuple[float, str, int, int]]:
-        """dice, name, first and last bigram: of every start, the best window for each template."""
+        """dice, name, first and last bigram: of every start, the best window for each template.
+
+        Only bigrams that a start meets anew change a window's Dice, so from each start the first places of
+        bigrams are walked, and no more of them than a template's bound allows: repeats cost nothing, and
+        a text costs its length times the bound. Starts whose next bigrams are the same share their walk.
+        """
         t, n, out = self.threshold, len(grams), []
+        wanted = []
         for i, c in Counter(i for g in distinct & self.holders.keys() for i in self.holders[g]).items():
             name, b = self.all[i]
             low, high = t / (2 - t) * len(b), (2 - t) / t * len(b)
-            if c < low:  # so many must be shared to reach t at any size
-                continue
-            least = self.lengths[i] if len(b) < SHORT else 1
-            starts = [k for k, g in enumerate(grams) if g in b and k + least <= n]
-            for k in {*starts, max(0, n - least)}:
-                seen, shared, best = set(), 0, None
-                for z in range(k, n):
-                    g = grams[z]
-                    if g not in seen:
-                        seen.add(g)
-                        shared += g in b
-                        if len(seen) > high:
-                            break
-                    if z - k + 1 >= min(least, n):
-                        dice = 2 * shared / (len(seen) + len(b))
-                        if dice >= t and len(seen) >= low and (best is None or dice > best[0]):
-                            best = (dice, name, k, z)
+            if c >= low:  # so many must be shared to reach t at any size
+                least = self.lengths[i] if len(b) < SHORT else 1
+                wanted.append((name, b, low, high, least, {}))
+        if not wanted:
+            return out
+        number: dict[tuple[str, str], int] = {}
+        ids = array("i", [number.setdefault(g, len(number)) for g in grams])
+        whole, wide = ids.tobytes(), ids.itemsize
+        for k, after in first_occurrences(ids):
+            for name, b, low, high, least, known in wanted:
+                if (grams[k] not in b or k + least > n) and k != max(0, n - least):
+                    continue
+                reach = int(4 * high) + least
+                key = None
+                if n > 8 * reach and k + reach <= n:
+                    key = hashlib.blake2b(whole[k * wide : (k + reach) * wide], digest_size=16).digest()
+                    if key in known:
+                        if known[key]:
+                            out.append((known[key][0], name, k, k + known[key][1]))
+                        continue
+                seen = shared = 0
+                best, z = None, k
+                while z < n:
+                    seen, shared = seen + 1, shared + (grams[z] in b)
+                    if seen > high:
+                        break
+                    dice = 2 * shared / (seen + len(b))
+                    # the shortest window with these bigrams that is long enough
+                    end = max(z, k + min(least, n) - 1)
+                    if dice >= t and seen >= low and (best is None or dice > best[0]) and (after[z] > end or after[z] == n) and end < n:
+                        best = (dice, end - k)
+                    if shared == len(b) and z >= k + least - 1:
+                        break
+                    z = after[z]
+                if key is not None and z < k + reach:
+                    known[key] = best
                 if best:
-                    out.append(best)
+                    out.append((best[0], name, k, k + best[1]))
         return out
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
@@ -158,12 +187,13 @@ class Templates:
         if len(lines) > 1 and (hit := self.best(distinct)):
             found.append((*hit, 0, len(whole) - 1))
         found += [(d, name, a, z + 1) for d, name, a, z in self.windows(grams, distinct)]
-        apart: list[tuple[float, str, int, int]] = []
-        for m in sorted(found, key=lambda m: (-m[0], m[2] - m[3], m[1], m[2])):
-            if all(m[3] < o[2] or o[3] < m[2] for o in apart):
-                apart.append(m)
+        apart: list[tuple[int, int, str, float]] = []  # by first word; no two overlap
+        for d, name, a, z in sorted(found, key=lambda m: (-m[0], m[2] - m[3], m[1], m[2])):
+            at = bisect(apart, (z, len(whole)))
+            if not at or apart[at - 1][1] < a:
+                apart.insert(at, (a, z, name, d))
         line = [k for k, w in enumerate(words) for _ in w]
-        return [(line[a], line[z], name, d) for d, name, a, z in sorted(apart, key=lambda m: m[2])]
+        return [(line[a], line[z], name, d) for a, z, name, d in apart]
 
 
 SCHEMA = "doc_id long, n_matches long, license string, dice double, licenses array<string>, first_line int, last_line int"
