@@ -22,15 +22,17 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import stored, table, text_only
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 HITS = "doc_id long, n_words long, hits array<int>, items array<string>"
@@ -115,14 +117,24 @@ def _shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str,
         yield part
 
 
+_held: dict[str, list[WuManber]] = {}
+
+
+def _ready(key: str, shared: Broadcast, window: int) -> list[WuManber]:
+    """A shard's matchers, built once in a Python worker and kept until it works on another shard."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = matchers(shared.value, window)
+    return _held[key]
+
+
 def occurrences(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
     """Per document: words, merged spans as a flat list, items met."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    made: dict[int, list[WuManber]] = {}
+    shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def search(batches):
-        found = made.get(0) or made.setdefault(0, matchers(shared.value, window))
+        found = _ready(key, shared, window)
         for b in batches:
             out = []
             for t in b.column("text"):
@@ -174,18 +186,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs in which no benchmark window occurs, with their own columns; one scan for each shard."""
-    for items in _shards(benchmark, shard_words):
-        docs = _without(docs, items, window)
+    """The rows of docs in which no benchmark window occurs, with their own columns.
+
+    One scan for each shard: what one shard leaves is stored before the next, so a task holds one shard's matchers.
+    """
+    for k, items in enumerate(_shards(benchmark, shard_words)):
+        docs = _without(stored(docs, "decontaminate-left") if k else docs, items, window)
     return docs
 
 
 def _without(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    made: dict[int, list[WuManber]] = {}
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def search(batches):
-        found = made.get(0) or made.setdefault(0, matchers(shared.value, window))
+        found = _ready(key, shared, window)
         for b in batches:
             texts = b.column(b.schema.names.index("text"))
             clean = []

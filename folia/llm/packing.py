@@ -12,7 +12,9 @@ length) plus the count of that length in earlier partitions, so a length that a
 rows share is never ranked in one task.
 
 Defined results: null text is an empty document (its end id alone); repeated rows are packed as
-documents of their own; an empty table has no pieces; other columns are ignored.
+documents of their own; a text is encoded whole whatever its length and its ids are cut into pieces; pieces
+of one length go by doc_id, start and checksum; an empty table has no pieces; of the columns only doc_id and
+text are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect
 from collections import Counter
 
 import numpy as np
@@ -233,11 +234,12 @@ def scored(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, fl
 
 def judged(text: str, path: str, forest: Forest, threshold: float) -> list[tuple[int, int, str, float]]:
     """Scored candidates apart from each other: secrets first, and known formats before looser patterns."""
-    out: list[tuple[int, int, str, float]] = []
+    out: list[tuple[int, int, str, float]] = []  # by start; no two overlap
     for a, b, k, s in sorted(scored(text, path, forest), key=lambda c: (c[3] < threshold, _RANK[c[2]], c[0])):
-        if all(b <= o[0] or a >= o[1] for o in out):
-            out.append((a, b, k, s))
-    return sorted(out)
+        at = bisect(out, (b,))
+        if not at or out[at - 1][1] <= a:
+            out.insert(at, (a, b, k, s))
+    return out
 
 
 def secret_spans(text: str, path: str, forest: Forest, threshold: float) -> list[tuple[int, int]]:
@@ -258,7 +260,8 @@ FOUND = "doc_id long, start int, length int, kind string, value_sha256 string, s
 
 def scan_secrets(docs: DataFrame, forest: Forest, path=None, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: where it is, its pattern, digest of the value, forest score, decision."""
-    path = F.col("source") if path is None else path
+    if path is None:
+        path = F.col("source") if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     model = docs.sparkSession.sparkContext.broadcast(forest)
 

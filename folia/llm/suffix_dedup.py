@@ -19,7 +19,9 @@ same way; windows of what is still open are counted by hash. All counts are sums
 before rows are shuffled, and a document's equal runs are one row from the start.
 
 Defined results: null text is empty; texts shorter than the span lose nothing; repeated rows
-repeat each other; an empty table gives an empty result.
+repeat each other, and all of them lose the bytes; texts are judged whole whatever their length, a run of
+windows at a time; equal windows decide alike, so there are no ties; of the columns only doc_id and text are
+read, so others may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,9 +2,8 @@
 
 Documents go to range partitions by doc_id, so shards are in ascending doc_id order. A shard
 holds about SHARD_TOKENS ids. Frequent id pairs are replaced by nonterminals, many pairs a round
-when they can't meet in one place, for at most ROUNDS rounds, while a pair is met LEAST times or more
-and symbols stay within 16 bits (where the vocabulary does): the grammar is cut short of Re-Pair's
-end, which costs compression and no ids. Pairs never cross documents, so
+when they can't meet in one place, until no pair is met LEAST times (a rule that is met less often
+costs more than it saves). Pairs never cross documents, so
 with each document's first symbol and the rules' expansion lengths any document, or any id of
 it, is decoded alone.
 
@@ -14,7 +13,10 @@ right uint32[n_rules], expansion lengths uint32[n_rules], symbols (width bytes e
 the id s below base, else rule s - base. The table has a row a shard: part, block, n_tokens, shard.
 
 Defined results: null text is empty (its end id alone); repeated rows are written as documents
-of their own; an empty table gives an empty result.
+of their own; texts are encoded whole whatever their length, and of them only ids stay in a task; of
+pairs met equally often the one with the smaller symbols is replaced first, which changes no id that is read
+back; of the columns only doc_id and text are read, so others may have any name; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,14 +35,13 @@ from ._util import partitions_for, stored, table, text_only
 
 SHARD_TOKENS = 2_000_000
 LEAST = 24
-ROUNDS = 8
 A_ROUND = 4096
 GRID = 1 << 24
 
 
 def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int, most: int):
     """Replace the frequent pairs of one round; None when there are none."""
-    kind, bits = (np.uint32, 16) if base < 1 << 16 else (np.uint64, 32)  # symbols stay below 2 ** bits
+    kind, bits = (np.uint32, 16) if base + len(rules) <= 1 << 16 else (np.uint64, 32)  # symbols are below 2 ** bits
     pair = seq[:-1].astype(kind) << kind(bits) | seq[1:].astype(kind)
     keys = np.sort(pair[~last[:-1]])
     if not len(keys):
@@ -93,16 +94,10 @@ def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int
     return new[keep], ends[keep]
 
 
-def compress(seq: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, rounds: int = ROUNDS):
-    """Symbols, ends of documents among them, and rules."""
+def compress(seq: np.ndarray, last: np.ndarray, base: int, least: int = LEAST):
+    """Symbols, ends of documents among them, and rules; in the end no pair is met `least` times."""
     rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        room = (1 << 16) - base - len(rules) if base < 1 << 16 else A_ROUND
-        if room <= 0 or len(seq) < 2:
-            break
-        made = _round(seq, last, rules, base, least, min(room, A_ROUND))
-        if made is None:
-            break
+    while len(seq) > 1 and (made := _round(seq, last, rules, base, least, A_ROUND)):
         seq, last = made
     return seq, last, rules
 

@@ -98,3 +98,24 @@ def test_empty_tables(make, spark, tmp_path):
     assert token_output.read_ids(token_output.write_ids(none, BPE)).count() == 0
     assert packing.pack(none, BPE).count() == 0
     assert token_counts.count_tokens(none, WORDS, f"file://{tmp_path}/c").count() == 0
+
+
+def test_grammar_runs_until_no_pair_is_frequent():
+    from collections import Counter
+
+    from folia.llm import token_output
+
+    r = np.random.default_rng(3)
+    for base, n in ((50, 20_000), (65_530, 20_000)):  # the second needs symbols beyond 16 bits
+        seq = np.minimum(r.geometric(0.15, n), base - 1).astype(np.uint32)
+        last = r.random(n) < 0.01
+        last[-1] = True
+        out, ends, rules = token_output.compress(seq, last, base)
+        pairs = Counter((int(a), int(b)) for a, b, e in zip(out[:-1], out[1:], ends[:-1]) if not e)
+        assert rules and max(pairs.values(), default=0) < token_output.LEAST
+        assert base + len(rules) > 1 << 16 or base < 100
+
+        def expand(s, base=base, rules=rules):
+            return [s] if s < base else [x for p in rules[s - base] for x in expand(p)]
+
+        assert [x for s in out.tolist() for x in expand(s)] == seq.tolist()
