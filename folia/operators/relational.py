@@ -195,7 +195,7 @@ def regression_cells(spark: SparkSession, d: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """Cosine top-k of one vector; the query side is one row."""
     e = load(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    q = e.where("vec_id = 0").select(F.col("v").alias("q"))
+    q = e.where("vec_id = 0").agg(F.min("v").alias("q")).where("q is not null")  # one row, or none
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     both = e.where("vec_id <> 0").crossJoin(F.broadcast(q))
     score = F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6)

@@ -84,7 +84,8 @@ def shared_folder(spark: SparkSession) -> str:
     session takes a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='folia-stream-')}"
     folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folia.functions import dates, text
+from folia.functions import dates, runs, text
 from folia.functions import python_side as P
 from folia.operators import meta, search, sequences, trees
 from folia.sources import readers
@@ -66,7 +66,7 @@ def test_json():
 
 
 def test_diff_and_alignment():
-    assert P.line_diff("a\nb", "a\nc\nb") == [(" ", "a"), ("+", "c"), (" ", "b")]
+    assert runs.line_diff("a\nb", "a\nc\nb") == [(" ", "a"), ("+", "c"), (" ", "b")]
     assert P.align("a b c".split(), "a x b c".split()) == [(0, 0, 0.0), (1, 2, 0.0), (2, 3, 0.0)]
     assert [(i, j) for i, j, c in P.align("total amount due".split(), "totel amount".split()) if c < 0.5] == [(0, 0), (1, 1)]
     assert P.edits("kitten", ["sitting", "", "kitten"]).tolist() == [3, 6, 0] and P.edits("", ["ab", ""]).tolist() == [2, 0] and P.alike("", "") == 1.0
@@ -142,8 +142,9 @@ def test_metadata_filters(spark):
 
 def test_query_language():
     assert search.parse_query('a "b c" -d or "x"') == [[(True, ["a"]), (True, ["b", "c"]), (False, ["d"])], [(True, ["x"])]]
-    assert P.cover_density("a x b a".split(), ["a", "b"]) == pytest.approx(2 / 3 + 2 / 2)
-    assert P.word_similarity("apache license", "the Apache Licence 2.0") > 0.7 and P.word_similarity("apache", "nothing") == 0
+    ways = [["a", "b"]]
+    assert P.cover_density(P.entries_of("a x b a".split(), ways), ways) == pytest.approx(0.1 / 2 + 0.1)
+    assert P.word_similarity("word", "two words") == pytest.approx(0.8) and P.word_similarity("apache", "nothing") == 0
 
 
 def test_sections(spark):
@@ -187,11 +188,3 @@ def test_region_classes():
     from folia.operators.layout import CLASSES
 
     assert (CLASSES["seal"], CLASSES["chart"], CLASSES["footnote"], CLASSES["table_title"], CLASSES.get("other", "unknown")) == ("figure", "figure", "footnote", "caption", "unknown")
-
-
-def test_heading_groups():
-    from folia.operators.pages import heading_groups
-
-    b = lambda kind, text, level=0, tokens=10: {"kind": kind, "text": text, "level": level, "tokens": tokens}
-    got = heading_groups([b("paragraph", "lead"), b("heading", "Terms of", 2), b("heading", "payment", 2), b("paragraph", "body", tokens=40), b("heading", "Note", 3, 2), b("heading", "2. Goods", 2), b("paragraph", "more", tokens=50)])
-    assert [(g["title"], g["body"], g["tokens"]) for g in got] == [("", ["lead"], 10), ("Terms of payment", ["body", "Note"], 62), ("2. Goods", ["more"], 60)]
