@@ -22,9 +22,10 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import scratch, stored, table
@@ -187,13 +188,26 @@ def shards(words: DataFrame, size: int = SHARD) -> DataFrame:
     return stored(dealt.mapInArrow(cut, "words array<string>, counts array<long>"), "spelling-shards", batch=1)
 
 
+def _full(parts: Iterator[Row], size: int) -> Iterator[list[tuple[str, int]]]:
+    """Sorted words and counts of as many shards as hold `size` characters, so that small ones cost no job each."""
+    held, chars = [], 0
+    for part in parts:
+        held += zip(part["words"], part["counts"])
+        chars += sum(map(len, part["words"]))
+        if chars >= size:
+            yield sorted(held)
+            held, chars = [], 0
+    if held:
+        yield sorted(held)
+
+
 def neighbours(words: DataFrame, size: int = SHARD) -> DataFrame:
     """word, n_near, form_n, form (the neighbour of largest count, the smallest of them) of words that have neighbours."""
     spark, parts = words.sparkSession, []
     spread = stored(words.select("word").repartition(-(-words.count() // ROWS) or 1), "spelling-words")
-    for shard in shards(words, size).toLocalIterator():
-        # a shard is bounded by its size; one is held at a time
-        trie = spark.sparkContext.broadcast(Trie([w.encode("latin-1") for w in shard["words"]], shard["counts"]))
+    for held in _full(shards(words, size).toLocalIterator(), size):
+        # bounded by twice the size; one is held at a time
+        trie = spark.sparkContext.broadcast(Trie([w.encode("latin-1") for w, _ in held], [n for _, n in held]))
 
         def intersect(batches, trie=trie):
             for b in batches:
