@@ -135,6 +135,14 @@ _check("orders_check_calls", 'AND(OR(order.status = "O", order.total > 100000),
 _check("orders_check_today", 'DATE_ADD(order.day, 1, "month") <= TODAY()', "case when day + interval 1 month <= date '1995-06-15' then 'pass' else 'fail' end", today="1995-06-15")
 
 
+_check("orders_check_labels", 'COUNT(line) = COUNT(line.price) AND CONTAINS(order, "1")', "case when contains(o_orderkey::varchar, '1') then 'pass' else 'fail' end")
+_check("orders_check_date_text", 'order.day >= "1995-01-01" AND order.day < "31/12/1996"', "case when day >= date '1995-01-01' and day < date '1996-12-31' then 'pass' else 'fail' end")
+_check(
+    "orders_check_match_modes", 'MATCH(order.priority, "3 x", "number") OR MATCH(order.priority, "cong ty urgent tnhh", "name") OR MATCH(order.priority, "4-NOT SPECIFYED", "fuzzy")',
+    "case when o_orderpriority in ('3-MEDIUM', '1-URGENT', '4-NOT SPECIFIED') then 'pass' else 'fail' end",
+)
+
+
 @query(_SUMS + "select 'few' as rule, count(*) filter (where coalesce(n, 0) < 4) as n_pass, count(*) filter (where coalesce(n, 0) >= 4) as n_fail, 0::bigint as n_unknown, count(*) as groups from o union all select 'same', count(*) filter (where n >= 2 and flags = 1), count(*) filter (where n >= 2 and flags > 1), count(*) filter (where coalesce(n, 0) < 2), count(*) from o")
 def check_counts(spark: SparkSession, d: str) -> DataFrame:
     """Two rules over all orders in one pass."""
