@@ -11,7 +11,7 @@ from .registry import ORACLES, QUERIES, Query
 MODULES = (
     "sources.readers", "operators.documents", "operators.headings", "operators.cards", "operators.pages", "operators.layout", "operators.layers", "operators.edits",
     "operators.relational", "operators.meta", "operators.sequences", "operators.search", "operators.postings", "operators.trees", "operators.toc", "operators.scalars",
-    "operators.sheets", "operators.forms", "operators.changes", "plans.case_checks", "plans.engines", "plans.case_types", "streaming.streams", "streaming.stateful", "streaming.delivery", "sources.partitions",
+    "operators.sheets", "operators.forms", "operators.changes", "plans.case_checks", "plans.engines", "plans.case_types", "streaming.streams", "streaming.stateful", "streaming.delivery", "sources.partitions", "operators.projections",
 )
 for _m in MODULES:
     importlib.import_module(f"folia.{_m}")
