@@ -23,8 +23,8 @@ _SRC, _DST = _fold_tables()
 
 
 def unaccent(c: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.lower(F.regexp_replace(F.translate(c, _SRC, _DST), r"\p{Mn}", ""))
+    """Lower case without diacritics; a text of one byte a character has none."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.lower(F.regexp_replace(F.translate(c, _SRC, _DST), r"\p{Mn}", "")))
 
 
 def collapse_space(c: Column) -> Column:

@@ -118,20 +118,21 @@ def doc_line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "line_no", (stop - F.length("line") - 1).cast("bigint").alias("start"), (stop - 1).cast("bigint").alias("stop"))
 
 
-def repeated_lines(lines: DataFrame, group: str, page: str, ratio: float = 0.6) -> DataFrame:
+def repeated_lines(lines: DataFrame, group: str, page: str, ratio: float = 0.6, pages: DataFrame | None = None) -> DataFrame:
     """Lines whose key is on at least max(2, ceil(ratio * pages)) pages of their group.
 
-    A page's equal lines become one before anything moves by group, so a hot group is a count a task."""
+    A page's equal lines become one before anything moves by group, so a hot group is a count a task. pages: group
+    and page, where a table of them is cheaper than the lines' own."""
     once = lines.select(group, page, T.furniture_key(F.col("line")).alias("key")).distinct()
-    pages = lines.select(group, page).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("pages"))
+    pages = (lines if pages is None else pages).select(group, page).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("pages"))
     seen = once.where("key <> ''").groupBy(group, "key").agg(F.count(F.lit(1)).alias("on_pages"))
     return seen.join(pages, group).where(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.lit(ratio) * F.col("pages"))))
 
 
 @query(f"with l as (select source, doc_id, regexp_replace({NORM.format('line')}, '\\d+', '#', 'g') as key from {LINES} join documents using (doc_id)), n as (select source, count(distinct doc_id) as pages from documents group by 1) select source, key, count(distinct doc_id) as on_pages from l join n using (source) where key <> '' group by source, key, pages having count(distinct doc_id) >= greatest(2, ceil(0.05 * pages))")
 def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = lines_of(load(spark, d, "documents"), "source")
-    return repeated_lines(lines, "source", "doc_id", 0.05).select("source", "key", "on_pages")
+    docs = load(spark, d, "documents")
+    return repeated_lines(lines_of(docs, "source"), "source", "doc_id", 0.05, docs).select("source", "key", "on_pages")
 
 
 @query(f"select doc_id, line_no, 1.0::double as score from {LINES} where contains({NORM.format('line')}, 'mit license') order by doc_id, line_no limit 50")

@@ -199,10 +199,12 @@ def verify_quotes(lines: DataFrame, quotes: DataFrame) -> DataFrame:
     """The smallest window of one to four consecutive lines that holds the quote; quotes that no window
     holds are dropped. quotes: doc_id, quote."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    cols = [F.array_join(F.collect_list("line").over(w.rowsBetween(0, k)), " ").alias(f"w{k + 1}") for k in range(4)]
-    wide = lines.select("doc_id", "line_no", *cols)
-    met = wide.join(quotes, "doc_id")
-    size = F.coalesce(*[F.when(T.contains_fold(F.col(f"w{k}"), F.col("quote")), F.lit(k)) for k in range(1, 5)])
+    # lines are folded once, before they are joined; empty ones leave no space
+    folded = lines.select("doc_id", "line_no", T.normalize(F.col("line")).alias("_n"))
+    cols = [F.array_join(F.filter(F.collect_list("_n").over(w.rowsBetween(0, k)), lambda x: x != ""), " ").alias(f"w{k + 1}") for k in range(4)]
+    wide = folded.select("doc_id", "line_no", *cols)
+    met = wide.join(quotes.withColumn("_q", T.normalize(F.col("quote"))), "doc_id")
+    size = F.coalesce(*[F.when(F.contains(F.col(f"w{k}"), F.col("_q")), F.lit(k)) for k in range(1, 5)])
     hit = met.withColumn("size", size).where("size is not null")
     best = hit.groupBy("doc_id", "quote").agg(F.min(F.struct("size", "line_no")).alias("m"))
     return best.select("doc_id", "quote", F.col("m.line_no").alias("first_line"), (F.col("m.line_no") + F.col("m.size") - 1).alias("last_line"))
