@@ -208,3 +208,62 @@ def test_quality_without_site_columns(spark, make, dirty):
     got = quality.classify(bare, labels)
     assert got.count() == len(dirty) and got.where("host is not null").count() == 0
     assert quality.keep_good(bare, labels).columns == ["doc_id", "text"]
+
+
+def test_windows_against_every_window():
+    """Of each start, the shortest window with the best Dice among all that end anywhere."""
+    import random
+
+    r = random.Random(8)
+    vocabulary = "a b c d e f g h".split()
+    for _ in range(150):
+        templates = [(f"t{k}", " ".join(r.choice(vocabulary) for _ in range(r.randint(3, 16)))) for k in range(3)]
+        known = licenses.Templates(templates, 0.8)
+        words = [r.choice(vocabulary) for _ in range(r.randint(2, 30))]
+        if r.random() < 0.5:
+            words = (words[: r.randint(1, 6)] + templates[0][1].split()) * r.randint(1, 4)
+        grams = list(zip(words, words[1:]))
+        want = []
+        for i, (name, b) in enumerate(known.all):
+            low, high = 0.8 / 1.2 * len(b), 1.2 / 0.8 * len(b)
+            least = known.lengths[i] if len(b) < licenses.SHORT else 1
+            if len(b & set(grams)) < low:
+                continue
+            for k in range(len(grams)):
+                if (grams[k] in b and k + least <= len(grams)) or k == max(0, len(grams) - least):
+                    best = None
+                    for z in range(k + min(least, len(grams)) - 1, len(grams)):
+                        held = set(grams[k : z + 1])
+                        dice = 2 * len(held & b) / (len(held) + len(b))
+                        if dice >= 0.8 and low <= len(held) <= high and (best is None or dice > best[0]):
+                            best = (dice, name, k, z)
+                    want += [best] if best else []
+        assert sorted(known.windows(grams, set(grams))) == sorted(want)
+
+
+def test_a_thousand_notices_in_one_text():
+    import time
+
+    notice = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 900)
+    known, began = licenses.Templates(licenses.TEMPLATES, 0.8), time.perf_counter()
+    found = known.scan("\n\n".join([notice] * 1000))
+    assert len(found) == 1000 and {(f[2], f[3]) for f in found} == {("MIT", 1.0)}
+    assert time.perf_counter() - began < 60  # hours before windows skipped repeats
+
+
+def test_secrets_without_a_source(spark):
+    rows = spark.createDataFrame([(1, "password=9f8e7d6c5b4a39281f"), (2, None)], "doc_id long, text string")
+    assert [r.doc_id for r in secrets.scan_secrets(rows, secrets.train()).collect()] == [1]
+
+
+def test_many_shards_give_one_result(spark, make, words):
+    import random
+
+    r = random.Random(4)
+    passages = [" ".join(r.choice(words) for _ in range(14)) for _ in range(12)]
+    docs = make([(k, f"{' '.join(r.choice(words) for _ in range(20))} {passages[k % 12] if k % 3 else ''} tail") for k in range(40)])
+    benchmark = spark.createDataFrame([(f"i{k}", p) for k, p in enumerate(passages)], "item_id string, text string")
+    one, many = ({tuple(x)[:6] for x in decontaminate.decontaminate(docs, benchmark, shard_words=n).drop("spans").collect()} for n in (10**6, 40))
+    assert one == many and sum(x[5] for x in one) == 26
+    kept = [sorted(x.doc_id for x in decontaminate.keep_clean(docs, benchmark, shard_words=n).collect()) for n in (10**6, 40)]
+    assert kept[0] == kept[1] == [k for k in range(40) if k % 3 == 0]
