@@ -104,7 +104,7 @@ def accuracy_by_current_version(spark: SparkSession, d: str) -> DataFrame:
     return accuracy_by_type(samples, runs, current)
 
 
-@query("select user_id, to_json(list({'event': event_id, 'kind': event_type, 'k': (props->>'k')::int} order by event_id)) as rebuilt from events group by 1")
+@query("select user_id, to_json(list({'event': event_id, 'kind': event_type, 'k': (props->>'k')::int} order by event_id))::varchar as rebuilt from events group by 1")
 def json_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     """A user's events as one JSON array, in order."""
     item = F.struct(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"))
