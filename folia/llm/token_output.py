@@ -30,30 +30,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._pieces import encoder, vocabulary
+from ._pieces import encoder, slices, vocabulary
 from ._util import partitions_for, stored, table, text_only
 
 SHARD_TOKENS = 2_000_000
 LEAST = 24
 A_ROUND = 4096
-GRID = 1 << 24
+SLOTS = 18
 
 
-def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int, most: int):
-    """Replace the frequent pairs of one round; None when there are none."""
+class _Chain:
+    """Symbols in a row of which some are gone: how far it is to the next one and back, and where a frequent pair may begin."""
+
+    def __init__(self, seq: np.ndarray, last: np.ndarray):
+        self.seq, self.last, self.open = seq.copy(), last.copy(), ~last
+        self.step, self.back, self.gone = np.ones(len(seq), np.int32), np.ones(len(seq) + 1, np.int32), np.zeros(len(seq), bool)
+        self.back[0] = 0
+
+    def replace(self, place: np.ndarray, new: np.ndarray) -> None:
+        """The pairs that begin at `place` become new symbols."""
+        second = place + self.step[place]
+        after = second + self.step[second]
+        self.seq[place], self.last[place], self.gone[second] = new, self.last[second], True
+        self.step[place] = self.back[after] = after - place
+        before = place - self.back[place]
+        self.open[second] = False
+        for k in (place, before):
+            self.open[k] = ~self.last[k]
+
+
+def _round(chain: _Chain, rules: list, base: int, least: int, most: int) -> bool:
+    """Replace the frequent pairs of one round; False when there are none.
+
+    No pair is met more often than before unless it holds a new symbol, so after a round only the
+    places of what was frequent and those beside new symbols stay open.
+    """
     kind, bits = (np.uint32, 16) if base + len(rules) <= 1 << 16 else (np.uint64, 32)  # symbols are below 2 ** bits
-    pair = seq[:-1].astype(kind) << kind(bits) | seq[1:].astype(kind)
-    keys = np.sort(pair[~last[:-1]])
-    if not len(keys):
-        return None
+    at = np.flatnonzero(chain.open)
+    if not len(at):
+        return False
+    pair = chain.seq[at].astype(kind) << kind(bits) | chain.seq[at + chain.step[at]].astype(kind)
+    keys = np.sort(pair)
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     n = np.diff(np.append(edge, len(keys)))
     often = np.flatnonzero(n >= least)
     if not len(often):
-        return None
-    often = often[np.argsort(-n[often], kind="stable")][:most]
+        return False
+    frequent = keys[edge[often]]
     lefts, rights, chosen = set(), set(), []
-    for k in keys[edge[often]].tolist():
+    for k in frequent[np.argsort(-n[often], kind="stable")][:most].tolist():
         a, b = k >> bits, k & ((1 << bits) - 1)
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
@@ -61,52 +86,47 @@ def _round(seq: np.ndarray, last: np.ndarray, rules: list, base: int, least: int
         rights.add(b)
         chosen.append(k)
     picked = np.array(sorted(chosen), kind)
-    # a grid of left by right symbols tells a place's rule with two look-ups
-    size = int(seq.max()) + 1
-    left, right = picked >> kind(bits), picked & kind((1 << bits) - 1)
-    rows, columns = np.unique(left), np.unique(right)
-    row, column = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    row[rows], column[columns] = np.arange(len(rows)), np.arange(len(columns))
-    a, b = row[seq[:-1]], column[seq[1:]]
-    at = np.flatnonzero((a >= 0) & (b >= 0) & ~last[:-1])
-    if len(rows) * len(columns) <= GRID:
-        grid = np.full(len(rows) * len(columns), -1, np.int32)
-        grid[row[left].astype(np.int64) * len(columns) + column[right]] = np.arange(len(picked))
-        where = grid[a[at].astype(np.int64) * len(columns) + b[at]]
-        hit = where >= 0
-    else:
-        where = np.searchsorted(picked, pair[at])
-        hit = picked[np.minimum(where, len(picked) - 1)] == pair[at]
-    at, where = at[hit], where[hit]
-    twin = np.flatnonzero(np.diff(at) == 1)
-    if len(twin):  # only a pair of equal ids can overlap itself: take every other one of a run
-        start = np.concatenate(([True], np.diff(at) != 1))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - first) % 2 == 0
-        at, where = at[even], where[even]
-    new = seq.copy()
-    new[at] = base + len(rules) + where
-    keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    ends = last.copy()
-    ends[at] = last[at + 1]
+
+    def slot(pairs: np.ndarray) -> np.ndarray:
+        return pairs * kind(0x9E3779B1) >> kind(2 * bits - SLOTS)
+
+    # a place's slot tells whether its pair is frequent (1) or which rule it may get; the few that share a slot are searched
+    table = np.zeros(1 << SLOTS, np.int16)
+    table[slot(frequent)] = 1
+    table[slot(picked)] = np.arange(len(picked)) + 2
+    mark = table[slot(pair)]
+    chain.open[at] = mark > 0
+    near = np.flatnonzero(mark > 1)
+    place, met, where = at[near], pair[near], mark[near] - 2
+    other = np.flatnonzero(picked[where] != met)
+    where[other] = np.minimum(np.searchsorted(picked, met[other]), len(picked) - 1)
+    if len(none := other[picked[where[other]] != met[other]]):
+        place, where = np.delete(place, none), np.delete(where, none)
+    start = np.concatenate(([True], place[1:] != place[:-1] + chain.step[place[:-1]]))
+    if not start.all():  # only a pair of equal ids can overlap itself: take every other one of a run
+        first = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
+        even = (np.arange(len(place)) - first) % 2 == 0
+        place, where = place[even], where[even]
+    chain.replace(place, base + len(rules) + where.astype(np.uint32))
     rules.extend((k >> bits, k & ((1 << bits) - 1)) for k in picked.tolist())
-    return new[keep], ends[keep]
+    return True
 
 
 def compress(seq: np.ndarray, last: np.ndarray, base: int, least: int = LEAST):
-    """Symbols, ends of documents among them, and rules; in the end no pair is met `least` times."""
+    """Symbols, ends of documents among them (the last symbol is one), and rules; in the end no pair is met `least` times."""
     rules: list[tuple[int, int]] = []
-    while len(seq) > 1 and (made := _round(seq, last, rules, base, least, A_ROUND)):
-        seq, last = made
-    return seq, last, rules
+    chain = _Chain(seq, last)
+    while _round(chain, rules, base, least, A_ROUND):
+        pass
+    kept = np.flatnonzero(~chain.gone)
+    return chain.seq[kept], chain.last[kept], rules
 
 
 def lengths_of(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(len(left), np.int64)
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    out: list[int] = []
+    for a, b in zip(left.tolist(), right.tolist()):
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.int64)
 
 
 def write_shard(doc_ids: list, ids: list[np.ndarray], base: int) -> bytes:
@@ -141,27 +161,22 @@ class Shard:
         self.doc_ids, self.first = take("<i8", n_docs), take("<u4", n_docs + 1)
         self.left, self.right, self.lengths = take("<u4", n_rules), take("<u4", n_rules), take("<u4", n_rules).astype(np.int64)
         self.symbols = np.frombuffer(blob, f"<u{width}", -1, at)
-        self.flat = np.zeros(int(self.lengths.sum()), np.uint32)
-        self.start = np.concatenate(([0], np.cumsum(self.lengths)))
-        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
-            p = self.start[i]
+        # the ids of every symbol in a row: of ids themselves, then of rules
+        self.size = np.concatenate((np.ones(self.base, np.int64), self.lengths))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.arange(self.size.sum(), dtype="<u4")
+        at, size = self.start.tolist(), self.size.tolist()
+        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist()), self.base):
+            p = at[i]
             for s in (a, b):
-                n = self.lengths[s - self.base] if s >= self.base else 1
-                self.flat[p : p + n] = self.flat[self.start[s - self.base] :][:n] if s >= self.base else s
-                p += n
+                self.flat[p : p + size[s]] = self.flat[at[s] : at[s] + size[s]]
+                p += size[s]
 
     def _expand(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of symbols, and how many each symbol stands for."""
-        s = s.astype(np.int64)
-        rule = s >= self.base
-        r = np.where(rule, s - self.base, 0)
-        n = np.where(rule, self.lengths[r], 1) if len(self.lengths) else np.ones(len(s), np.int64)
-        out = np.repeat(s, n)
-        if rule.any():
-            within = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-            inner = np.repeat(rule, n)
-            out[inner] = self.flat[np.repeat(self.start[r], n)[inner] + within[inner]]
-        return out.astype("<u4"), n
+        n = self.size[s]
+        end = np.cumsum(n)
+        return self.flat[np.repeat(self.start[s] - end + n, n) + np.arange(n.sum())], n
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document, without decoding the others."""
@@ -179,7 +194,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, end_id: int = 2, shard_toke
 
     def shards(batches):
         enc, part, block = encoder(vocabulary_path), TaskContext.get().partitionId(), 0
-        base, end = enc.tokenizer.get_vocab_size(), np.array([end_id], "<u4").tobytes()
+        base = enc.tokenizer.get_vocab_size()
         who: list = []
         ids: list[np.ndarray] = []
         held = 0
@@ -188,14 +203,16 @@ def write_ids(docs: DataFrame, vocabulary_path: str, end_id: int = 2, shard_toke
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.int64()), pa.array([write_shard(who, ids, base)], pa.binary())], names=["part", "block", "n_tokens", "shard"])
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                x = np.frombuffer(enc.encode([t.as_py()])[0] + end, "<u4")
-                if who and held + len(x) > shard_tokens:
-                    yield row()
-                    who, ids, held, block = [], [], 0, block + 1
-                who.append(d)
-                ids.append(x)
-                held += len(x)
+            for some in slices(b, "text"):
+                flat, at = enc.flat(some.column("text"))
+                flat, at = np.insert(flat, at[1:], end_id), (at + np.arange(len(at))).tolist()
+                for d, first, end in zip(some.column("doc_id").to_pylist(), at, at[1:]):
+                    if who and held + end - first > shard_tokens:
+                        yield row()
+                        who, ids, held, block = [], [], 0, block + 1
+                    who.append(d)
+                    ids.append(flat[first:end])
+                    held += end - first
         if who:
             yield row()
 

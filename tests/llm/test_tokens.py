@@ -1,11 +1,13 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from folia.llm import packing, token_counts, token_output
+from folia.llm import _pieces, packing, token_counts, token_output
 from folia.llm._pieces import PieceEncoder, vocabulary
 
 BPE, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -119,3 +121,62 @@ def test_grammar_runs_until_no_pair_is_frequent():
             return [s] if s < base else [x for p in rules[s - base] for x in expand(p)]
 
         assert [x for s in out.tolist() for x in expand(s)] == seq.tolist()
+
+
+@pytest.mark.parametrize("path", [BPE, WORDS])
+def test_arrays_of_texts_equal_the_library(path):
+    """Texts of an array are cut by their bytes, in one piece or by slices; ids are the library's."""
+    r, letters = random.Random(7), "aZst1 \n\n\t'''revlmd_²ªº\xa0 　中́.,é×½٣ \x1c😀!"
+    texts = ["", "  a  b", "x <|endoftext|> y", "it 's don't they'll we've 'sup ''s '", " lead", "trail ", "a \n", "\n", " ", "'", "'s", "'r", "b\n\n c\n\nd", "İ ß", "", "w" * 300, "\U0001f600 '", "é's x"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    want = ids(path, texts)
+    for known in (False, True):
+        enc = PieceEncoder(path)
+        for _ in range(1 + known):
+            flat, at = enc.flat(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    part = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    flat, at = PieceEncoder(path).flat(part)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert [x.tolist() for x in PieceEncoder(path).flat(pa.array([], pa.string()))] == [[], [0]] and PieceEncoder(path).flat(pa.array(["", ""]))[1].tolist() == [0, 0, 0]
+
+
+def test_known_pieces_stay_few(monkeypatch):
+    """A full cache becomes the older one; ids stay the same, and a pre-token in use isn't encoded again."""
+    monkeypatch.setattr(_pieces, "CACHE", 200)
+    enc = PieceEncoder(BPE)
+    asked = []
+    for k in range(30):
+        texts = [f"common words and {' '.join(f'q{k}z{i}' for i in range(40))}", "x" * 60]
+        flat, at = enc.flat(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == ids(BPE, texts)
+        asked.append(b" common" in enc.known or b"common" in enc.known)
+    assert all(asked) and len(enc.known) + len(enc.older) < 600 and b"x" * 60 not in enc.known
+
+
+def test_slices_hold_all_rows():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(9)), "text": ["", "abc", "d" * 50, "", "é" * 4, "x", "yy", "", "z" * 9]})
+    for size in (1, 8, 10, 1000):
+        parts = list(_pieces.slices(batch, "text", size))
+        assert pa.Table.from_batches(parts).column("n").to_pylist() == list(range(9))
+        assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p.column("text").to_pylist()) <= size for p in parts)
+
+
+def test_re_pair_counts_open_places_only():
+    """After a round only places that may hold a frequent pair are counted; the grammar is that of counting all."""
+    r = np.random.default_rng(4)
+    for base, n in ((40, 6_000), (65_530, 6_000)):
+        seq = np.minimum(r.geometric(0.25, n), base - 1).astype(np.uint32)
+        last = r.random(n) < 0.01
+        last[-1] = True
+        chain, rules, counted = token_output._Chain(seq, last), [], []
+        while True:
+            kept = np.flatnonzero(~chain.gone)
+            pairs = Counter((a, b) for a, b, e in zip(chain.seq[kept].tolist(), chain.seq[kept][1:].tolist(), chain.last[kept]) if not e)
+            at = np.flatnonzero(chain.open)
+            some = Counter(zip(chain.seq[at].tolist(), chain.seq[at + chain.step[at]].tolist()))
+            assert {p: k for p, k in pairs.items() if k >= token_output.LEAST} == {p: k for p, k in some.items() if k >= token_output.LEAST}
+            counted.append(len(at))
+            if not token_output._round(chain, rules, base, token_output.LEAST, token_output.A_ROUND):
+                break
+        assert len(counted) > 3 and counted[-1] < len(kept)
