@@ -28,6 +28,25 @@ def test_repeats_against_brute_force(make, dirty):
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_planted_passages_are_judged_by_their_bytes(make):
+    """Of passages of over 50 words in two documents each, those of 400 bytes or more lose bytes and shorter ones none."""
+    import random
+
+    r = random.Random(14)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    rows, repeats = [], set()
+    for k in range(60):
+        passage = " ".join(word(r.randrange(8, 10) if k % 2 else r.randrange(4, 6)) for _ in range(r.randrange(51, 60)))
+        assert (len(passage) >= 400) == bool(k % 2)
+        for d in (3 * k, 3 * k + 1):
+            rows.append((d, f"{word(30)} {passage} {word(30)}"))
+            repeats |= {d} if k % 2 else set()
+        rows.append((3 * k + 2, word(600)))
+    got = suffix_dedup.remove_repeats(make(rows)).collect()
+    assert {x.doc_id for x in got if x.n_removed} == repeats
+    assert {x.doc_id: x.n_bytes for x in got} == {d: len(t) for d, t in rows}
+
+
 def test_suffix_sort_orders_and_verifies():
     r = np.random.default_rng(3)
     data = r.integers(97, 99, 4_000).astype(np.uint8)
