@@ -146,7 +146,7 @@ def candidates(rows: DataFrame, sizes: tuple[int, int], threshold: float, before
     kept = wide.withColumn("others", F.filter("others", good)).where("size(others) > 0").select("rep", "bits", F.explode("others").alias("o"))
     alike = likeness(F.col("o.bits"), F.col("bits"), n_hashes)
     pairs = kept.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"), alike.alias("alike"))
-    return stored(pairs.groupBy("a", "b").agg(F.first("alike").alias("alike")), "near-pairs")
+    return stored(pairs.groupBy("a", "b").agg(F.first("alike").alias("alike")), "near-pairs", few=True)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -180,7 +180,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     met = pairs.select("a", "b").join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return stored(met.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links", batch=256)
+    return stored(met.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links", batch=256, few=True)
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
     says that the row's root isn't the commonest of x."""
     rooted = rows.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     keys = rooted.groupBy("table").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("all") > 1 + FARTHER) & (F.col("least") < F.col("most"))).select("table")
-    at = stored(rooted.join(keys, "table").groupBy("x", "rep").agg(*[F.first(c).alias(c) for c in ("n", "bits", "root")]), "near-open")
+    at = stored(rooted.join(keys, "table").groupBy("x", "rep").agg(*[F.first(c).alias(c) for c in ("n", "bits", "root")]), "near-open", few=True)
     top = at.groupBy("x", "root").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("size")).groupBy("x").agg(F.sum("size").alias("all"), F.max(F.struct("held", "root", "size")).alias("top"))
     whole, blocks = F.col("all") <= 2 * BLOCK, lambda n: F.ceil(n / F.lit(BLOCK))
     top = top.select("x", F.col("top.root").alias("top"), F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("top.size")))).alias("outer"), F.when(whole, 0).otherwise(blocks(F.col("top.size"))).alias("inner"))
@@ -198,7 +198,7 @@ def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
     # rows of the commonest root never meet each other
     last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
     met = at.join(top, "x").select("x", "rep", "n", "bits", "root", outside.cast("long").alias("outside"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    return stored(met.select("x", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "root", "block", "outside", "bits"), "near-blocks")
+    return stored(met.select("x", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "root", "block", "outside", "bits"), "near-blocks", few=True)
 
 
 def crowded_links(rows: DataFrame, sets: DataFrame, sizes: tuple[int, int], percent: int) -> DataFrame:
@@ -263,7 +263,7 @@ def crowded_links(rows: DataFrame, sets: DataFrame, sizes: tuple[int, int], perc
             yield from _links(meet(rest))
 
     dealt = rows.join(sets.toDF("rep", "grams"), "rep").repartition("x", "lo", "hi").sortWithinPartitions("x", "lo", "hi")
-    return stored(dealt.select(*plain, "bits", "grams").mapInArrow(links, "a long, b long"), "near-links", batch=256)
+    return stored(dealt.select(*plain, "bits", "grams").mapInArrow(links, "a long, b long"), "near-links", batch=256, few=True)
 
 
 def _links(found):
@@ -313,17 +313,17 @@ def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, k: int, p
     """Confirms pairs, likeliest first, as long as they would join components; all links and the roots."""
     full = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     likeliest = Window.partitionBy("b").orderBy(F.desc("alike"), "a")
-    left, take = stored(pairs.withColumn("turn", F.row_number().over(likeliest)), "near-left"), FIRST
+    left, take = stored(pairs.withColumn("turn", F.row_number().over(likeliest)), "near-left", few=True), FIRST
     roots = components(links) if links is not None else None
     while True:
         more = confirm(left.where(F.col("turn") <= take), full, percent)
         if links is None or more.limit(1).count():
-            links = more if links is None else stored(links.union(more), "near-links")
+            links = more if links is None else stored(links.union(more), "near-links", few=True)
             roots = components(links)
         rest = left.where(F.col("turn") > take).select("a", "b", "alike")
         joined = rest.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
         apart = joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "alike")
-        left, take = stored(apart.withColumn("turn", F.row_number().over(likeliest)), "near-left"), take * GROWTH
+        left, take = stored(apart.withColumn("turn", F.row_number().over(likeliest)), "near-left", few=True), take * GROWTH
         if not left.limit(1).count():
             return links, roots
 
@@ -331,7 +331,7 @@ def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, k: int, p
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the first of its component) for every document."""
     with scratch(docs.sparkSession) as result:
-        return result(_near_duplicates(docs, percent, k), "near-duplicates")
+        return result(_near_duplicates(docs, percent, k), "near-duplicates", few=True)
 
 
 def _near_duplicates(docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -340,8 +340,8 @@ def _near_duplicates(docs: DataFrame, percent: int, k: int) -> DataFrame:
     named = sets.where("n > 0 and doc_id is not null")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("bits").alias("bits"))
     firsts = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = stored(looked_up(named.select("doc_id", "digest"), "digest", firsts, by="doc_id").select("doc_id", "rep").distinct(), "near-members")
-    nodes = stored(classes.select("rep", "n", "halves", "bits"), "near-nodes")
+    members = stored(looked_up(named.select("doc_id", "digest"), "digest", firsts, by="doc_id").select("doc_id", "rep").distinct(), "near-members", few=True)
+    nodes = stored(classes.select("rep", "n", "halves", "bits"), "near-nodes", few=True)
     tables = table_rows(nodes, sizes)
     links, roots = linked(candidates(tables, sizes, percent / 100, (1,)), None, docs, k, percent)
     release(docs.sparkSession)
@@ -353,7 +353,7 @@ def _near_duplicates(docs: DataFrame, percent: int, k: int) -> DataFrame:
         release(docs.sparkSession)
         more = crowded_links(crowded, full_sets(docs, crowded.select(F.col("rep").alias("doc_id")).distinct(), k), sizes, percent)
         if more.limit(1).count():
-            roots = components(stored(links.union(more), "near-links"))
+            roots = components(stored(links.union(more), "near-links", few=True))
     home = members.join(roots.toDF("rep", "root"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(home, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

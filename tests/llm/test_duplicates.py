@@ -111,6 +111,38 @@ def test_chain_of_near_copies(make, words):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(make(rows), 85).collect()} == want
 
 
+def test_narrow_tables_take_few_files(spark, make, words, monkeypatch):
+    """With many partitions, each task of each step wrote a file; only full sets, table rows and roots still do."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for d in range(400):
+        text = [r.choice(words) for _ in range(60)] if d % 4 == 0 else text
+        rows.append((d, " ".join([*text[:-1], f"end{d}"])))
+    files, store = {}, near_dup.stored
+
+    def counted(df, name, *more, **named):
+        out = store(df, name, *more, **named)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(make(rows), 85).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == components(rows, 85)
+    most = max(spark.sparkContext.defaultParallelism, 64 // 32)
+    assert {"near-members", "near-nodes", "near-pairs", "near-left", "near-links"} <= files.keys()
+    assert all(n <= most for name, n in files.items() if name not in ("near-sets", "near-tables", "near-full", "near-roots"))
+
+
 def test_keep_first_and_empty(make, dirty):
     kept = near_dup.keep_first(make(dirty), 80)
     assert kept.columns == make(dirty).columns
