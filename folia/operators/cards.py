@@ -89,13 +89,28 @@ def joined_summary(parts: Column, words: int) -> Column:
     return F.aggregate(parts, F.lit(""), join)
 
 
+def plain_number(number: Column) -> Column:
+    """A double's shortest digits without an exponent, and without a point where it is whole."""
+
+    def placed(s: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(s, r"([\d.]+)E", 1), r"\.0$|\.", "")
+        power = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
+        body = (
+            F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+            .when(F.length(digits) > power + 1, F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+            .otherwise(F.rpad(digits, power + 1, "0"))
+        )
+        return F.when(power.isNull(), F.regexp_replace(s, r"\.0$", "")).otherwise(F.concat(F.regexp_extract(s, "^-?", 0), body))
+
+    return T.let(number.cast("string"), placed)
+
+
 def value_text(value: Column) -> Column:
     """A JSON scalar as a user reads it: text as it is, whole numbers without a point, else its JSON form; null for null."""
     v = F.try_parse_json(value)
     kind = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    whole = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
-    return F.when(kind == "VOID", F.lit(None).cast("string")).when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), whole).otherwise(value)
+    number = plain_number(F.try_variant_get(v, "$", "double"))
+    return F.when(kind == "VOID", F.lit(None).cast("string")).when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), number).otherwise(value)
 
 
 # -- queries ---------------------------------------------------------------------------------

@@ -34,6 +34,12 @@ def test_summaries_and_values(spark):
     assert got == ["a", "3", "2.5", "true", None, "12345678901"]
 
 
+def test_large_and_small_numbers_have_no_exponent(spark):
+    want = {"12500002.5": "12500002.5", "-12500002.5": "-12500002.5", "1.5e7": "15000000", "2.5e-7": "0.00000025", "0.001": "0.001", "10000000.0": "10000000", "123456789012.25": "123456789012.25", "1e40": "1" + "0" * 40, "-0.5": "-0.5", "0": "0"}
+    got = {r.j: r.v for r in spark.createDataFrame([(x,) for x in want], "j string").select("j", cards.value_text(F.col("j")).alias("v")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize(
     ("change", "fault"),
     [(('"name": "orders"', '"name": "Or ders"'), "name:"), (('"upper_trim"', '"odd"'), "no form"), (('"^[1-5]-[A-Z ]+$"', '"["'), "code:"), (('[{"name": "F"}, {"name": "O"}]', '[{"name": "F"}]'), "opens_with: no label 'O'"), (('"type": "date"', '"type": "x"'), "no type"), (("{", "["), "not JSON")],
