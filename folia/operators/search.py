@@ -124,7 +124,7 @@ def headline(text: Column, q: str) -> Column:
 def maybe_fuzzy(text: Column, q: str, least: float) -> Column:
     """A necessary condition that built-ins can test: enough of the query's trigrams occur in the text at all."""
     grams = sorted(P.trigrams(q))
-    padded = F.concat(F.lit(" "), F.regexp_replace(T.unaccent(text), r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
+    padded = F.concat(F.lit("  "), F.regexp_replace(T.unaccent(text), r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
     met = sum((F.contains(padded, F.lit(g)).cast("int") for g in grams[1:]), F.contains(padded, F.lit(grams[0])).cast("int")) if grams else F.lit(0)
     return met >= least * len(grams)
 

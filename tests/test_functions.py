@@ -188,3 +188,10 @@ def test_region_classes():
     from folia.operators.layout import CLASSES
 
     assert (CLASSES["seal"], CLASSES["chart"], CLASSES["footnote"], CLASSES["table_title"], CLASSES.get("other", "unknown")) == ("figure", "figure", "footnote", "caption", "unknown")
+
+
+def test_lines_that_begin_with_a_wanted_word_are_not_left_out(spark):
+    """Seven of the query's seventeen trigrams, the first of them at the start of the line."""
+    lines = spark.createDataFrame([(1, 1, "MIT tex"), (1, 2, "(mit tex"), (1, 3, "a mit tex"), (1, 4, "mit te")], "doc_id long, line_no long, line string")
+    got = {r.line_no: r.score for r in search.line_hits(lines, "MIT Licence text", 0.4).collect()}
+    assert got == {k: 7 / 17 for k in (1, 2, 3)}
