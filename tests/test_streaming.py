@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folia.streaming import streams
@@ -38,3 +39,39 @@ def test_completions_emit_once_and_drop_old_generations(spark, tmp_path):
     s = spark.readStream.schema(schema).parquet(str(tmp_path / "p"))
     got = {tuple(r) for r in run(streams.completions(s), "c1", "append").collect()}
     assert got == {(1, 1, 2, 1), (2, 2, 1, 0)}
+
+
+def test_page_counts_equal_a_plain_count(spark):
+    """Batches of pages against one document at a time, in a dictionary; a call takes the pages of many documents."""
+    rng = np.random.default_rng(7)
+    state = {k: np.array([], kind) for k, kind in streams._KINDS.items()}
+    plain = {}
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        columns = [rng.integers(-3, 9, n), rng.integers(1, 4, n).astype("i4"), rng.integers(-1, 4, n).astype("i4"), rng.integers(0, 6, n).astype("i4"), rng.random(n) < 0.7]
+        state, done = streams.count_pages(state, *columns)
+        for doc, gen, page, wanted, ok in zip(*(c.tolist() for c in columns), strict=True):
+            p = plain.setdefault(doc, {"gen": -1})
+            if gen > p["gen"]:
+                p |= {"gen": gen, "wanted": wanted, "seen": {}, "closed": False}
+            if gen == p["gen"] and not p["closed"]:
+                p["seen"].setdefault(page, ok)
+        want = set()
+        for doc, p in plain.items():
+            if not p["closed"] and len(p["seen"]) >= p["wanted"] > 0:
+                p["closed"] = True
+                want.add((doc, p["gen"], len(p["seen"]), sum(not x for x in p["seen"].values())))
+        assert {tuple(map(int, r)) for r in zip(*done, strict=True)} == want
+    assert sorted(state["done"]) == sorted(d for d, p in plain.items() if p["closed"])
+
+
+def test_completions_take_few_calls_for_many_documents(spark, tmp_path):
+    """A call of Python a document took most of the time; state goes on from batch to batch, rows without a document count as one."""
+    schema = "doc_id long, gen int, page_no int, page_count int, ok boolean"
+    for page in (1, 2):
+        rows = spark.range(3000).selectExpr("if(id = 0, null, id) as doc_id", "1 as gen", f"{page} as page_no", "2 as page_count", "id % 5 > 0 as ok")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p"))
+    df = streams.completions(s, buckets=8)
+    got = run(df, "c2", "append").collect()
+    assert {tuple(r) for r in got} == {(k or None, 1, 2, 2 * (k % 5 == 0)) for k in range(3000)} and len(got) == 3000
