@@ -41,8 +41,9 @@ def form_regions(cells: DataFrame) -> DataFrame:
     named = (F.col("shown") != "") & F.col("bordered")
     rows = shown.where(named).groupBy("form", "row").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("first_col"), F.max("right").alias("last_col")).where("n >= 2")
     head = rows.groupBy("form").agg(F.min_by(F.struct(F.col("row").alias("header_top"), "first_col", "last_col"), "row").alias("h")).select("form", "h.*")
-    title = shown.join(head.select("form", "header_top"), "form").where("row < header_top and own <> ''").groupBy("form").agg(F.min_by(T.collapse_space(F.col("own")), F.struct("row", "col")).alias("title"))
-    inside = shown.join(head, "form").where("col between first_col and last_col and row >= header_top")
+    # a row a form, so never broadcast; one join serves the title above the header as well
+    placed = shown.join(head.hint("merge"), "form")
+    inside = placed.where("(col between first_col and last_col and row >= header_top) or (row < header_top and own <> '')")
     width = F.col("last_col") - F.col("first_col") + 1
     totals = F.min(F.when(T.normalize(F.col("own")).rlike(TOTAL), F.col("col")))
     by = inside.groupBy("form", "header_top", "first_col", "last_col", "row").agg(
@@ -53,6 +54,7 @@ def form_regions(cells: DataFrame) -> DataFrame:
         F.bool_or(F.col("own") != "").alias("written"),
         _first_total("own").alias("total"),
         totals.alias("total_col"),
+        F.min_by(T.collapse_space(F.col("own")), F.when((F.col("row") < F.col("header_top")) & (F.col("own") != ""), F.col("col"))).alias("title"),
     )
     form = Window.partitionBy("form")
     lowest = F.max(F.when(F.col("row") == F.col("header_top"), F.col("reach"))).over(form)
@@ -65,8 +67,9 @@ def form_regions(cells: DataFrame) -> DataFrame:
     below = below.withColumn("stop", F.coalesce(last, F.col("end") + 1))
     at = F.col("framed") & F.col("total") & (F.col("row") == F.col("stop"))
     keys = ["form", "header_top", "header_bottom", "first_col", "last_col", "stop"]
-    out = below.groupBy(*keys).agg(F.max(F.when(at, F.col("row"))).alias("total_row"), F.max(F.when(at, F.col("total_col"))).alias("total_col"))
-    return out.join(title, "form", "left").select("form", "title", "header_top", "header_bottom", "first_col", "last_col", (F.col("stop") - F.col("header_bottom") - 1).alias("data_rows"), "total_row", "total_col")
+    title = F.min_by("title", F.when(F.col("row") < F.col("header_top"), F.col("row"))).alias("title")
+    out = below.groupBy(*keys).agg(F.max(F.when(at, F.col("row"))).alias("total_row"), F.max(F.when(at, F.col("total_col"))).alias("total_col"), title)
+    return out.select("form", "title", "header_top", "header_bottom", "first_col", "last_col", (F.col("stop") - F.col("header_bottom") - 1).alias("data_rows"), "total_row", "total_col")
 
 
 def form_placeholders_of(cells: DataFrame, regions: DataFrame) -> DataFrame:

@@ -28,3 +28,18 @@ def test_merged_headers_and_blanks(spark):
 
 def test_no_cells(spark):
     assert form_regions(frame(spark)).collect() == []
+
+
+def test_cells_beside_and_above_the_table(spark):
+    """Titles right of the table count, texts below and beside it don't; of several the first by row, then by column."""
+    a = form("a", [["", "", "", "far"], ["", "near", "", "x"], ["", "|p", "|q", ""], ["", "|", "|", "note"], ["", "", "", "end"]])
+    got = {r.form: tuple(r)[1:] for r in form_regions(frame(spark, a)).collect()}
+    assert got == {"a": ("far", 3, 3, 2, 3, 1, None, None)}
+
+
+def test_no_table_of_forms_is_broadcast(spark):
+    """A row a form has no bound; Spark's usual threshold took them to the driver."""
+    df = form_regions(frame(spark, *[form(str(k), [["t"], ["|p", "|q"], ["|", "|"]]) for k in range(20)]))
+    assert df.count() == 20 and df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
