@@ -101,14 +101,18 @@ def cover_rank(text: Column, q: str) -> Column:
     return rank(text)
 
 
-def fuzzy(text: Column, q: str) -> Column:
-    """Word similarity to the query."""
+def fuzzy(text: Column, q: str, least: float = 0.0, whole: Column | None = None) -> Column:
+    """Word similarity to the query. What is below `least` may come as 0, but where `whole` holds."""
 
     @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: P.word_similarity(q, t or ""))
+    def score(s: pd.Series, always: pd.Series) -> pd.Series:
+        texts = s.fillna("")
+        out = pd.Series(0.0, s.index)
+        out[always] = [P.word_similarity(q, t) for t in texts[always]]
+        out[~always] = P.word_similarities(q, texts[~always].tolist(), least)
+        return out
 
-    return score(text)
+    return score(text, F.lit(least <= 0) if whole is None else F.coalesce(whole, F.lit(False)))
 
 
 def headline(text: Column, q: str) -> Column:
@@ -124,16 +128,18 @@ def headline(text: Column, q: str) -> Column:
 def maybe_fuzzy(text: Column, q: str, least: float) -> Column:
     """A necessary condition that built-ins can test: enough of the query's trigrams occur in the text at all."""
     grams = sorted(P.trigrams(q))
+    if not grams:
+        return F.lit(least <= 0)
     padded = F.concat(F.lit("  "), F.regexp_replace(T.unaccent(text), r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
-    met = sum((F.contains(padded, F.lit(g)).cast("int") for g in grams[1:]), F.contains(padded, F.lit(grams[0])).cast("int")) if grams else F.lit(0)
-    return met >= least * len(grams)
+    # a filter shares no parts of its condition: without let the text is cut anew for each trigram
+    return T.let(padded, lambda p: sum((F.contains(p, F.lit(g)).cast("int") for g in grams[1:]), F.contains(p, F.lit(grams[0])).cast("int")) >= least * len(grams))
 
 
 def section_hits(sections: DataFrame, q: str, top: int = 50) -> DataFrame:
     """Rank + half the exact rank + 0.3 word similarity, over sections that match or are similar enough."""
     exact = F.contains(T.normalize(F.col("text")), T.normalize(F.lit(q)))
     some = sections.withColumn("_m", matches_text(F.col("text"), q)).where(F.col("_m") | maybe_fuzzy(F.col("text"), q, 0.6))
-    scored = some.withColumn("_rank", cover_rank(F.col("text"), q)).withColumn("_sim", fuzzy(F.col("text"), q))
+    scored = some.withColumn("_rank", cover_rank(F.col("text"), q)).withColumn("_sim", fuzzy(F.col("text"), q, 0.6, F.col("_m")))
     kept = scored.where(F.col("_m") | (F.col("_sim") >= 0.6))
     score = F.col("_rank") + 0.5 * F.when(exact, F.col("_rank")).otherwise(0.0) + 0.3 * F.col("_sim")
     keys = [c for c in sections.columns if c != "text"]
@@ -175,7 +181,7 @@ def line_hits(lines: DataFrame, q: str, least: float = 0.5) -> DataFrame:
     """1 for lines that contain the query, else word similarity from `least` up."""
     has = T.contains_fold(F.col("line"), F.lit(q))
     some = lines.where(has | maybe_fuzzy(F.col("line"), q, least))
-    return some.withColumn("score", F.when(has, F.lit(1.0)).otherwise(fuzzy(F.col("line"), q))).where(F.col("score") >= least)
+    return some.withColumn("score", F.when(has, F.lit(1.0)).otherwise(fuzzy(F.col("line"), q, least))).where(F.col("score") >= least)
 
 
 def keyword_search(sections: DataFrame, lines: DataFrame, q: str, top: int = 10) -> DataFrame:

@@ -195,3 +195,21 @@ def test_lines_that_begin_with_a_wanted_word_are_not_left_out(spark):
     lines = spark.createDataFrame([(1, 1, "MIT tex"), (1, 2, "(mit tex"), (1, 3, "a mit tex"), (1, 4, "mit te")], "doc_id long, line_no long, line string")
     got = {r.line_no: r.score for r in search.line_hits(lines, "MIT Licence text", 0.4).collect()}
     assert got == {k: 7 / 17 for k in (1, 2, 3)}
+
+
+def test_similarities_of_many_texts_equal_one_at_a_time():
+    rng = random.Random(3)
+    words = ["a", "ab", "mit", "licence", "license", "text", "tex", "li", "té", "x", "licenc", "mitt", "ngữ"]
+    for _ in range(300):
+        texts = [" ".join(rng.choice(words[: rng.randint(1, 13)]) for _ in range(rng.randint(0, rng.choice((1, 8, 30, 300))))) for _ in range(3)]
+        q, least = rng.choice(("MIT Licence text", "license", "a", "ab li")), rng.choice((0.2, 0.4, 0.5, 0.6, 1.0))
+        for t, got in zip(texts, P.word_similarities(q, texts, least), strict=True):
+            want = P.word_similarity(q, t)
+            assert got == want if want >= least else got in (0.0, want)
+    assert P.word_similarities("MIT", ["", "x"], 0.5) == [0.0, 0.0]
+
+
+def test_long_texts_that_are_unlike_are_left_out_at_once():
+    """Many of the query's trigrams, but never enough of them in one extent."""
+    texts = [" ".join(f"{'li mi te ice nce'.split()[k % 5]}{k}" for k in range(2000)), "mit licence"]
+    assert P.maybe_similar("MIT Licence text", texts, 0.5).tolist() == [False, True]
