@@ -213,3 +213,24 @@ def test_long_texts_that_are_unlike_are_left_out_at_once():
     """Many of the query's trigrams, but never enough of them in one extent."""
     texts = [" ".join(f"{'li mi te ice nce'.split()[k % 5]}{k}" for k in range(2000)), "mit licence"]
     assert P.maybe_similar("MIT Licence text", texts, 0.5).tolist() == [False, True]
+
+
+def test_narrow_alignment_equals_the_whole_table():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    costs = P.word_costs(words, words)
+    assert all(P.word_cost(a, b) == costs[i, j] for i, a in enumerate(words) for j, b in enumerate(words))
+    narrow = 0
+    for _ in range(60):
+        a = [rng.choice(words) for _ in range(rng.randint(20, 80))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 2)] = [rng.choice(words) for _ in range(rng.randint(0, 2))]
+        b += ["ωω"] * rng.randint(0, 2)
+        whole = P.align(a, b)  # too short for the narrow way
+        for around in (2.0, 8.0, 1000.0):
+            got = P.near_align(a, b, 0.7, around)
+            assert got == whole or got is None and around < 1000
+            narrow += got is not None
+    assert narrow > 60
